@@ -115,19 +115,20 @@ def nets_for_class(cls: Column, bnd: Column, ltv: Column, amount: Column) -> dic
     return out
 
 
-def candidates(amount: Column, cls: Column, bnd: Column, ltv: Column) -> Column:
-    """``array<struct>`` of the 7 catalog actions in catalog order (JN-04)."""
+def candidates(df: DataFrame) -> Column:
+    """``array<struct>`` of the 7 catalog actions in catalog order (JN-04),
+    from the prepared per-row ``p_*`` / ``net_*`` columns."""
     items = []
     for action, order, rank_cost, eval_cost, kind in C.ACTIONS:
-        p = probability_for(action, cls, bnd, ltv)
-        gross, net = expected_values(amount, p, rank_cost)
+        p = F.col(f"p_{action}")
+        gross = F.round(F.coalesce(F.col("amount"), F.lit(0).cast(MONEY_T)) * p, 2).cast(MONEY_T)
         items.append(F.struct(
             F.lit(action).alias("action"),
             F.lit(order).alias("catalog_order"),
             p.alias("probability"),
             F.lit(str(rank_cost)).cast(COST_T).alias("cost"),
             gross.alias("expected_gross"),
-            net.alias("expected_net"),
+            F.col(f"net_{action}").alias("expected_net"),
             F.lit(kind == "automated").alias("automated"),
         ))
     return F.array(*items)
