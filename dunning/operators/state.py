@@ -57,13 +57,13 @@ def resolve_invoices(invoices: DataFrame, wide: DataFrame, strategy: str) -> Dat
     Per-customer flags are a partial aggregate, then one keyed join."""
     s = F.col(strategy)
     ok = s["status"] == "SUCCESS"
-    per_c = (wide.where(ok).groupBy("customer_id")
-             .agg(F.lit(True).alias("recovered"),
-                  F.bool_or(s["final_action"] == "mark_promise_to_pay").alias("promised")))
+    per_c = (wide.groupBy("customer_id")
+             .agg(F.bool_or(ok).alias("recovered"),
+                  F.bool_or(ok & (s["final_action"] == "mark_promise_to_pay")).alias("promised")))
     j = lookup_join(invoices, per_c, "customer_id", "left")
     return j.select(
         "invoice_id", "customer_id", "amount_due", "due_date",
-        F.when(F.col("recovered"), F.lit(0)).otherwise(F.col("days_overdue")).cast("int").alias("days_overdue"),
+        F.when(F.coalesce(F.col("recovered"), F.lit(False)), F.lit(0)).otherwise(F.col("days_overdue")).cast("int").alias("days_overdue"),
         (F.col("promise_to_pay") | F.coalesce(F.col("promised"), F.lit(False))).alias("promise_to_pay"),
     )
 
@@ -118,8 +118,8 @@ def sequential_overdue(results_wide: DataFrame, strategy: str) -> DataFrame:
     share of the rows is never sorted in one task.
     """
     s = F.col(strategy)
-    first_ok = (results_wide.where(s["status"] == "SUCCESS").groupBy("customer_id")
-                .agg(F.min("transaction_id").alias("first_recovered_id")))
+    first_ok = (results_wide.groupBy("customer_id")
+                .agg(F.min(F.when(s["status"] == "SUCCESS", F.col("transaction_id"))).alias("first_recovered_id")))
     j = lookup_join(results_wide, first_ok, "customer_id", "left")
     cleared = F.col("first_recovered_id").isNotNull() & (F.col("first_recovered_id") < F.col("transaction_id"))
     days = F.when(cleared & F.col("days_overdue").isNotNull(), F.lit(0)).otherwise(F.col("days_overdue"))
@@ -129,3 +129,23 @@ def sequential_overdue(results_wide: DataFrame, strategy: str) -> DataFrame:
 def sequential_risk(seq: DataFrame) -> Column:
     return risk(F.col("amount"), F.col("failure_code"), F.col("retry_count"), F.col("risk_rate"),
                 F.col("risk_flag"), F.col("days_overdue_seq"))
+
+
+def state_from_audit(transactions: DataFrame, audit: DataFrame) -> DataFrame:
+    """SK-04 from an audit trail: the recovery state each transaction is in
+    after the recorded executions (success wins, then the last exit)."""
+    from .enrich import history
+    h = history(audit)
+    j = lookup_join(transactions, h, "transaction_id", "left")
+    st = (F.when(F.col("prior_success"), "RECOVERED")
+          .when(F.col("prior_last_action") == C.ESCALATE, "ESCALATED")
+          .when(F.col("prior_last_action") == C.STOP, "STOPPED")
+          .when(F.col("prior_executions") > 0, "FAILED"))
+    return j.select(
+        *[c for c in transactions.columns if c not in ("recovery_status", "recovered_amount", "retry_count")],
+        F.coalesce(F.col("retry_count") + F.when(F.array_contains(F.col("prior_actions"), "retry_payment"), 1)
+                   .otherwise(0), F.col("retry_count")).cast("int").alias("retry_count"),
+        F.coalesce(st, F.col("recovery_status")).alias("recovery_status"),
+        F.when(F.col("prior_success"), F.col("amount")).otherwise(F.col("recovered_amount"))
+        .cast("decimal(18,2)").alias("recovered_amount"),
+    )

@@ -19,6 +19,20 @@ STRATEGIES = ["baseline", "rules", "optimizer"]
 _COMMON = [c for c in RESULT_COLUMNS if c not in ("transaction_id", "amount", "failure_code")]
 
 
+def plan_barrier(df: DataFrame) -> DataFrame:
+    """Re-emit every row through a one-element ``explode``.
+
+    The decision columns are deep expressions over the loop state.  A filter
+    or projection placed on them later (``status = 'SUCCESS'``, a facet) would
+    otherwise be pushed down by substituting those expressions, re-inlining
+    the whole decision logic into every predicate.  Generate is not crossed
+    by predicate pushdown or projection collapsing, so downstream plans stay
+    small; the cost is one map-side row copy.
+    """
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_row")) \
+        .select("_row.*")
+
+
 def evaluate(enriched: DataFrame, model: bool = False, which=tuple(STRATEGIES)) -> DataFrame:
     """Wide form: one row per transaction, one result struct per strategy."""
     df = prepare(enriched)
@@ -28,7 +42,7 @@ def evaluate(enriched: DataFrame, model: bool = False, which=tuple(STRATEGIES))
         df = decide(df, "rules", "rules")
     if "optimizer" in which:
         df = decide(df, "optimizer", "optimizer", model=model)
-    return df
+    return plan_barrier(df)
 
 
 def results(wide: DataFrame, which=tuple(STRATEGIES)) -> DataFrame:

@@ -190,7 +190,7 @@ opt AS (
          CASE WHEN NOT blocked AND (ok1 OR ok2) THEN amount ELSE 0 END AS amount_recovered,
          CASE WHEN blocked OR ok1 THEN 1 WHEN ok2 THEN 2 ELSE 3 END AS execution_count,
          CASE WHEN blocked THEN 0 WHEN ok1 THEN 1 ELSE 2 END AS automated_attempts,
-         p1, p2, ok1, ok2, blocked, a1, n1
+         p1, p2, ok1, ok2, blocked, a1, n1, a2
   FROM opt1)
 """.format(contact=CONTACT,
            s1=_score("base", "0"),
@@ -500,6 +500,8 @@ UNION ALL SELECT strategy, 3, '3. Intervention Selected', selected FROM f
 UNION ALL SELECT strategy, 4, '4. Successfully Recovered', recovered FROM f
 UNION ALL SELECT strategy, 5, '5. Escalated to Operations Queue', escalated FROM f"""
     o.update(_audit_oracles())
+    from .oracles_state import state_oracles
+    o.update(state_oracles())
     return o
 
 

@@ -262,3 +262,184 @@ QUERIES = {
     "policy_breakdown": policy_breakdown,
     "stage_latency": stage_latency,
 }
+
+
+# ---------------------------------------------------------------- state and views
+from ..operators import state as ST  # noqa: E402
+from ..operators import views as VW  # noqa: E402
+
+SEARCH = "tx0+12"
+
+
+def _snapshot(spark, sf_dir):
+    return ST.snapshot_after(_wide(spark, sf_dir, which=("optimizer",)), "optimizer")
+
+
+def kpis(spark, sf_dir):
+    return to_output(M.kpis(_snapshot(spark, sf_dir)))
+
+
+def failure_breakdown(spark, sf_dir):
+    return to_output(M.failure_breakdown(_inputs(spark, sf_dir).transactions))
+
+
+def control_room_rows(spark, sf_dir):
+    return to_output(VW.control_room(_snapshot(spark, sf_dir)))
+
+
+def failure_reasons(spark, sf_dir):
+    return to_output(VW.failure_reasons(VW.control_room(_inputs(spark, sf_dir).transactions)))
+
+
+def faceted_filter(spark, sf_dir):
+    rows = VW.control_room(_snapshot(spark, sf_dir))
+    return to_output(VW.faceted(rows, status="RECOVERED", reason="Bank Timeout")
+                     .select("transaction_id", "recovery_status", "failure_reason", "recovered_amount"))
+
+
+def search_ids(spark, sf_dir):
+    rows = VW.control_room(_inputs(spark, sf_dir).transactions)
+    return to_output(VW.faceted(rows, search=SEARCH).select("transaction_id", "failure_reason"))
+
+
+def lookup_ids(spark, sf_dir):
+    t = _inputs(spark, sf_dir).transactions
+    ids = t.select("transaction_id").unionByName(
+        spark.createDataFrame([("TX9999999999",), ("TXMISSING",)], "transaction_id string"))
+    return to_output(VW.lookup(ids, t).select("transaction_id", "found", "amount"))
+
+
+def failed_filter(spark, sf_dir):
+    snap = _snapshot(spark, sf_dir)
+    return to_output(VW.list_view(snap.where(F.col("status") == "FAILED")))
+
+
+def first_n(spark, sf_dir):
+    return to_output(VW.list_view(ST.first_n(_inputs(spark, sf_dir).transactions, 1000)))
+
+
+def state_apply(spark, sf_dir):
+    return to_output(_snapshot(spark, sf_dir).select("transaction_id", "status", "retry_count",
+                                                     "recovery_status", "recovered_amount"))
+
+
+def invoice_resolution(spark, sf_dir):
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("optimizer",))
+    return to_output(ST.resolve_invoices(inp.invoices, w, "optimizer")
+                     .select("invoice_id", "customer_id", "days_overdue", "promise_to_pay"))
+
+
+def policy_violations(spark, sf_dir):
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("optimizer",))
+    a = AU.audit_rows(w, "optimizer", run_ts=RUN_TS)
+    return to_output(AU.policy_violations(a, inp.transactions, inp.customers))
+
+
+def stopping_violations(spark, sf_dir):
+    return to_output(AU.stopping_violations(_audit(spark, sf_dir)))
+
+
+def all_attempt_cost(spark, sf_dir):
+    return to_output(AU.all_attempt_cost(_audit(spark, sf_dir)))
+
+
+def latest_diagnosis(spark, sf_dir):
+    return to_output(AU.latest_diagnosis(_audit(spark, sf_dir)).drop("strategy"))
+
+
+def history(spark, sf_dir):
+    from ..operators.enrich import history as H
+    h = H(FX.prior_audit_view(_inputs(spark, sf_dir).orders))
+    return to_output(h.select("transaction_id", "prior_executions", "prior_automated", "prior_terminal",
+                              "prior_success", "prior_last_action",
+                              F.array_join("prior_actions", ",").alias("prior_actions")))
+
+
+def _resume_enriched(spark, sf_dir):
+    inp = _inputs(spark, sf_dir)
+    prior = FX.prior_audit_view(inp.orders)
+    state = ST.state_from_audit(inp.transactions, prior)
+    return enrich(state, inp.customers, inp.invoices, prior_audit=prior)
+
+
+def terminal_gate(spark, sf_dir):
+    g = ST.gate(_resume_enriched(spark, sf_dir))
+    return to_output(g.select("transaction_id", "recovery_status", "prior_executions", "gate_status"))
+
+
+def _resume_results(spark, sf_dir):
+    e = ST.pending(_resume_enriched(spark, sf_dir))
+    w = evaluate(e, which=("optimizer",))
+    return results(w, which=("optimizer",))
+
+
+def batch_resume(spark, sf_dir):
+    r = _resume_results(spark, sf_dir)
+    return to_output(r.select("transaction_id", "final_action", "status", "amount_recovered",
+                              "execution_count", "automated_attempts"))
+
+
+def batch_summary(spark, sf_dir):
+    return to_output(M.batch_summary(_resume_results(spark, sf_dir)))
+
+
+def validation_report(spark, sf_dir):
+    t = _inputs(spark, sf_dir).transactions
+    bad = spark.createDataFrame(
+        [("TXBAD0000001", None, 0), ("TXBAD0000002", -500.0, 0), ("TXBAD0000003", 100.0, -1)],
+        "transaction_id string, amount double, retry_count int")
+    bad = bad.select("transaction_id", F.col("amount").cast("decimal(18,2)").alias("amount"), "retry_count")
+    tx = t.select("transaction_id", "amount", "retry_count").unionByName(bad)
+    req = tx.select("transaction_id").unionByName(
+        spark.createDataFrame([("",), (None,), ("TXMISSING",)], "transaction_id string"))
+    return to_output(ST.validate(req, tx))
+
+
+def risk_sequential(spark, sf_dir):
+    w = _wide(spark, sf_dir, which=("optimizer",))
+    seq = ST.sequential_overdue(w, "optimizer")
+    r = ST.sequential_risk(seq)
+    return to_output(seq.select("transaction_id", F.col("days_overdue_seq").cast("double").alias("days_overdue_seq"),
+                                r["risk_score"].alias("risk_score_seq")))
+
+
+def transaction_360(spark, sf_dir):
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("optimizer",))
+    a = AU.audit_rows(w, "optimizer", run_ts=RUN_TS)
+    v = VW.transaction_360(inp.transactions, inp.customers, inp.invoices, a)
+    return to_output(v.select("transaction_id", "attempt_no", "stage_no", "stage", "agent_action", "amount",
+                              "customer_type", "invoice_id", "recovery_status"))
+
+
+def report(spark, sf_dir):
+    return to_output(M.report(M.strategy_summary(_results(spark, sf_dir, ("baseline", "rules", "optimizer")))))
+
+
+QUERIES.update({
+    "kpis": kpis,
+    "failure_breakdown": failure_breakdown,
+    "control_room_rows": control_room_rows,
+    "failure_reasons": failure_reasons,
+    "faceted_filter": faceted_filter,
+    "search_ids": search_ids,
+    "lookup_ids": lookup_ids,
+    "failed_filter": failed_filter,
+    "first_n": first_n,
+    "state_apply": state_apply,
+    "invoice_resolution": invoice_resolution,
+    "policy_violations": policy_violations,
+    "stopping_violations": stopping_violations,
+    "all_attempt_cost": all_attempt_cost,
+    "latest_diagnosis": latest_diagnosis,
+    "history": history,
+    "terminal_gate": terminal_gate,
+    "batch_resume": batch_resume,
+    "batch_summary": batch_summary,
+    "validation_report": validation_report,
+    "risk_sequential": risk_sequential,
+    "transaction_360": transaction_360,
+    "report": report,
+})
