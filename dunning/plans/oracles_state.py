@@ -207,3 +207,95 @@ SELECT metric, max(value) FILTER (WHERE strategy = 'baseline') AS baseline,
        max(value) FILTER (WHERE strategy = 'optimizer') AS optimizer
 FROM u GROUP BY metric"""
     return o
+
+
+def _action_set(col: str) -> str:
+    """Comma list of the catalog actions seen in ``col`` (catalog order)."""
+    parts = ", ".join(f"CASE WHEN bool_or({col} = {_q(a)}) THEN {_q(a)} END" for a in C.ACTION_NAMES)
+    return f"concat_ws(',', {parts})"
+
+
+RESP = """,
+resp AS (
+  SELECT e.transaction_id, e.k % 5 AS g, e.cls,
+         CASE e.cls {cause} END AS fb_cause, CASE e.cls {conf} END AS fb_conf, CASE e.cls {act} END AS fb_act
+  FROM e WHERE e.k % 5 <> 4),
+rtext AS (
+  SELECT transaction_id, g, fb_cause,
+         CASE WHEN g IN (0, 1) THEN CAST(json_object('root_cause', fb_cause, 'confidence', CAST(fb_conf AS DOUBLE),
+                                          'recommended_action', fb_act, 'reason', 'Recorded model diagnosis.',
+                                          'why_not_alternatives', 'Alternatives have lower expected value.') AS VARCHAR)
+              WHEN g = 2 THEN '{{"root_cause": "insufficient_funds", "confidence": '
+              ELSE CAST(json_object('root_cause', 'network_glitch', 'confidence', 0.7, 'recommended_action',
+                                    'retry_payment', 'reason', 'Recorded model diagnosis.',
+                                    'why_not_alternatives', 'n/a') AS VARCHAR) END AS body
+  FROM resp),
+rclean AS (
+  SELECT transaction_id, g, fb_cause,
+         CASE WHEN g = 1 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw
+  FROM rtext),
+rparsed AS (
+  SELECT transaction_id, g, fb_cause,
+         CASE WHEN starts_with(trim(raw), '```')
+              THEN trim(array_to_string(list_slice(string_split(trim(raw), chr(10)), 2, -2), chr(10)))
+              ELSE trim(raw) END AS c
+  FROM rclean),
+rv AS (
+  SELECT transaction_id, g, fb_cause,
+         CASE WHEN json_valid(c) THEN json_extract_string(c, '$.root_cause') END AS root_cause,
+         CASE WHEN json_valid(c) THEN TRY_CAST(json_extract_string(c, '$.confidence') AS DOUBLE) END AS confidence,
+         CASE WHEN json_valid(c) THEN json_extract_string(c, '$.recommended_action') END AS rec,
+         CASE WHEN json_valid(c) THEN json_extract_string(c, '$.reason') END AS reason,
+         CASE WHEN json_valid(c) THEN json_extract_string(c, '$.why_not_alternatives') END AS why
+  FROM rparsed),
+rvalid AS (
+  SELECT rv.*, coalesce(root_cause IN {causes} AND rec IN {actions} AND confidence IS NOT NULL
+                        AND reason IS NOT NULL AND why IS NOT NULL, false) AS valid
+  FROM rv)
+""".format(
+    cause=" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.CLASS_TO_CAUSE.items()),
+    conf=" ".join(f"WHEN {_q(k)} THEN {v[1]}" for k, v in C.FALLBACK.items()),
+    act=" ".join(f"WHEN {_q(k)} THEN {_q(v[2][0])}" for k, v in C.FALLBACK.items()),
+    causes="(" + ", ".join(_q(x) for x in C.ROOT_CAUSES) + ")",
+    actions="(" + ", ".join(_q(x) for x in C.ACTION_NAMES) + ")",
+)
+
+
+def model_stream_oracles() -> dict[str, str]:
+    from .oracles import _final_desc, _result_select
+    o = {}
+    cause_case = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.CLASS_TO_CAUSE.items())
+    o["response_valid"] = _with(RESP) + """
+SELECT transaction_id, CAST(1 AS BIGINT) AS attempt_no, valid, root_cause, confidence FROM rvalid"""
+    o["diagnosed"] = _with(OPT, RESP) + f"""
+SELECT o.transaction_id, CASE WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END AS diagnosis_source,
+       CASE e.cls {cause_case} END AS root_cause, o.final_action, o.status
+FROM opt o JOIN e USING (transaction_id) LEFT JOIN rvalid v USING (transaction_id)"""
+    o["model_contribution"] = _with(OPT, RESP) + """
+, att AS (
+  SELECT CASE WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END AS src FROM opt o
+  LEFT JOIN rvalid v USING (transaction_id)
+  UNION ALL SELECT 'fallback' FROM opt WHERE NOT blocked AND NOT ok1)
+SELECT src AS diagnosis_source, CAST(count(*) AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS cause_changed
+FROM att GROUP BY src"""
+    o["csv_roundtrip"] = _with(OPT) + _result_select("opt", _final_desc())
+    o["stream_recovery"] = o["csv_roundtrip"]
+    from .oracles import oracles as _base  # noqa: F401  (summary SQL reused below)
+    o["run_overwrite"] = _with(BASELINE, RULES, OPT, UNION3) + """
+SELECT strategy, transaction_id, final_action, status FROM allres"""
+    o["formatted_kpis"] = _with(BASELINE, RULES, OPT, UNION3, SUMMARY) + f"""
+, s AS (SELECT strategy, CAST(revenue_recovered - operational_cost AS DOUBLE) AS net,
+               CAST(revenue_recovered AS DOUBLE) AS rev, {_pct('revenue_recovered', 'revenue_at_risk')} AS rate FROM summ)
+SELECT strategy, '₹' || format('{{:,.2f}}', net / 1e5) || 'L' AS net_lakh,
+       'INR ' || format('{{:,.2f}}', rev) AS revenue_text, format('{{:,.2f}}', rate) || '%' AS rate_text
+FROM s"""
+    a = _with(OPT, AUDIT)
+    o["stream_attempt_state"] = a + f"""
+SELECT transaction_id, CAST(count(*) AS BIGINT) AS executions,
+       CAST(count(*) FILTER (WHERE agent_action IN {AUTOMATED}) AS BIGINT) AS automated,
+       bool_or(agent_action IN ('escalate_to_human', 'stop_recovery')) AS terminal,
+       {_action_set('agent_action')} AS actions
+FROM stage_rows WHERE stage = 'execution' GROUP BY transaction_id"""
+    o["stream_dedupe"] = a + """
+SELECT DISTINCT transaction_id, agent_action FROM stage_rows WHERE stage = 'execution'"""
+    return o

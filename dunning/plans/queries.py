@@ -443,3 +443,131 @@ QUERIES.update({
     "transaction_360": transaction_360,
     "report": report,
 })
+
+
+# ---------------------------------------------------------------- model tables
+from ..operators import model_io as MI  # noqa: E402
+
+
+def _responses(spark, sf_dir):
+    return FX.responses_view(_inputs(spark, sf_dir).orders)
+
+
+def prompt_requests(spark, sf_dir):
+    return to_output(MI.prompt_requests(_enriched(spark, sf_dir)))
+
+
+def response_valid(spark, sf_dir):
+    r = MI.response_table(_responses(spark, sf_dir))
+    return to_output(r.select("transaction_id", "attempt_no", "valid", "root_cause", "confidence"))
+
+
+def _diagnosed_wide(spark, sf_dir):
+    e = MI.attach_responses(_enriched(spark, sf_dir), _responses(spark, sf_dir))
+    return evaluate(e, model=True, which=("optimizer",))
+
+
+def diagnosed(spark, sf_dir):
+    w = _diagnosed_wide(spark, sf_dir)
+    t = F.col("optimizer.trail")[0]
+    return to_output(w.select("transaction_id", t["diagnosis_source"].alias("diagnosis_source"),
+                              t["root_cause"].alias("root_cause"), F.col("optimizer.final_action").alias("final_action"),
+                              F.col("optimizer.status").alias("status")))
+
+
+def model_contribution(spark, sf_dir):
+    return to_output(MI.model_contribution(_diagnosed_wide(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- sources / sinks
+import uuid  # noqa: E402
+
+from ..schemas import TRANSACTIONS  # noqa: E402
+from ..session import checkpoint_dir  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_roundtrip(spark, sf_dir):
+    r = _results(spark, sf_dir, ("optimizer",))
+    path = _scratch(spark, "csv")
+    IO.write_results_csv(r, path)
+    back = IO.read_results_csv(spark, path)
+    return _result_view(back)
+
+
+def json_summary_roundtrip(spark, sf_dir):
+    s = M.strategy_summary(_results(spark, sf_dir, ("baseline", "rules", "optimizer")))
+    path = _scratch(spark, "json")
+    IO.write_summary_json(s, path)
+    return to_output(IO.read_summary_json(spark, path))
+
+
+def run_overwrite(spark, sf_dir):
+    r = _results(spark, sf_dir, ("baseline", "rules", "optimizer"))
+    path = _scratch(spark, "runs")
+    IO.write_runs(r, path)
+    IO.write_runs(r.where(F.col("strategy") == "optimizer"), path)   # idempotent re-run of one partition
+    back = spark.read.parquet(path)
+    return to_output(back.select("strategy", "transaction_id", "final_action", "status"))
+
+
+def formatted_kpis(spark, sf_dir):
+    s = M.strategy_summary(_results(spark, sf_dir, ("baseline", "rules", "optimizer")))
+    return to_output(VW.formatted_kpis(s))
+
+
+# ---------------------------------------------------------------- streams
+from ..streaming import recovery_stream as SM  # noqa: E402
+
+
+def _stream_source(spark, sf_dir):
+    """The transactions view written as several parquet files (the arriving
+    stream); the draw column travels with the rows."""
+    t = _inputs(spark, sf_dir).transactions
+    path = _scratch(spark, "stream-in")
+    t.repartition(4, "transaction_id").write.parquet(path)
+    return path, t.schema
+
+
+def stream_recovery(spark, sf_dir):
+    inp = _inputs(spark, sf_dir)
+    src, schema = _stream_source(spark, sf_dir)
+    out = SM.incremental_recovery(spark, src, schema, inp.customers, inp.invoices)
+    return _result_view(spark.read.parquet(out).drop("batch_id", "strategy"))
+
+
+def _executions_source(spark, sf_dir):
+    a = _audit(spark, sf_dir).where(F.col("stage") == "execution").select("transaction_id", "attempt_no",
+                                                                           "agent_action", "tool_result")
+    path = _scratch(spark, "exec-in")
+    a.repartition(4, "attempt_no").write.parquet(path)
+    return path, a.schema
+
+
+def stream_attempt_state(spark, sf_dir):
+    src, schema = _executions_source(spark, sf_dir)
+    return to_output(SM.attempt_state(spark, src, schema))
+
+
+def stream_dedupe(spark, sf_dir):
+    src, schema = _executions_source(spark, sf_dir)
+    return to_output(SM.dedupe_actions(spark, src, schema).select("transaction_id", "agent_action"))
+
+
+QUERIES.update({
+    "prompt_requests": prompt_requests,
+    "response_valid": response_valid,
+    "diagnosed": diagnosed,
+    "model_contribution": model_contribution,
+    "csv_roundtrip": csv_roundtrip,
+    "json_summary_roundtrip": json_summary_roundtrip,
+    "run_overwrite": run_overwrite,
+    "formatted_kpis": formatted_kpis,
+    "stream_recovery": stream_recovery,
+    "stream_attempt_state": stream_attempt_state,
+    "stream_dedupe": stream_dedupe,
+})
