@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.risk import risk_rate
+from ..session import ensure_parallelism
 from .joins import lookup_join
 
 
@@ -80,7 +81,7 @@ def enrich(transactions: DataFrame, customers: DataFrame, invoices: DataFrame,
     Draws: if ``transactions`` already carries ``u_bp`` no outcome join is
     made; otherwise ``outcomes(transaction_id, u_bp)`` is left-joined.
     """
-    tx = transactions
+    tx = ensure_parallelism(transactions, "transaction_id")
     if "u_bp" not in tx.columns:
         if outcomes is None:
             tx = tx.withColumn("u_bp", F.lit(None).cast("int"))

@@ -18,6 +18,12 @@ SCALE_CONF = {
 }
 
 
+# The decision projections compile to large methods; the JVM leaves methods
+# over 8000 bytes of bytecode interpreted unless this is switched off.  Set the
+# same option on executors of a cluster.
+JVM_OPTS = "-XX:-DontCompileHugeMethods"
+
+
 def apply_scale_conf(spark: SparkSession) -> None:
     for k, v in SCALE_CONF.items():
         spark.conf.set(k, v)
@@ -32,6 +38,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "dunni
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.driver.extraJavaOptions", JVM_OPTS)
+        .config("spark.executor.extraJavaOptions", JVM_OPTS)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,6 +66,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ensure_parallelism(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a fact input that arrives in fewer partitions than the
+    cluster has cores (e.g. a few large files), so the CPU-heavy decision pass
+    uses every core.  Inputs already split wider are left untouched, so at
+    scale this adds no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2, key)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
