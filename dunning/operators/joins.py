@@ -13,8 +13,9 @@ that key's rows to one task, so hot keys are split off:
 3. the remaining keys take the regular shuffle join, which AQE may still turn
    into a broadcast join from measured sizes.
 
-The hot-key list is written to the checkpoint folder, so a lost executor does
-not recompute the count and the two branches see the same key set.
+The hot-key list is fetched once as a bounded list (at most ``max_hot_keys``
+values, checked with ``limit``), so both branches see the same key set and no
+count is recomputed after an executor loss.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 
 DEFAULT_HOT_KEY_ROWS = 2_000_000
 MAX_HOT_KEYS = 20_000
@@ -40,15 +40,14 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
         hot_key_rows = int(spark.conf.get("dunning.join.hotKeyRows", str(DEFAULT_HOT_KEY_ROWS)))
     if hot_key_rows <= 0:
         return big.join(small, key, how)
-    hot = cut_lineage(hot_keys(big, key, hot_key_rows))
-    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
-    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
+    hot = [r[0] for r in hot_keys(big, key, hot_key_rows).limit(MAX_HOT_KEYS + 1).collect()]
+    if not hot or len(hot) > MAX_HOT_KEYS:
         # no hot key, or more than the broadcast bound: AQE skew-join splitting
         # of oversized partitions is the remaining guard.
         return big.join(small, key, how)
-    hot_b = F.broadcast(hot)
-    big_hot = big.join(hot_b, key, "left_semi")
-    big_cold = big.join(hot_b, key, "left_anti")
-    small_hot = small.join(hot_b, key, "left_semi")
+    is_hot = F.col(key).isin(hot)
+    big_hot = big.where(is_hot)
+    big_cold = big.where(~is_hot | F.col(key).isNull())
+    small_hot = small.where(is_hot)
     return (big_hot.join(F.broadcast(small_hot), key, how)
             .unionByName(big_cold.join(small, key, how)))

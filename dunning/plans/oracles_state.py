@@ -299,3 +299,23 @@ FROM stage_rows WHERE stage = 'execution' GROUP BY transaction_id"""
     o["stream_dedupe"] = a + """
 SELECT DISTINCT transaction_id, agent_action FROM stage_rows WHERE stage = 'execution'"""
     return o
+
+
+def extra_oracles() -> dict[str, str]:
+    o = {}
+    o["audit_append"] = _with(RULES, OPT, AUDIT) + f"""
+, ra AS (SELECT CASE WHEN run2 THEN 2 ELSE 1 END AS n_att,
+                CASE WHEN run2 AND fin2 IN {AUTOMATED} AND NOT ok2 THEN 1 ELSE 0 END AS esc FROM rules),
+rc AS (SELECT 'rules' AS strategy, 'risk_evaluation' AS stage, sum(n_att) AS n FROM ra
+       UNION ALL SELECT 'rules', 'root_cause_analysis', sum(n_att) FROM ra
+       UNION ALL SELECT 'rules', 'policy_guardrail', sum(n_att + esc) FROM ra
+       UNION ALL SELECT 'rules', 'execution', sum(n_att + esc) FROM ra
+       UNION ALL SELECT 'optimizer', stage, count(*) FROM stage_rows GROUP BY stage)
+SELECT strategy, stage, CAST(n AS BIGINT) AS n FROM rc"""
+    o["model_quota"] = _with(OPT, RESP) + """
+, q AS (SELECT transaction_id, row_number() OVER (ORDER BY transaction_id) <= 2 AS in_quota FROM e)
+SELECT o.transaction_id, q.in_quota,
+       CASE WHEN NOT q.in_quota THEN 'erv' WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END
+         AS diagnosis_source, o.final_action
+FROM opt o JOIN q USING (transaction_id) LEFT JOIN rvalid v USING (transaction_id)"""
+    return o

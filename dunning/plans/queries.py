@@ -571,3 +571,28 @@ QUERIES.update({
     "stream_attempt_state": stream_attempt_state,
     "stream_dedupe": stream_dedupe,
 })
+
+
+def audit_append(spark, sf_dir):
+    """SK-03 / SC-04: two runs' audit rows appended to one partitioned
+    folder and read back with the declared schema; rows per strategy/stage."""
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("rules", "optimizer"))
+    path = _scratch(spark, "audit")
+    for s in ("optimizer", "rules"):
+        IO.append_audit(AU.audit_rows(w, s, run_ts=RUN_TS), path)
+    back = IO.read_audit(spark, path)
+    return to_output(back.groupBy("strategy", "stage").agg(F.count(F.lit(1)).alias("n")))
+
+
+def model_quota(spark, sf_dir, llm_limit: int = 2):
+    """MI-05: only the first ``llm_limit`` transactions by id use recorded
+    model responses; the rest take the code-derived ranking."""
+    e = MI.attach_responses(_enriched(spark, sf_dir), _responses(spark, sf_dir), llm_limit=llm_limit)
+    w = evaluate(e, model=True, which=("optimizer",))
+    t = F.col("optimizer.trail")[0]
+    return to_output(w.select("transaction_id", "in_quota", t["diagnosis_source"].alias("diagnosis_source"),
+                              F.col("optimizer.final_action").alias("final_action")))
+
+
+QUERIES.update({"audit_append": audit_append, "model_quota": model_quota})
