@@ -21,6 +21,8 @@ Selectors:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,15 @@ TRAIL_FIELDS = ["attempt_no", "attempts_before", "risk_score", "root_cause", "di
                 "success", "model_reason", "model_why"]
 
 
-def _init_state(df: DataFrame, s: str) -> DataFrame:
+def _init_state(s: str) -> list:
     rec = F.upper(F.coalesce(F.col("recovery_status"), F.lit("UNRECOVERED")))
-    return df.withColumns({
+    return [("with", {
         f"{s}att": F.col("prior_executions").cast("int"),
         f"{s}hist": F.col("prior_actions"),
         f"{s}retry": F.col("retry_count"),
         f"{s}rec": F.col("recovery_status"),
         f"{s}active": ~F.col("prior_terminal") & (rec != "SUCCESS"),
-    })
+    })]
 
 
 def _diagnosis_cols(q: str, s: str, k: int, selector: str, model: bool) -> dict[str, Column]:
@@ -76,7 +78,8 @@ def _model_cols(q: str, k: int) -> dict[str, Column]:
     }
 
 
-def _attempt(df: DataFrame, name: str, k: int, selector: str, model: bool) -> DataFrame:
+def _attempt(name: str, k: int, selector: str, model: bool) -> list:
+    steps: list = []
     s, q = f"_{name}_", f"_{name}{k}_"
     att, hist, retry, rec = F.col(f"{s}att"), F.col(f"{s}hist"), F.col(f"{s}retry"), F.col(f"{s}rec")
     ctx = PolicyContext(done=F.col(f"{q}done"), high_value=F.col("hv"), fraud=F.col("risk_flag"),
@@ -90,51 +93,50 @@ def _attempt(df: DataFrame, name: str, k: int, selector: str, model: bool) -> Da
         f"{q}done": done_flag(F.col("status"), rec),
     }
     cols.update(_diagnosis_cols(q, s, k, selector, model))
-    df = df.withColumns(cols)
+    steps.append(("with", cols))
     if model and selector != "rules":
-        df = df.withColumns(_model_cols(q, k)).drop(f"{q}parsed", f"{q}fb")
+        steps.append(("with", _model_cols(q, k)))
+        steps.append(("drop", [f"{q}parsed", f"{q}fb"]))
 
     # step 2: recommended action
     nets = {a: F.col(f"net_{a}") for a in C.ACTION_NAMES}
     if selector == "rules":
-        df = df.withColumn(f"{q}recact", DX.rules_action(F.col("code_cls"), att))
+        steps.append(("with", {f"{q}recact": DX.rules_action(F.col("code_cls"), att)}))
     else:
         if model:
             # a diagnosed cause re-keys the ranking table
-            df = df.withColumn(f"{q}rank", code_class(DX.ranking_code_from_cause(F.col(f"{q}cause"))))
+            steps.append(("with", {f"{q}rank": code_class(DX.ranking_code_from_cause(F.col(f"{q}cause")))}))
             mnets = nets_for_class(F.col(f"{q}rank"), F.col("band"), F.col("ltv"), F.col("amount"))
-            df = df.withColumns({f"{q}net_{a}": c for a, c in mnets.items()})
+            steps.append(("with", {f"{q}net_{a}": c for a, c in mnets.items()}))
             nets = {a: F.col(f"{q}net_{a}") for a in C.ACTION_NAMES}
-        df = df.withColumn(f"{q}recact", best_allowed(nets, lambda a: approves(a, ctx)))
+        steps.append(("with", {f"{q}recact": best_allowed(nets, lambda a: approves(a, ctx))}))
     recact = F.col(f"{q}recact")
 
     # step 3: policy, executed action, outcome against the draw
-    df = df.withColumns({
+    steps.append(("with", {
         f"{q}rule": policy_rule(recact, ctx),
         f"{q}net": net_for(recact, nets) if selector != "rules" else F.lit(None).cast("decimal(18,2)"),
-    })
-    df = df.withColumn(f"{q}fin", final_action(result_of(F.col(f"{q}rule")), recact))
+    }))
+    steps.append(("with", {f"{q}fin": final_action(result_of(F.col(f"{q}rule")), recact)}))
     fin = F.col(f"{q}fin")
-    df = df.withColumn(f"{q}prob", success_probability(fin))
-    df = df.withColumn(f"{q}ok", succeeded(fin, F.col(f"{q}prob"), F.col("u_bp")))
+    steps.append(("with", {f"{q}prob": success_probability(fin)}))
+    steps.append(("with", {f"{q}ok": succeeded(fin, F.col(f"{q}prob"), F.col("u_bp"))}))
     ok = F.col(f"{q}ok")
 
     # step 4: state update (ST-07: retry_payment raises the retry counter)
     run = F.col(f"{q}run")
-    df = df.withColumns({
+    steps.append(("with", {
         f"{s}att": F.when(run, att + 1).otherwise(att),
         f"{s}hist": F.when(run, F.concat(hist, F.array(fin))).otherwise(hist),
         f"{s}retry": F.when(run & (fin == "retry_payment"), F.coalesce(retry, F.lit(0)) + 1).otherwise(retry),
         f"{s}rec": F.when(run, recovery_status_after(fin, ok)).otherwise(rec),
         f"{s}active": run & ~ok & ~fin.isin(*C.EXITS),
-    })
-    drop = [f"{q}done", f"{q}rank"] + [f"{q}net_{a}" for a in C.ACTION_NAMES]
-    return df.drop(*drop)
+    }))
+    steps.append(("drop", [f"{q}done", f"{q}rank"] + [f"{q}net_{a}" for a in C.ACTION_NAMES]))
+    return steps
 
 
 def _trail_item(q: str, model: bool) -> Column:
-    def col(x, t="string"):
-        return F.col(f"{q}{x}") if x else F.lit(None).cast(t)
     return F.when(F.col(f"{q}run"), F.struct(
         (F.col(f"{q}att") + 1).alias("attempt_no"),
         F.col(f"{q}att").alias("attempts_before"),
@@ -162,11 +164,20 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
     """
     if selector not in ("rules", "optimizer"):
         raise ValueError(selector)
+    for op, arg in _decide_steps(selector, name, model and selector == "optimizer"):
+        df = df.withColumns(arg) if op == "with" else df.drop(*arg)
+    return df.drop(*[c for c in df.columns if c.startswith(f"_{name}")])
+
+
+@functools.lru_cache(maxsize=None)
+def _decide_steps(selector: str, name: str, model: bool) -> tuple:
+    """The loop as a list of column steps.  Columns refer to inputs by name
+    only, so the list is built once per process and replayed on any frame
+    (saves rebuilding thousands of expression objects per query)."""
     s = f"_{name}_"
-    model = model and selector == "optimizer"
-    df = _init_state(df, s)
+    steps = _init_state(s)
     for k in range(1, C.MAX_ATTEMPTS + 1):
-        df = _attempt(df, name, k, selector, model)
+        steps += _attempt(name, k, selector, model)
 
     qs = [f"_{name}{k}_" for k in range(1, C.MAX_ATTEMPTS + 1)]
 
@@ -178,7 +189,7 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
 
     n = sum(F.col(f"{q}run").cast("int") for q in qs)
     rec_final = F.upper(F.coalesce(F.col(f"{s}rec"), F.lit("UNRECOVERED")))
-    df = df.withColumns({
+    steps.append(("with", {
         f"{s}n": n,
         f"{s}fin": last("fin"), f"{s}ok": last("ok"), f"{s}prob": last("prob"),
         f"{s}score": last("score"), f"{s}cause": last("cause"), f"{s}recact": last("recact"),
@@ -186,10 +197,10 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
         f"{s}automated": sum(F.when(F.col(f"{q}run") & F.col(f"{q}fin").isin(*C.AUTOMATED), 1).otherwise(0)
                              for q in qs),
         f"{s}trail": F.array_compact(F.array(*[_trail_item(q, model) for q in qs])),
-    })
+    }))
     n = F.col(f"{s}n")
     esc = (n > 0) & ~rec_final.isin("RECOVERED", "SUCCESS") & ~F.col(f"{s}fin").isin(*C.EXITS)
-    df = df.withColumn(f"{s}esc", esc)
+    steps.append(("with", {f"{s}esc": esc}))
     esc = F.col(f"{s}esc")
     fin_action = F.when(esc, F.lit(C.ESCALATE)).otherwise(F.col(f"{s}fin"))
     status = F.when(esc, F.lit("FAILURE")).when(n == 0, F.lit("SKIPPED")) \
@@ -218,8 +229,8 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
         F.when(esc, F.lit("ESCALATED")).otherwise(F.col(f"{s}rec")).alias("recovery_status_after"),
         F.col(f"{s}retry").alias("retry_count_after"),
     )
-    df = df.withColumn(name, result)
-    return df.drop(*[c for c in df.columns if c.startswith(f"_{name}")])
+    steps.append(("with", {name: result}))
+    return tuple(steps)
 
 
 def baseline(df: DataFrame, name: str = "baseline") -> Column:
