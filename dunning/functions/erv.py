@@ -156,5 +156,7 @@ def best_allowed(nets: dict[str, Column], allowed_fn) -> Column:
         items.append(F.when(allowed_fn(action),
                             F.struct(nets[action].alias("net"), F.lit(-order).alias("neg_order"),
                                      F.lit(action).alias("action"))))
-    best = F.array_max(F.array_compact(F.array(*items)))
+    # greatest() skips NULLs and orders structs field by field; unlike an
+    # array filter it stays inside whole-stage code generation.
+    best = F.greatest(*items)
     return F.coalesce(best["action"], F.lit(C.STOP))

@@ -94,7 +94,8 @@ def risk_signals(amount: Column, code: Column, retry_count: Column, rate: Column
         .when(d > 10, template(s["overdue_moderate"], d=d))
         .when(d > 0, template(s["overdue_recent"], d=d)),
     ]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    empty = F.array().cast("array<string>")
+    return F.flatten(F.array(*[F.when(i.isNotNull(), F.array(i)).otherwise(empty) for i in items]))
 
 
 def risk(amount: Column, code: Column, retry_count: Column, rate: Column,

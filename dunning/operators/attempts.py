@@ -136,6 +136,19 @@ def _attempt(name: str, k: int, selector: str, model: bool) -> list:
     return steps
 
 
+def _trail(qs: list[str], model: bool) -> Column:
+    """Executed attempts in order.  Attempt k runs only if k-1 ran, so the
+    trail is a prefix; built with CASE (no array filter, which would take the
+    stage out of whole-stage code generation)."""
+    items = [_trail_item(q, model) for q in qs]
+    out = None
+    for i in range(len(qs), 0, -1):
+        arr = F.array(*items[:i])
+        cond = F.col(f"{qs[i - 1]}run")
+        out = F.when(cond, arr) if out is None else out.when(cond, arr)
+    return out.otherwise(F.slice(F.array(items[0]), 1, 0))   # empty, same element type
+
+
 def _trail_item(q: str, model: bool) -> Column:
     return F.when(F.col(f"{q}run"), F.struct(
         (F.col(f"{q}att") + 1).alias("attempt_no"),
@@ -196,7 +209,7 @@ def _decide_steps(selector: str, name: str, model: bool) -> tuple:
         f"{s}rule": last("rule"),
         f"{s}automated": sum(F.when(F.col(f"{q}run") & F.col(f"{q}fin").isin(*C.AUTOMATED), 1).otherwise(0)
                              for q in qs),
-        f"{s}trail": F.array_compact(F.array(*[_trail_item(q, model) for q in qs])),
+        f"{s}trail": _trail(qs, model),
     }))
     n = F.col(f"{s}n")
     esc = (n > 0) & ~rec_final.isin("RECOVERED", "SUCCESS") & ~F.col(f"{s}fin").isin(*C.EXITS)

@@ -67,8 +67,8 @@ def history(audit: DataFrame) -> DataFrame:
     for a in C.ACTION_NAMES:
         aggs.append(F.coalesce(F.bool_or(F.col("agent_action") == a), F.lit(False)).alias(f"tried_{a}"))
     h = ex.groupBy("transaction_id").agg(*aggs)
-    tried = F.filter(F.array(*[F.when(F.col(f"tried_{a}"), F.lit(a)) for a in C.ACTION_NAMES]),
-                     lambda x: x.isNotNull())
+    tried = F.flatten(F.array(*[F.when(F.col(f"tried_{a}"), F.array(F.lit(a))).otherwise(F.array().cast("array<string>"))
+                                for a in C.ACTION_NAMES]))
     return h.select("transaction_id", "prior_executions", "prior_automated", "prior_terminal",
                     "prior_success", "prior_last_action", tried.alias("prior_actions"))
 
