@@ -59,8 +59,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        d = spark.sparkContext.getCheckpointDir()
+        if d:
+            return d
         d = tempfile.mkdtemp(prefix="dunning-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
