@@ -4,6 +4,7 @@ over their whole tables, and the DuckDB SQL where SQL can express them."""
 from __future__ import annotations
 
 from .common import read
+from .compression_quality import quality
 from .exact_dedup import exact_dedup
 
 
@@ -11,8 +12,13 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_compression_quality(spark, sf_dir):
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_compression_quality": op4_compression_quality,
 }
 
 ORACLES = {
