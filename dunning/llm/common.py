@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
 
@@ -57,3 +58,22 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def task_count(spark: SparkSession, n_bytes: int, each: int = 16 << 20, least: int = 48) -> int:
     """Partitions for ``n_bytes`` of text so that each has about ``each`` bytes."""
     return max(least, -(-int(n_bytes) // each))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and about 16 MB, so that very long texts
+    do not pile up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` named by ``kept`` (doc_id, th), one for each name, with
+    all their columns."""
+    names = kept.select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th"))
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    both = docs.withColumn("__keep_h", th).join(
+        names, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")) & (F.col("__keep_h") == F.col("__keep_th")))
+    one = Window.partitionBy("__keep_id", "__keep_th").orderBy(F.lit(1))
+    return (both.withColumn("__keep_r", F.row_number().over(one)).where("__keep_r = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

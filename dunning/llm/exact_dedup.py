@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITESPACE, staged
+from .common import WHITESPACE, keep_rows, staged
 
 COUNTERS = 1024
 
@@ -56,12 +56,10 @@ def frequent(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
             .orderBy(F.desc("n"), "sha").limit(counters).select("sha"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                counters: int = COUNTERS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, counters: int) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), digest(text).alias("sha"),
-                              F.length(text).alias("n_cp"), F.monotonically_increasing_id().alias("rid")), "op2-digests")
+    rows = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), digest(text).alias("sha"), F.length(text).alias("n_cp"),
+                              F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("rid")), "op2-digests")
     place = F.struct((-F.col("n_cp")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     hot = F.broadcast(staged(frequent(rows, counters), "op2-frequent"))
     winners = F.broadcast(staged(
@@ -72,18 +70,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = (rows.join(winners, "sha", "left_anti")
               .withColumn("group_size", F.count(F.lit(1)).over(by_digest))
               .withColumn("first", F.min(place).over(by_digest)))
-    return marked_hot.unionByName(marked).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        (F.col("rid") == F.col("first.rid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return marked_hot.unionByName(marked).withColumn("kept", F.col("rid") == F.col("first.rid"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                counters: int = COUNTERS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _marked(docs, id_col, text_col, counters).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = (exact_dedup(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")))
-    tagged = docs.withColumns({"__d": digest(F.col(f"`{text_col}`")), "__n": F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
-    both = tagged.join(kept, (F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))) & (F.col("__d") == F.col("__sha")))
-    # repeats of the row that stays have the same id and digest; the longest text stays
-    last = Window.partitionBy(F.col("__id"), F.col("__sha")).orderBy(F.desc("__n"))
-    return (both.withColumn("__r", F.row_number().over(last)).where("__r = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return keep_rows(docs, _marked(docs, id_col, text_col, counters).where("kept"), id_col, text_col)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from .common import read
 from .compression_quality import quality
 from .exact_dedup import exact_dedup
+from .minhash_dedup import near_duplicates
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -16,9 +17,14 @@ def op4_compression_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_minhash_dedup(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("keeper", "th")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_compression_quality": op4_compression_quality,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLES = {
