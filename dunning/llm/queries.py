@@ -3,10 +3,14 @@ over their whole tables, and the DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from . import embedding_dedup, minhash_dedup
 from .common import read
 from .compression_quality import quality
 from .exact_dedup import exact_dedup
-from .minhash_dedup import near_duplicates
+
+
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -18,16 +22,33 @@ def op4_compression_quality(spark, sf_dir):
 
 
 def op9_minhash_dedup(spark, sf_dir):
-    return near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("keeper", "th")
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("keeper", "th")
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_compression_quality": op4_compression_quality,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLES = {
+    "op1_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+)
+SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links, r.component_id, r.component_id = e.vec_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = e.vec_id
+""",
     "op2_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS h,
