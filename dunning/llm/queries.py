@@ -7,6 +7,7 @@ from . import embedding_dedup, minhash_dedup
 from .common import read
 from .compression_quality import quality
 from .exact_dedup import exact_dedup
+from .suffix_dedup import remove_repeats
 
 
 def op1_embedding_dedup(spark, sf_dir):
@@ -25,9 +26,14 @@ def op9_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("keeper", "th")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_compression_quality": op4_compression_quality,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
