@@ -7,6 +7,7 @@ from . import embedding_dedup, minhash_dedup
 from .common import read
 from .compression_quality import quality
 from .exact_dedup import exact_dedup
+from .packing import pack
 from .suffix_dedup import remove_repeats
 
 
@@ -22,6 +23,10 @@ def op4_compression_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op9_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=2).drop("keeper", "th")
 
@@ -35,6 +40,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_compression_quality": op4_compression_quality,
+    "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
