@@ -9,15 +9,15 @@ and no very long run of letters or spaces.  Any other text goes to the library.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 import numpy as np
-import regex
 
 #: The splitting pattern of byte-level BPE with 50k ids (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = regex.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]")
-_LONG_RUN = regex.compile(r"\S{5000}|\s{5000}")
+_OTHER = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ɏ]")
+_LONG_RUN = re.compile(r"\S{5000}|\s{5000}")
 
 
 def _bytes_of() -> dict[str, int]:
