@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, staged
 from .components import connected_components
+from .groups import group_tables
 
 BUCKET, BLOCK, MISS = 128, 1024, 1e-6
+_GROUP = ["label", "dim", "table", "bits", "one", "two"]
 
 
 def plan_tables(rows: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
@@ -105,47 +107,26 @@ def local_links(rid, block, vec, keys, table: int, one: int, two: int, cosine: f
 
 
 def _groups(cosine: float):
-    names = ("label", "dim", "table", "bits", "one", "two")
-
-    def finish(parts):
-        if len(parts) == 1 and parts[0].num_rows < 2:
-            return None
-        t = pa.Table.from_batches(parts).combine_chunks()
-        if t.num_rows < 2:
-            return None
-        col = lambda c: t.column(c).to_numpy()
-        vec, keys = (_matrix(t.column(c).combine_chunks()) for c in ("vec", "keys"))
-        return local_links(col("rid"), col("block"), vec, keys, int(col("table")[0]), int(col("one")[0]), int(col("two")[0]), cosine)
-
     def emit(found):
-        if found:
-            arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rid", "n", "least"])
+        arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found)]
+        return pa.RecordBatch.from_arrays(arrays, names=["rid", "n", "least"])
 
     def run(batches):
-        held, key, found = [], None, []
-        for batch in batches:
-            if not batch.num_rows:
+        found, size = [], 0
+        for t in group_tables(batches, _GROUP):
+            if t.num_rows < 2:
                 continue
-            g = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in names], axis=1)
-            cuts = np.concatenate(([0], np.nonzero((g[1:] != g[:-1]).any(axis=1))[0] + 1, [len(g)]))
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                now = tuple(g[i])
-                if now != key and held:
-                    got = finish(held)
-                    if got is not None:
-                        found.append(got)
-                    held = []
-                held.append(batch.slice(i, j - i))
-                key = now
-            if sum(len(f[0]) for f in found) > 50_000:
-                yield from emit(found)
-                found = []
-        if held:
-            got = finish(held)
+            col = lambda c: t.column(c).to_numpy()  # noqa: E731, B023
+            vec, keys = (_matrix(t.column(c).combine_chunks()) for c in ("vec", "keys"))
+            got = local_links(col("rid"), col("block"), vec, keys, int(col("table")[0]), int(col("one")[0]), int(col("two")[0]), cosine)
             if got is not None:
                 found.append(got)
-        yield from emit(found)
+                size += len(got[0])
+            if size > 50_000:
+                yield emit(found)
+                found, size = [], 0
+        if found:
+            yield emit(found)
     return run
 
 
@@ -182,8 +163,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("rid", "label", "dim", "vec", "keys", "table", "bits", "block",
                      F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
-    groups = place + ["one", "two"]
-    found = staged(pairs.repartition(*groups).sortWithinPartitions(*groups)
+    found = staged(pairs.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
                    .mapInArrow(_groups(cosine), "rid long, n long, least long"), "op1-links")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")))
