@@ -7,6 +7,7 @@ from . import embedding_dedup, minhash_dedup
 from .common import read
 from .compression_quality import quality
 from .exact_dedup import exact_dedup
+from .lm_score import score
 from .packing import pack
 from .suffix_dedup import remove_repeats
 
@@ -35,6 +36,10 @@ def op3_suffix_dedup(spark, sf_dir):
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark, sf_dir):
+    return score(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -42,6 +47,7 @@ QUERIES = {
     "op4_compression_quality": op4_compression_quality,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {
