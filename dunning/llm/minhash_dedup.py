@@ -13,11 +13,16 @@ At similarity 0.8 a band agrees with probability 0.8**7 = 0.21, so one of 48
 agrees with probability 1 - 1.2e-5.
 
 Texts with equal sets are one class from the start.  Candidates are confirmed
-on the full sets in two steps, neither of which emits all pairs of a bucket:
-first each class against the least class of its bucket; the links found are
-joined into components; then, only in buckets that still hold several
-components, each pair of classes from different components.  Pairs within a
-component need no check, as components are all that is asked for.
+on the full sets without all pairs of a bucket: first each class against the
+least class of its bucket, and the links found are joined into components.  Then,
+only in buckets that still hold several components, each class against one more
+class of the bucket that lies in another component, ``TURNS`` times over.  What is
+apart after that is compared in full, by sketches: in blocks of a bucket, the
+classes outside its main component are held against all others, and pairs of
+different components that agree in about as many coordinates as similar sets do
+(5.5 standard deviations below 80 % of them at least) are confirmed on the full
+sets.  Pairs within a component need no check, as components are all that is
+asked for.
 
 Defined results: null text counts as empty; a row without words has an empty set
 and is linked with nothing; repeated rows are in one component; a null id sorts
@@ -35,9 +40,12 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, keep_rows, staged, texts
 from .components import connected_components
+from .groups import group_tables, in_blocks
 from .words import chunks, flat, mix, shingle_sets
 
 BANDS, ROWS = 48, 7
+TURNS = 2
+BLOCK = 512
 
 
 def sketches(shingle: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -82,14 +90,17 @@ def _describe(size: int, bands: int, rows: int):
             for i, j in chunks(at):
                 shingle, own = shingle_sets(data[at[i]:at[j]], at[i:j + 1] - at[i], size)
                 n = np.diff(own)
-                key = band_keys(sketches(shingle, own, bands * rows), bands, rows)[n > 0]
+                sketch = sketches(shingle, own, bands * rows)[n > 0]
+                key = band_keys(sketch, bands, rows)
                 where = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
+                low = pa.py_buffer(sketch.astype(np.uint8).tobytes())  # the last byte of each coordinate
+                short = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((where * rows).astype(np.int32).tobytes()), low])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(i, j - i) for c in ("doc_id", "th", "rid")]
                     + [pa.array(n, pa.int64()), pa.array(_sums(mix(shingle), own).view(np.int64)),
                        pa.array(_sums(mix(shingle ^ np.uint64(0x5851F42D4C957F2D)), own).view(np.int64)),
-                       pa.ListArray.from_arrays(pa.array(where), pa.array(key.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "th", "rid", "n", "d1", "d2", "bands"])
+                       pa.ListArray.from_arrays(pa.array(where), pa.array(key.reshape(-1).view(np.int64))), short],
+                    names=["doc_id", "th", "rid", "n", "d1", "d2", "bands", "sketch"])
     return run
 
 
@@ -110,19 +121,88 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of row numbers whose whole sets are similar enough."""
-    pairs = staged(pairs, "op9-pairs")
-    used = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    names = rows.select("rid", F.col("doc_id").alias("name"), F.col("th").alias("name_th")).join(used, "rid")
-    text = staged(docs.join(names, F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("th") == F.col("name_th")))
-                  .select("rid", F.col("text").cast("binary").alias("text")), "op9-texts")
     first = text.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     second = text.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
     return staged(both.mapInArrow(_confirm(size, percent), "a long, b long"), "op9-links")
 
 
+def _compared(size: int, percent: int):
+    """Links (a, b) between different components in each pair of blocks of a bucket.
+
+    Pairs that share an earlier band are left to it.  Of the others, those whose sketches
+    agree in nearly as many coordinates as similar sets do are confirmed on the full
+    sets.  One link of a class to each component is enough."""
+    def run(batches):
+        for t in group_tables(batches, ["key", "one", "two"]):
+            cid, n, root, block = (t.column(c).to_numpy() for c in ("cid", "n", "root", "block"))
+            sketch = np.stack([np.frombuffer(x.as_py(), np.uint8) for x in t.column("sketch")])
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+            earlier = int(np.nonzero(bands[0] == t.column("key")[0].as_py())[0][0])
+            p = percent / 100
+            least = sketch.shape[1] * p - 5.5 * np.sqrt(sketch.shape[1] * p * (1 - p))
+            across = t.column("one")[0] != t.column("two")[0]
+            values, counts = np.unique(root, return_counts=True)
+            other = np.nonzero(root != values[counts.argmax()])[0]  # every pair asked for has one of these
+            todo = {}
+            for i in other.tolist():
+                near = np.nonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((block != block[i]) | (not across)))[0]
+                near = near[(sketch[near] == sketch[i]).sum(axis=1) >= least]
+                near = near[~(bands[near, :earlier] == bands[i, :earlier]).any(axis=1)]
+                if len(near):
+                    todo[i] = near
+            if not todo:
+                continue
+            used = np.unique(np.concatenate([*todo.values(), np.array(list(todo))]))
+            data, at = flat(t.column("text").combine_chunks().take(pa.array(used)))
+            sets = [shingle_sets(data[at[i]:at[j]], at[i:j + 1] - at[i], size) for i, j in chunks(at)]
+            shingle = np.concatenate([x for x, _ in sets])
+            lengths = np.concatenate([np.diff(x) for _, x in sets])
+            begin = np.concatenate(([0], np.cumsum(lengths)))
+            local = np.unique(shingle, return_inverse=True)[1]
+            mark = np.zeros(local.max() + 1, np.int32)
+            links = []
+            for i, near in todo.items():
+                k, rows = int(np.searchsorted(used, i)), np.searchsorted(used, near)
+                own = local[begin[k]:begin[k + 1]]
+                mark[own] = 1
+                common = np.array([mark[local[begin[r]:begin[r + 1]]].sum() for r in rows.tolist()])
+                mark[own] = 0
+                linked = near[100 * common >= percent * (lengths[k] + lengths[rows] - common)]
+                for j in linked[np.unique(root[linked], return_index=True)[1]].tolist():
+                    links.append((cid[i], cid[j]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.array(links, np.int64).T], names=["a", "b"])
+    return run
+
+
+def _linked(members: DataFrame, text: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (node, root) of the classes in ``members`` (key, cid, n, hub)."""
+    tried = staged(members.where("cid != hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+                   .select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "op9-pairs")
+    roots = connected_components(_confirmed(tried, text, size, percent))
+    for turn in range(TURNS + 1):
+        placed = (members.select("key", "cid", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+                  .withColumn("root", F.coalesce("root", "cid")))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+        members = staged(placed.join(mixed, "key", "left_semi").select("key", "cid", "n", "root"), "op9-open")
+        if turn < TURNS:
+            any_one = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "root")).alias("y"))
+            pairs = (members.select("key", F.struct("cid", "n", "root").alias("x")).join(any_one, "key").where("x.root != y.root")
+                     .where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+                     .select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")))
+            pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "op9-pairs")
+            tried = tried.unionByName(pairs)
+            found = _confirmed(pairs, text, size, percent)
+        else:
+            rows = in_blocks(members.join(sketch, "cid").join(text.withColumnRenamed("rid", "cid"), "cid"), ["key"], "cid", BLOCK)
+            found = staged(rows.mapInArrow(_compared(size, percent), "a long, b long"), "op9-links")
+        roots = connected_components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return roots
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     percent: int = 80, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and further
@@ -131,30 +211,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = texts(docs, id_col, text_col)
     id_type = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(c, T.LongType()) for c in ("th", "rid", "n", "d1", "d2")]
-                          + [T.StructField("bands", T.ArrayType(T.LongType()))])
+                          + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = staged(source.select("doc_id", "th", F.monotonically_increasing_id().alias("rid"), F.col("text").cast("binary").alias("text"))
                   .mapInArrow(_describe(words, bands, band_rows), schema), "op9-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     classes = staged(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("cid"), first, F.first("n").alias("n")), "op9-classes")
     buckets = (rows.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
                .select(F.col("rid").alias("cid"), "n", F.explode("bands").alias("key")))
-    shared = (buckets.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top"))
-              .where("hub < top").select("key", "hub"))
-    members = staged(buckets.join(shared, "key"), "op9-members")
-    stars = members.where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(stars, rows, source, words, percent)
-    roots = connected_components(links)
-
-    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    open_rows = staged(placed.join(mixed, "key", "left_semi").select("key", "cid", "n", "hub", "root"), "op9-open")
-    one, two = open_rows.alias("x"), open_rows.alias("y")
-    apart = (one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") > F.col("y.cid")) & (F.col("x.root") != F.col("y.root"))
-                      & (F.col("y.cid") != F.col("x.hub"))  # compared already
-                      & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-             .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
-    links = links.unionByName(_confirmed(apart, rows, source, words, percent))
-    roots = connected_components(links)
+    shared = (buckets.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("h"), F.max("cid").alias("top"))
+              .where("h.cid < top").select("key", F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n")))
+    members = staged(buckets.join(shared, "key").select("key", "cid", "n", "hub", "hub_n"), "op9-members")
+    used = members.select(F.col("cid").alias("rid")).distinct()
+    names = rows.select("rid", F.col("doc_id").alias("name"), F.col("th").alias("name_th")).join(used, "rid")
+    text = staged(source.join(names, F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("th") == F.col("name_th")))
+                  .select("rid", F.col("text").cast("binary").alias("text")), "op9-texts")
+    sketch = rows.select(F.col("rid").alias("cid"), "sketch", "bands")
+    roots = _linked(members, text, sketch, words, percent)
 
     located = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     groups = located.groupBy("root").agg(F.min("first").alias("least"))

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .lm_score import score
 from .packing import pack
 from .suffix_dedup import remove_repeats
+from .url_filter import filter_urls
 
 
 def op1_embedding_dedup(spark, sf_dir):
@@ -24,6 +25,15 @@ def op4_compression_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+#: The rules that op7 judges by.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(read(spark, sf_dir, "pages"), rules)
+
+
 def op8_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"))
 
@@ -45,6 +55,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_compression_quality": op4_compression_quality,
+    "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_lm_score": op10_lm_score,
@@ -79,5 +90,24 @@ SELECT doc_id,
        row_number() OVER (PARTITION BY h ORDER BY n DESC, doc_id) = 1 AS kept,
        h AS text_sha256
 FROM d
+""",
+    "op7_url_filter": r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY length(host) DESC, length(prefix) DESC) AS place
+  FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) t(host, prefix, verdict)
+), hit AS (
+  SELECT p.page_id, min(r.place) AS place FROM p JOIN r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.prefix)
+  GROUP BY p.page_id
+)
+SELECT p.page_id, p.host, p.path, r.host || r.prefix AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM p LEFT JOIN hit ON hit.page_id = p.page_id LEFT JOIN r ON r.place = hit.place
 """,
 }
