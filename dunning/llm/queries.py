@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .lm_score import score
 from .packing import pack
 from .suffix_dedup import remove_repeats
+from .transcripts import chat_turns
 from .url_filter import filter_urls
 
 
@@ -25,6 +26,10 @@ def op4_compression_quality(spark, sf_dir):
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_chat_format(spark, sf_dir):
+    return chat_turns(read(spark, sf_dir, "conversations"))
+
+
 #: The rules that op7 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_compression_quality": op4_compression_quality,
+    "op5_chat_format": op5_chat_format,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
