@@ -9,6 +9,7 @@ from .compression_quality import quality
 from .exact_dedup import exact_dedup
 from .lm_score import score
 from .packing import pack
+from .piece_sampling import encode
 from .suffix_dedup import remove_repeats
 from .transcripts import chat_turns
 from .url_filter import filter_urls
@@ -30,6 +31,10 @@ def op5_chat_format(spark, sf_dir):
     return chat_turns(read(spark, sf_dir, "conversations"))
 
 
+def op6_piece_sampling(spark, sf_dir):
+    return encode(read(spark, sf_dir, "documents"))
+
+
 #: The rules that op7 judges by.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_compression_quality": op4_compression_quality,
     "op5_chat_format": op5_chat_format,
+    "op6_piece_sampling": op6_piece_sampling,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
