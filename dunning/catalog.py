@@ -268,3 +268,8 @@ STAGES = ["risk_evaluation", "root_cause_analysis", "policy_guardrail", "executi
 STAGE_NO = {s: i + 1 for i, s in enumerate(STAGES)}
 RECOVERY_STATUSES = ["UNRECOVERED", "RECOVERED", "ESCALATED", "FAILED", "STOPPED"]
 TERMINAL_STATUSES = ["RECOVERED", "ESCALATED", "STOPPED"]
+
+# Texts of the model requests (free wording; only the field names are fixed).
+PROMPT_SYSTEM = "You diagnose failed payments and propose one recovery action."
+PROMPT_ANSWER = ("Answer with one JSON object holding root_cause, confidence, recommended_action, reason and "
+                 "why_not_alternatives.")

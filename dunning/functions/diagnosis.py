@@ -83,19 +83,37 @@ RESPONSE_SCHEMA = T.StructType([
 ])
 
 
+def _strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+
+
 def clean_response(text: Column) -> Column:
     """Trim; when it starts with a code fence drop the first and last lines."""
-    t = F.trim(text)
+    t = _strip(text)
     fenced = t.startswith("```")
     inner = F.array_join(F.slice(F.split(t, "\n"), 2, F.greatest(F.size(F.split(t, "\n")) - 2, F.lit(0))), "\n")
-    return F.when(fenced, F.trim(inner)).otherwise(t)
+    return F.when(fenced, _strip(inner)).otherwise(t)
 
 
 def parse_response(text: Column) -> Column:
-    """Struct of the 5 fields plus ``valid``; malformed JSON gives NULL fields."""
-    j = F.from_json(clean_response(text), RESPONSE_SCHEMA, {"mode": "PERMISSIVE"})
+    """Struct of the 5 fields plus ``valid``; malformed JSON gives NULL fields.
+
+    Strict JSON: one object from the first to the last character, double quotes
+    only, and text fields that are JSON strings (not numbers or objects)."""
+    cleaned = clean_response(text)
+    # inside brackets, text after the object is a syntax error or a second element
+    wrapped = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]")))
+    value = F.try_variant_get(wrapped, "$[0]", "variant")
+    whole = (cleaned.endswith("}") & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+             & F.schema_of_variant(value).startswith("OBJECT"))
+    parsed = F.when(whole, cleaned)
+    j = F.from_json(parsed, RESPONSE_SCHEMA, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     conf = j["confidence"].try_cast("double")
-    valid = (j["root_cause"].isin(*C.ROOT_CAUSES)
+    strings = F.lit(True)
+    for name in ("root_cause", "recommended_action", "reason", "why_not_alternatives"):
+        strings = strings & (F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == "STRING")
+    valid = (strings & j["root_cause"].isin(*C.ROOT_CAUSES)
              & j["recommended_action"].isin(*C.ACTION_NAMES)
              & conf.isNotNull() & j["reason"].isNotNull() & j["why_not_alternatives"].isNotNull())
     return F.struct(

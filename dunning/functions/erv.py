@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from .risk import norm_code, risk_base
+from .validity import is_invalid, is_recovered
 
 PROB_T = "decimal(3,2)"
 MONEY_T = "decimal(18,2)"
@@ -67,6 +68,7 @@ def expected_values(amount: Column, prob: Column, cost) -> tuple[Column, Column]
 def prepare(df: DataFrame) -> DataFrame:
     """Per-row decision constants, evaluated once:
 
+    ``invalid`` / ``done_before`` (rows the loop must not touch),
     ``code_cls``, ``band``, policy flags ``hv`` / ``optout``, the
     attempt-independent risk score part ``risk_base``, ``p_<action>`` (probability under the raw code,
     used for outcomes) and ``net_<action>`` (expected net under the ranking
@@ -79,6 +81,8 @@ def prepare(df: DataFrame) -> DataFrame:
         "optout": F.col("preference") == "none",
         "risk_base": risk_base(F.col("amount"), F.col("failure_code"), F.col("risk_rate"),
                                F.col("risk_flag"), F.col("days_overdue")),
+        "invalid": is_invalid(F.col("amount"), F.col("retry_count")),
+        "done_before": is_recovered(F.col("recovery_status"), F.col("status")),
     })
     cols = {}
     for action, _, rank_cost, _, kind in C.ACTIONS:

@@ -16,7 +16,7 @@ Selectors:
 * ``rules``     static action by failure code and attempt number (SX-11);
 * ``optimizer`` best expected net among policy-approved automated actions
   (TK-05), ranked on the diagnosed cause; with ``model=True`` attempt k reads
-  the recorded model response ``resp{k}`` when ``in_quota`` (MI-04).
+  the recorded model response ``answer{k}`` when ``in_quota`` (MI-04).
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from ..functions.erv import best_allowed, code_class, eval_cost_of, net_for, net
 from ..functions.outcome import describe, recovered, recovery_status_after, succeeded
 from ..functions.policy import PolicyContext, approves, done_flag, final_action, policy_rule, result_of
 from ..functions.risk import risk_level, score_from_base
+from ..functions.validity import row_error
 
 # per-attempt columns kept in the trail (see ``trail`` in the result struct)
 TRAIL_FIELDS = ["attempt_no", "attempts_before", "risk_score", "root_cause", "diagnosis_source",
@@ -40,13 +41,12 @@ TRAIL_FIELDS = ["attempt_no", "attempts_before", "risk_score", "root_cause", "di
 
 
 def _init_state(s: str) -> list:
-    rec = F.upper(F.coalesce(F.col("recovery_status"), F.lit("UNRECOVERED")))
     return [("with", {
         f"{s}att": F.col("prior_executions").cast("int"),
         f"{s}hist": F.col("prior_actions"),
         f"{s}retry": F.col("retry_count"),
         f"{s}rec": F.col("recovery_status"),
-        f"{s}active": ~F.col("prior_terminal") & (rec != "SUCCESS"),
+        f"{s}active": ~F.col("prior_terminal") & ~F.col("done_before") & ~F.col("invalid"),
     })]
 
 
@@ -56,15 +56,15 @@ def _diagnosis_cols(q: str, s: str, k: int, selector: str, model: bool) -> dict[
     if selector == "rules" or not model:
         return {f"{q}cause": code_cause,
                 f"{q}src": F.lit("rules" if selector == "rules" else "erv")}
-    return {f"{q}parsed": DX.parse_response(F.col(f"resp{k}")),
+    return {f"{q}parsed": F.col(f"answer{k}.parsed"),
             f"{q}fb": DX.fallback_diagnosis(cls, F.col(f"{s}hist"))}
 
 
 def _model_cols(q: str, k: int) -> dict[str, Column]:
     parsed, fb = F.col(f"{q}parsed"), F.col(f"{q}fb")
     quota = F.col("in_quota")
-    use_model = quota & parsed["valid"]
-    err = (F.when(F.col(f"resp{k}").isNull(), F.lit("no recorded response"))
+    use_model = quota & F.coalesce(parsed["valid"], F.lit(False))
+    err = (F.when(F.col(f"answer{k}.text").isNull(), F.lit("no recorded response"))
            .when(parsed["root_cause"].isNull() & parsed["reason"].isNull(), F.lit("malformed response JSON"))
            .otherwise(F.lit("response failed schema validation")))
     fb_reason = F.concat(fb["reason"], F.lit(" (LLM Error: "),
@@ -171,7 +171,7 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
     """Adds struct column ``name`` with the strategy's result for each row.
 
     ``df`` is :func:`dunning.functions.erv.prepare` output (and, for
-    ``model=True``, carries ``in_quota``, ``resp1``, ``resp2``).  The struct
+    ``model=True``, carries ``in_quota``, ``answer1``, ``answer2``).  The struct
     also holds ``trail``, the executed attempts, from which audit rows are
     rendered.
     """
@@ -216,10 +216,11 @@ def _decide_steps(selector: str, name: str, model: bool) -> tuple:
     steps.append(("with", {f"{s}esc": esc}))
     esc = F.col(f"{s}esc")
     fin_action = F.when(esc, F.lit(C.ESCALATE)).otherwise(F.col(f"{s}fin"))
-    status = F.when(esc, F.lit("FAILURE")).when(n == 0, F.lit("SKIPPED")) \
+    invalid, error = F.col("invalid"), row_error(F.col("amount"), F.col("retry_count"))
+    status = F.when(invalid, F.lit("ERROR")).when(esc, F.lit("FAILURE")).when(n == 0, F.lit("SKIPPED")) \
         .when(F.col(f"{s}ok"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
-    desc = (F.when(esc, F.lit(C.OUTCOME_ESCALATED))
-            .when((n == 0) & F.col("prior_terminal"), F.lit(C.SKIPPED_TERMINAL))
+    desc = (F.when(invalid, error).when(esc, F.lit(C.OUTCOME_ESCALATED))
+            .when((n == 0) & (F.col("prior_terminal") | F.col("done_before")), F.lit(C.SKIPPED_TERMINAL))
             .when(n == 0, F.lit(C.SKIPPED_NO_ATTEMPT))
             .otherwise(describe(F.col(f"{s}fin"), F.col(f"{s}ok"), F.col("amount"), F.col(f"{s}prob"))))
     result = F.struct(
@@ -250,10 +251,12 @@ def baseline(df: DataFrame, name: str = "baseline") -> Column:
     """Naive strategy (ST-01): one retry_payment when amount < 25,000 and the
     customer has not opted out; otherwise stop.  Writes no audit rows and
     ignores the fraud flag."""
-    eligible = ~F.col("hv") & ~F.col("optout")
-    action = F.when(eligible, F.lit("retry_payment")).otherwise(F.lit(C.STOP))
+    invalid, untouched = F.col("invalid"), F.col("invalid") | F.col("done_before")
+    error = row_error(F.col("amount"), F.col("retry_count"))
+    eligible = ~F.col("hv") & ~F.col("optout") & ~untouched
+    action = F.when(untouched, F.lit(None).cast("string")).when(eligible, F.lit("retry_payment")).otherwise(F.lit(C.STOP))
     p = F.col("p_retry_payment")
-    ok = succeeded(F.lit("retry_payment"), p, F.col("u_bp"))
+    ok = eligible & succeeded(F.lit("retry_payment"), p, F.col("u_bp"))
     return F.struct(
         F.lit(name).alias("strategy"),
         F.lit(None).cast("int").alias("risk_score"),
@@ -262,12 +265,14 @@ def baseline(df: DataFrame, name: str = "baseline") -> Column:
         F.lit(None).cast("string").alias("recommended_action"),
         F.lit(None).cast("string").alias("policy_result"),
         action.alias("final_action"),
-        F.when(~eligible, F.lit("FAILED")).when(ok, F.lit("SUCCESS")).otherwise(F.lit("FAILURE")).alias("status"),
+        F.when(invalid, F.lit("ERROR")).when(untouched, F.lit("SKIPPED"))
+        .when(~eligible, F.lit("FAILED")).when(ok, F.lit("SUCCESS")).otherwise(F.lit("FAILURE")).alias("status"),
         F.when(eligible, recovered(ok, F.col("amount"))).otherwise(F.lit(0).cast("decimal(18,2)"))
         .alias("amount_recovered"),
         F.when(eligible, 1).otherwise(0).cast("long").alias("execution_count"),
         F.when(eligible, 1).otherwise(0).cast("long").alias("automated_attempts"),
-        F.when(eligible, describe(F.lit("retry_payment"), ok, F.col("amount"), p))
+        F.when(invalid, error).when(untouched, F.lit(C.SKIPPED_TERMINAL))
+        .when(eligible, describe(F.lit("retry_payment"), ok, F.col("amount"), p))
         .otherwise(F.lit(C.BASELINE_STOPPED)).alias("description"),
-        eval_cost_of(action).alias("cost"),
+        F.when(untouched, F.lit(None).cast("decimal(5,1)")).otherwise(eval_cost_of(action)).alias("cost"),
     )

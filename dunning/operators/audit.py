@@ -2,8 +2,8 @@
 AG-06, AG-15, AG-18..AG-21).
 
 Rows are generated per transaction from the strategy's ``trail`` (executed
-attempts) with ``explode``: up to four stage rows per attempt plus the
-guardrail and execution rows of a budget escalation.  The key
+attempts) with one ``explode``, so the decision pass runs once: up to four stage
+rows per attempt plus the guardrail and execution rows of a budget escalation.  The key
 ``(transaction_id, attempt_no, stage_no)`` orders a trail without any global
 sequence or sort.
 """
@@ -21,6 +21,7 @@ from ..functions.erv import eval_cost_of
 from ..functions.outcome import describe, recovered
 from ..functions.risk import risk_level
 from ..functions.text import money_text, template
+from .joins import lookup_join
 
 LatencyFn = Callable[[Column, Column], Column]
 
@@ -61,36 +62,37 @@ def audit_rows(wide: DataFrame, strategy: str, run_ts: str | None = None,
     ts = (F.lit(run_ts).cast("timestamp_ntz") if run_ts
           else F.current_timestamp().cast("timestamp_ntz"))
     s = F.col(strategy)
-    base = wide.select("transaction_id", "amount", "failure_code", s["trail"].alias("trail"),
-                       s["escalated"].alias("escalated"), s["execution_count"].alias("execution_count"))
     zero = F.lit(0)
     null = F.lit(None).cast("string")
-    per_attempt = base.select("transaction_id", "amount", "failure_code", F.explode("trail").alias("t"))
-    t = F.col("t")
-    stages = F.array(
-        _row(t["attempt_no"], "risk_evaluation", null, null, null, zero,
-             template(C.RISK_AUDIT_REASON, score=t["risk_score"], level=risk_level(t["risk_score"]),
-                      attempts=t["attempts_before"])),
-        _row(t["attempt_no"], "root_cause_analysis", t["recommended_action"], null, null, zero,
-             _diag_reason(t, F.col("failure_code"))),
-        _row(t["attempt_no"], "policy_guardrail", t["recommended_action"], result_of(t["policy_rule"]), null, zero,
-             reason_text(t["policy_rule"], t["recommended_action"], F.col("transaction_id"), F.col("amount"))),
-        _row(t["attempt_no"], "execution", t["final_action"], F.lit("APPROVED"),
-             F.when(t["success"], "SUCCESS").otherwise("FAILURE"),
-             recovered(t["success"], F.col("amount")),
-             describe(t["final_action"], t["success"], F.col("amount"), t["probability"])),
-    )
-    rows = per_attempt.select("transaction_id", F.explode(stages).alias("r"))
+    rows = []
+    for k in range(C.MAX_ATTEMPTS):
+        t = F.get(F.col("trail"), F.lit(k))   # NULL where the attempt was not made
+        for row in (
+            _row(t["attempt_no"], "risk_evaluation", null, null, null, zero,
+                 template(C.RISK_AUDIT_REASON, score=t["risk_score"], level=risk_level(t["risk_score"]),
+                          attempts=t["attempts_before"])),
+            _row(t["attempt_no"], "root_cause_analysis", t["recommended_action"], null, null, zero,
+                 _diag_reason(t, F.col("failure_code"))),
+            _row(t["attempt_no"], "policy_guardrail", t["recommended_action"], result_of(t["policy_rule"]), null, zero,
+                 reason_text(t["policy_rule"], t["recommended_action"], F.col("transaction_id"), F.col("amount"))),
+            _row(t["attempt_no"], "execution", t["final_action"], F.lit("APPROVED"),
+                 F.when(t["success"], "SUCCESS").otherwise("FAILURE"),
+                 recovered(t["success"], F.col("amount")),
+                 describe(t["final_action"], t["success"], F.col("amount"), t["probability"])),
+        ):
+            rows.append(F.when(t.isNotNull(), row))
     esc_no = F.col("execution_count")   # the escalation execution is the last one
-    esc = base.where(F.col("escalated")).select(
-        "transaction_id",
-        F.explode(F.array(
-            _row(esc_no, "policy_guardrail", F.lit(C.ESCALATE), F.lit("APPROVED"), null, zero,
-                 F.lit(C.BUDGET_ESCALATION_REASON)),
-            _row(esc_no, "execution", F.lit(C.ESCALATE), F.lit("APPROVED"), F.lit("FAILURE"), zero,
-                 F.lit(C.OUTCOME_ESCALATED)),
-        )).alias("r"))
-    out = rows.unionByName(esc).select("transaction_id", "r.*")
+    for row in (
+        _row(esc_no, "policy_guardrail", F.lit(C.ESCALATE), F.lit("APPROVED"), null, zero,
+             F.lit(C.BUDGET_ESCALATION_REASON)),
+        _row(esc_no, "execution", F.lit(C.ESCALATE), F.lit("APPROVED"), F.lit("FAILURE"), zero,
+             F.lit(C.OUTCOME_ESCALATED)),
+    ):
+        rows.append(F.when(F.col("escalated"), row))
+    base = wide.select("transaction_id", "amount", "failure_code", s["trail"].alias("trail"),
+                       s["escalated"].alias("escalated"), s["execution_count"].alias("execution_count"))
+    out = (base.select("transaction_id", F.explode(F.array(*rows)).alias("r")).where(F.col("r").isNotNull())
+           .select("transaction_id", "r.*"))
     return out.select(
         F.lit(strategy).alias("strategy"), "transaction_id", "attempt_no", "stage_no",
         ts.alias("timestamp"), "stage", "agent_action", "policy_result", "tool_result",
@@ -115,8 +117,8 @@ def policy_breakdown(audit: DataFrame) -> DataFrame:
 def stage_latency(audit: DataFrame) -> DataFrame:
     """avg / max / count of latency by stage in ms, 3 decimals (AG-15)."""
     g = audit.groupBy("stage").agg(
-        F.avg(F.coalesce(F.col("latency_us"), F.lit(0)).cast("double")).alias("avg_us"),
-        F.max(F.coalesce(F.col("latency_us"), F.lit(0))).alias("max_us"),
+        F.coalesce(F.avg(F.col("latency_us").cast("double")), F.lit(0.0)).alias("avg_us"),
+        F.coalesce(F.max("latency_us"), F.lit(0)).alias("max_us"),
         F.count(F.lit(1)).alias("invocations"))
     return g.select(
         "stage",
@@ -127,36 +129,29 @@ def stage_latency(audit: DataFrame) -> DataFrame:
     )
 
 
-def history(audit: DataFrame) -> DataFrame:
-    """Re-exported bounded execution history per transaction (AG-20)."""
-    from .enrich import history as _h
-    return _h(audit)
-
-
 def policy_violations(audit: DataFrame, transactions: DataFrame, customers: DataFrame) -> DataFrame:
     """Executed automated actions that the guardrail forbids (AG-18), per rule.
 
-    Joins execution rows to their transaction and customer; a duplicate is a
-    second execution of the same automated action for one transaction.
+    Execution rows are counted per (transaction, action) first, then joined once
+    to their transaction and customer; a duplicate is a second execution of the
+    same automated action for one transaction.
     """
-    ex = audit.where((F.col("stage") == "execution") & F.col("agent_action").isin(*C.AUTOMATED))
-    dup = (ex.groupBy("transaction_id", "agent_action").agg(F.count(F.lit(1)).alias("k"))
-           .groupBy("transaction_id").agg(F.sum(F.col("k") - 1).alias("duplicates")))
+    ex = (audit.where((F.col("stage") == "execution") & F.col("agent_action").isin(*C.AUTOMATED))
+          .groupBy("transaction_id", "agent_action").agg(F.count(F.lit(1)).alias("k")))
     cust = customers.select("customer_id", F.col("risk_flag").alias("c_flag"),
                             F.lower(F.coalesce(F.col("contact_preference"), F.lit("email"))).alias("c_pref"))
     tx = transactions.select("transaction_id", "customer_id", "amount")
-    j = ex.join(tx, "transaction_id", "left").join(cust, "customer_id", "left")
-    per_rule = j.agg(
-        F.count_if(F.coalesce(F.col("amount"), F.lit(0)) >= C.HIGH_VALUE_THRESHOLD).alias("high_value"),
-        F.count_if(F.coalesce(F.col("c_flag"), F.lit(False))).alias("fraud_flag"),
-        F.count_if(F.col("agent_action").isin(*C.CONTACT_ACTIONS) & (F.col("c_pref") == "none")).alias("opt_out"),
-    )
-    d = dup.agg(F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicate"))
-    return per_rule.crossJoin(d).select(
-        F.col("high_value").cast("long"), F.col("fraud_flag").cast("long"),
-        F.col("opt_out").cast("long"), F.col("duplicate").cast("long"),
-        (F.col("high_value") + F.col("fraud_flag") + F.col("opt_out") + F.col("duplicate"))
-        .cast("long").alias("policy_violations"))
+    j = lookup_join(ex.join(tx, "transaction_id", "left"), cust, "customer_id", "left")
+
+    def total(cond, n=F.col("k")):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+
+    return j.agg(
+        total(F.coalesce(F.col("amount"), F.lit(0)) >= C.HIGH_VALUE_THRESHOLD).alias("high_value"),
+        total(F.coalesce(F.col("c_flag"), F.lit(False))).alias("fraud_flag"),
+        total(F.col("agent_action").isin(*C.CONTACT_ACTIONS) & (F.col("c_pref") == "none")).alias("opt_out"),
+        total(F.lit(True), F.col("k") - 1).alias("duplicate"),
+    ).withColumn("policy_violations", F.col("high_value") + F.col("fraud_flag") + F.col("opt_out") + F.col("duplicate"))
 
 
 def stopping_violations(audit: DataFrame) -> DataFrame:
@@ -190,7 +185,3 @@ def execution_attempt_numbers(audit: DataFrame) -> DataFrame:
     (WN-02), read from the composite key (no window needed)."""
     return (audit.where(F.col("stage") == "execution")
             .select("strategy", "transaction_id", "attempt_no", "agent_action", "tool_result"))
-
-
-def policy_result_text(rule: Column) -> Column:
-    return result_of(rule)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.risk import risk_rate
-from ..session import ensure_parallelism
 from .joins import lookup_join
 
 
@@ -74,23 +73,31 @@ def history(audit: DataFrame) -> DataFrame:
 
 
 def enrich(transactions: DataFrame, customers: DataFrame, invoices: DataFrame,
-           outcomes: DataFrame | None = None, prior_audit: DataFrame | None = None,
-           hot_key_rows: int | None = None) -> DataFrame:
+           outcomes: DataFrame | None = None, prior_audit: DataFrame | None = None) -> DataFrame:
     """One row per transaction with every input the decision needs.
 
     Draws: if ``transactions`` already carries ``u_bp`` no outcome join is
-    made; otherwise ``outcomes(transaction_id, u_bp)`` is left-joined.
+    made; otherwise ``outcomes(transaction_id, u_bp)`` is left-joined, and a
+    transaction without a draw fails its attempts.  The same holds for the
+    ``prior_*`` history columns and ``prior_audit``.
     """
-    tx = ensure_parallelism(transactions, "transaction_id")
+    return with_context(transactions, customer_context(customers, invoices), outcomes, prior_audit)
+
+
+def with_context(transactions: DataFrame, ctx: DataFrame, outcomes: DataFrame | None = None,
+                 prior_audit: DataFrame | None = None) -> DataFrame:
+    """:func:`enrich` with a prepared :func:`customer_context`."""
+    tx = transactions
     if "u_bp" not in tx.columns:
         if outcomes is None:
             tx = tx.withColumn("u_bp", F.lit(None).cast("int"))
         else:
             tx = tx.join(outcomes.select("transaction_id", "u_bp"), "transaction_id", "left")
-    ctx = customer_context(customers, invoices)
-    df = lookup_join(tx, ctx, "customer_id", "left", hot_key_rows=hot_key_rows)
-    if prior_audit is not None:
-        df = lookup_join(df, history(prior_audit), "transaction_id", "left", hot_key_rows=hot_key_rows)
+    df = lookup_join(tx, ctx, "customer_id", "left")
+    if "prior_executions" in df.columns:
+        pass  # the caller's rows carry their history already
+    elif prior_audit is not None:
+        df = df.join(history(prior_audit), "transaction_id", "left")  # unique on both sides
     else:
         df = (df.withColumn("prior_executions", F.lit(0).cast("long"))
               .withColumn("prior_automated", F.lit(0).cast("long"))

@@ -1,21 +1,14 @@
-"""Skew-aware N:1 lookup join.
+"""Skew-aware N:1 lookup join in one plan.
 
 A fact table (transactions, audit rows) joins a dimension keyed by ``key``
-(customers, transaction context).  One key may hold a large share of the fact
-rows (a marketplace customer, a bot).  A plain shuffle join would send all of
-that key's rows to one task, so hot keys are split off:
-
-1. count fact rows per key with a partial (map-side) aggregate and keep keys
-   at or above ``hot_key_rows``; there are at most ``rows / hot_key_rows`` of
-   them, and the count is checked against ``max_hot_keys`` before use;
-2. hot fact rows join a broadcast of just the hot keys' dimension rows (at most
-   one per hot key), map-side, in parallel over all fact partitions;
-3. the remaining keys take the regular shuffle join, which AQE may still turn
-   into a broadcast join from measured sizes.
-
-The hot-key list is fetched once as a bounded list (at most ``max_hot_keys``
-values, checked with ``limit``), so both branches see the same key set and no
-count is recomputed after an executor loss.
+(customers, transaction context).  NULL keys match nothing, but a plain outer
+join would send all of them to one task; here a NULL-key row gets a salt from
+a hash of the whole row, and the salt is part of the join key (0 on the other
+side), so those rows spread evenly.  A hot non-NULL key is split by the
+adaptive skew join (``spark.sql.adaptive.skewJoin.enabled``): both inputs are
+exchanged by the join itself, so any number of oversized partitions can be cut
+by size at run time.  No extra pass counts keys, nothing is collected, and the
+plan has one scan of the fact side.
 """
 
 from __future__ import annotations
@@ -23,31 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-DEFAULT_HOT_KEY_ROWS = 2_000_000
-MAX_HOT_KEYS = 20_000
-
-
-def hot_keys(big: DataFrame, key: str, hot_key_rows: int) -> DataFrame:
-    return (big.where(F.col(key).isNotNull()).groupBy(key).count()
-            .where(F.col("count") >= hot_key_rows).select(key))
+NULL_SALTS = 4096
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
-                hot_key_rows: int | None = None) -> DataFrame:
-    spark = big.sparkSession
-    if hot_key_rows is None:
-        hot_key_rows = int(spark.conf.get("dunning.join.hotKeyRows", str(DEFAULT_HOT_KEY_ROWS)))
-    if hot_key_rows <= 0:
-        return big.join(small, key, how)
-    hot = [r[0] for r in hot_keys(big, key, hot_key_rows).limit(MAX_HOT_KEYS + 1).collect()]
-    if not hot or len(hot) > MAX_HOT_KEYS:
-        # no hot key, or more than the broadcast bound: AQE skew-join splitting
-        # of oversized partitions is the remaining guard.
-        return big.join(small, key, how)
-    is_hot = F.col(key).isin(hot)
-    big_hot = big.where(is_hot)
-    big_cold = big.where(~is_hot | F.col(key).isNull())
-    small_hot = small.where(is_hot)
-    return (big_hot.join(F.broadcast(small_hot), key, how)
-            .unionByName(big_cold.join(small, key, how)))
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    hashable = [f.name for f in big.schema.fields if f.dataType.typeName() != "map"]
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(NULL_SALTS)) + 1)
+    left = big.withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    right = small.withColumn("_salt", F.lit(0).cast("bigint"))
+    return left.join(right, [key, "_salt"], how).drop("_salt")

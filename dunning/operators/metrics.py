@@ -56,7 +56,7 @@ def strategy_summary(results: DataFrame) -> DataFrame:
     ok = F.col("status") == "SUCCESS"
     g = results.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("transactions"),
-        F.sum("amount").alias("revenue_at_risk"),
+        F.sum(F.when(F.col("status") != "ERROR", F.col("amount"))).alias("revenue_at_risk"),
         F.count_if(ok).alias("transactions_recovered"),
         F.coalesce(F.sum(F.when(ok, F.col("amount_recovered"))), F.lit(0)).alias("revenue_recovered"),
         F.coalesce(F.sum("cost"), F.lit(0)).alias("operational_cost"),

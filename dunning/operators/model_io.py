@@ -13,31 +13,30 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import diagnosis as DX
-from ..functions.erv import candidates, prepare
-from ..functions.risk import risk
-from .joins import lookup_join
-
-SYSTEM_NOTE = "Return your structured diagnosis and decisions as JSON:"
-
+from ..functions.erv import candidates
 
 def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int | None = None) -> DataFrame:
-    """Adds ``resp1``, ``resp2`` and ``in_quota`` (MI-05, JN-10).
+    """Adds ``answer1``, ``answer2`` (text, parsed) and ``in_quota`` (MI-05, JN-10).
 
     Responses are pivoted per transaction with a partial aggregate (at most
-    one value per attempt), then joined once.  The quota is the first
-    ``llm_limit`` ids (a top-k, broadcast as a bounded id list); ``None`` means
-    every transaction may use the model.
+    one value per attempt, the latest by ``recorded_seq`` where several were
+    recorded), then joined once.  The quota is the ids up to the
+    ``llm_limit``-th, one value found by a top-k; ``None`` means every
+    transaction may use the model.
     """
+    order = F.struct(F.col("recorded_seq") if "recorded_seq" in responses.columns else F.lit(0), F.col("response_text"))
+    # parsed here, before the join, so the decision pass sees plain columns
+    answer = F.struct(F.col("response_text").alias("text"), DX.parse_response(F.col("response_text")).alias("parsed"))
     r = responses.groupBy("transaction_id").agg(
-        *[F.max(F.when(F.col("attempt_no") == k, F.col("response_text"))).alias(f"resp{k}")
+        *[F.max_by(answer, F.when(F.col("attempt_no") == k, order)).alias(f"answer{k}")
           for k in range(1, C.MAX_ATTEMPTS + 1)])
-    df = lookup_join(enriched, r, "transaction_id", "left")
+    df = enriched.join(r, "transaction_id", "left")  # unique on both sides
     if llm_limit is None:
         return df.withColumn("in_quota", F.lit(True))
-    quota = (enriched.select("transaction_id").orderBy("transaction_id").limit(llm_limit)
-             .withColumn("in_quota", F.lit(True)))
-    return (df.join(F.broadcast(quota), "transaction_id", "left")
-            .withColumn("in_quota", F.coalesce(F.col("in_quota"), F.lit(False))))
+    last = (enriched.select("transaction_id").orderBy("transaction_id").limit(llm_limit)
+            .agg(F.max("transaction_id").alias("_last_id")))  # one row
+    return (df.join(F.broadcast(last), F.col("transaction_id") <= F.col("_last_id"), "left")
+            .withColumn("in_quota", F.col("_last_id").isNotNull()).drop("_last_id"))
 
 
 def response_table(responses: DataFrame) -> DataFrame:
@@ -50,40 +49,33 @@ def response_table(responses: DataFrame) -> DataFrame:
                             p["recommended_action"].alias("recommended_action"))
 
 
-def prompt_requests(enriched: DataFrame) -> DataFrame:
-    """MI-01: one prompt per transaction for the first attempt (empty
-    history), with the ERV lines of the raw failure code and the invoice
-    block when the customer has one."""
-    e = prepare(enriched)
-    rk = risk(F.col("amount"), F.col("failure_code"), F.col("retry_count"), F.col("risk_rate"),
-              F.col("risk_flag"), F.col("days_overdue"))
-    cand = candidates(e)
-    erv_lines = F.array_join(F.transform(cand, lambda c: F.concat(
-        c["action"], F.lit(" | "), F.format_number(c["probability"], 2), F.lit(" | INR "),
-        F.format_number(c["cost"], 1), F.lit(" | INR "), F.format_number(c["expected_net"], 2))), "\n")
-    invoice = F.when(F.col("invoice_id").isNotNull(), F.concat(
-        F.lit("\n[INVOICE]\nID: "), F.col("invoice_id"),
-        F.lit("\nAmount Due: INR "), F.col("invoice_amount_due").cast("string"),
-        F.lit("\nDays Overdue: "), F.col("days_overdue").cast("string"),
-        F.lit("\nPromise to Pay: "), F.when(F.col("invoice_promise_to_pay"), "True").otherwise("False"),
-        F.lit("\n"))).otherwise(F.lit("\n[INVOICE]\nNo active invoice/receivables context."))
-    body = F.concat(
-        F.lit("Analyze this transaction failure and select the best next recovery action:\n\n[TRANSACTION]\nID: "),
-        F.col("transaction_id"), F.lit("\nAmount: INR "), F.col("amount").cast("string"),
-        F.lit("\nMethod: "), F.col("payment_method"),
-        F.lit("\nFailure Code: "), F.coalesce(F.col("failure_code"), F.lit("None")),
-        F.lit("\nTimestamp: "), F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"),
-        F.lit("\nRisk Score: "), rk["risk_score"].cast("string"), F.lit(" ("), rk["risk_level"], F.lit(")"),
-        F.lit("\n\n[CUSTOMER]\nID: "), F.coalesce(F.col("customer_id"), F.lit("")),
-        F.lit("\nType: "), F.coalesce(F.col("customer_type"), F.lit("new")),
-        F.lit("\nLifetime Value: INR "), F.col("ltv").cast("string"),
-        F.lit("\nPrevious Payment Success Rate: "), F.col("erv_rate").cast("string"),
-        F.lit("\nContact Preference: "), F.col("preference"),
-        F.lit("\nRisk Flag: "), F.when(F.col("risk_flag"), "True").otherwise("False"),
-        F.lit("\n\n[RECOVERY HISTORY]\nNo previous attempts made in this recovery loop."),
-        F.lit("\n\n[EXPECTED NET RECOVERY VALUES]\nAction | Prob | Cost | Net Recovery\n"), erv_lines,
-        F.lit("\n"), invoice, F.lit("\n"), F.lit(SYSTEM_NOTE))
-    return e.select("transaction_id", body.alias("prompt"), F.length(body).alias("prompt_chars"))
+def prompt_requests(wide: DataFrame, strategy: str = "optimizer") -> DataFrame:
+    """MI-01: the request of each attempt made: a system text and a prompt with the
+    transaction, the customer, the open invoice, what this run has tried so far and the
+    options of the raw failure code.  Amounts are plain numbers with two decimals."""
+    def text(c, missing="none"):
+        return F.coalesce(c.cast("string"), F.lit(missing))
+
+    lit = F.lit
+    options = F.array_join(F.transform(candidates(wide), lambda c: F.concat(
+        c["action"], lit(": "), c["probability"].cast("string"), lit(", "), c["cost"].cast("string"), lit(", "),
+        c["expected_net"].cast("string"))), "; ")
+    invoice = F.when(F.col("invoice_id").isNull(), lit("none")).otherwise(F.concat(
+        F.col("invoice_id"), lit(", INR "), text(F.col("invoice_amount_due")), lit(", "), text(F.col("days_overdue")), lit(" days late")))
+    head = F.concat(
+        lit("Failed payment "), F.col("transaction_id"), lit(": INR "), text(F.col("amount")), lit(" by "),
+        text(F.col("payment_method")), lit(", code "), text(F.col("failure_code")),
+        lit("\nCustomer "), text(F.col("customer_id"), "unknown"), lit(": "), text(F.col("customer_type"), "new"),
+        lit(", lifetime value "), text(F.col("ltv")), lit(", success rate "), text(F.col("erv_rate")),
+        lit(", contact by "), F.col("preference"), lit(", flagged "), F.when(F.col("risk_flag"), "yes").otherwise("no"),
+        lit("\nOpen invoice: "), invoice)
+    tail = F.concat(lit("\nOptions (action: chance, cost, expected net): "), options, lit("\n"), lit(C.PROMPT_ANSWER))
+    trail = F.col(f"{strategy}.trail")
+    rows = wide.select("transaction_id", head.alias("head"), tail.alias("tail"), trail.alias("trail"), F.explode(trail).alias("t"))
+    before = F.when(F.col("t.attempts_before") == 0, lit("none")).otherwise(
+        F.concat(F.col("trail")[0]["final_action"], lit(" failed")))
+    return rows.select("transaction_id", F.col("t.attempt_no").alias("attempt_no"), lit(C.PROMPT_SYSTEM).alias("system_text"),
+                       F.concat("head", lit("\nTried so far: "), before, "tail").alias("prompt"))
 
 
 def model_contribution(wide: DataFrame, strategy: str = "optimizer") -> DataFrame:

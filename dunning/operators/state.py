@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions.risk import risk
+from ..functions.validity import is_recovered, row_error
 from .joins import lookup_join
 
+PRIOR_COLUMNS = ["prior_executions", "prior_automated", "prior_terminal", "prior_success", "prior_last_action", "prior_actions"]
 TERMINAL = ("RECOVERED", "SUCCESS", "ESCALATED", "STOPPED")
 
 
@@ -33,24 +35,6 @@ def snapshot_after(wide: DataFrame, strategy: str) -> DataFrame:
     )
 
 
-def apply_results(transactions: DataFrame, results: DataFrame) -> DataFrame:
-    """SK-04 for result tables read back from storage: left join on the key."""
-    r = results.select("transaction_id", F.col("status").alias("r_status"),
-                       F.col("final_action").alias("r_action"),
-                       F.col("amount_recovered").alias("r_amount"))
-    j = lookup_join(transactions, r, "transaction_id", "left")
-    new_status = (F.when(F.col("r_status") == "SUCCESS", "RECOVERED")
-                  .when(F.col("r_action") == C.ESCALATE, "ESCALATED")
-                  .when(F.col("r_action") == C.STOP, "STOPPED")
-                  .when(F.col("r_status") == "FAILURE", "FAILED"))
-    return j.select(
-        *[c for c in transactions.columns if c not in ("recovery_status", "recovered_amount")],
-        F.coalesce(new_status, F.col("recovery_status")).alias("recovery_status"),
-        F.when(F.col("r_status") == "SUCCESS", F.col("r_amount")).otherwise(F.col("recovered_amount"))
-        .cast("decimal(18,2)").alias("recovered_amount"),
-    )
-
-
 def resolve_invoices(invoices: DataFrame, wide: DataFrame, strategy: str) -> DataFrame:
     """SK-05 / JN-07: a success clears days_overdue on all of the customer's
     invoices, and sets promise_to_pay when the action was mark_promise_to_pay.
@@ -76,11 +60,7 @@ def validate(requests: DataFrame, transactions: DataFrame) -> DataFrame:
     tid = F.col("transaction_id")
     err = (F.when(tid.isNull() | (tid == ""), F.lit("Invalid or missing transaction ID."))
            .when(F.col("_found").isNull(), F.concat(F.lit("Transaction '"), tid, F.lit("' not found.")))
-           .when(F.col("amount").isNull() | (F.col("amount") < 0),
-                 F.concat(F.lit("Invalid transaction amount: "),
-                          F.coalesce(F.col("amount").cast("double").cast("string"), F.lit("None")), F.lit(".")))
-           .when(F.col("retry_count").isNotNull() & (F.col("retry_count") < 0),
-                 F.concat(F.lit("Invalid retry count: "), F.col("retry_count").cast("string"), F.lit("."))))
+           .otherwise(row_error(F.col("amount"), F.col("retry_count"))))
     return j.select(tid.alias("transaction_id"), F.when(err.isNull(), "VALID").otherwise("ERROR").alias("status"),
                     err.alias("error_reason"))
 
@@ -88,7 +68,8 @@ def validate(requests: DataFrame, transactions: DataFrame) -> DataFrame:
 def gate(enriched: DataFrame) -> DataFrame:
     """PF-09 / JN-08: what the resumable batch does with each transaction."""
     rec = F.upper(F.coalesce(F.col("recovery_status"), F.lit("UNRECOVERED")))
-    g = (F.when(rec.isin("RECOVERED", "SUCCESS"), "ALREADY_RECOVERED")
+    g = (F.when(row_error(F.col("amount"), F.col("retry_count")).isNotNull(), "INVALID")
+         .when(is_recovered(F.col("recovery_status"), F.col("status")), "ALREADY_RECOVERED")
          .when(F.col("prior_terminal"), "TERMINAL")
          .when(rec.isin("ESCALATED", "STOPPED"), "TERMINAL")
          .when(F.col("prior_executions") >= C.MAX_ATTEMPTS, "BUDGET_USED")
@@ -96,10 +77,14 @@ def gate(enriched: DataFrame) -> DataFrame:
     return enriched.withColumn("gate_status", g)
 
 
-def pending(enriched: DataFrame) -> DataFrame:
-    """Rows a resumable batch may act on (ST-04): not terminal, budget left.
-    Rows with a used budget stay in (they report SKIPPED, as the loop does)."""
-    return gate(enriched).where(F.col("gate_status").isin("PENDING", "BUDGET_USED"))
+def pending(enriched: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows a resumable batch may act on (ST-04): valid, not terminal, budget
+    left; ``n``: the first n of them by id (TK-02).  Without ``n`` rows with a used
+    budget stay in (they report SKIPPED, as the loop does)."""
+    gated = gate(enriched)
+    if n is None:
+        return gated.where(F.col("gate_status").isin("PENDING", "BUDGET_USED"))
+    return first_n(gated.where(F.col("gate_status") == "PENDING"), n)
 
 
 def first_n(df: DataFrame, n: int, key: str = "transaction_id") -> DataFrame:
@@ -133,19 +118,20 @@ def sequential_risk(seq: DataFrame) -> Column:
 
 def state_from_audit(transactions: DataFrame, audit: DataFrame) -> DataFrame:
     """SK-04 from an audit trail: the recovery state each transaction is in
-    after the recorded executions (success wins, then the last exit)."""
+    after the recorded executions (success wins, then the last exit).  The
+    history columns stay on the row, so enrichment need not join them again."""
     from .enrich import history
-    h = history(audit)
-    j = lookup_join(transactions, h, "transaction_id", "left")
+    j = transactions.join(history(audit), "transaction_id", "left")  # unique on both sides
     st = (F.when(F.col("prior_success"), "RECOVERED")
           .when(F.col("prior_last_action") == C.ESCALATE, "ESCALATED")
           .when(F.col("prior_last_action") == C.STOP, "STOPPED")
           .when(F.col("prior_executions") > 0, "FAILED"))
     return j.select(
-        *[c for c in transactions.columns if c not in ("recovery_status", "recovered_amount", "retry_count")],
+        *[c for c in transactions.columns if c not in ("recovery_status", "recovered_amount", "retry_count", *PRIOR_COLUMNS)],
         F.coalesce(F.col("retry_count") + F.when(F.array_contains(F.col("prior_actions"), "retry_payment"), 1)
                    .otherwise(0), F.col("retry_count")).cast("int").alias("retry_count"),
         F.coalesce(st, F.col("recovery_status")).alias("recovery_status"),
         F.when(F.col("prior_success"), F.col("amount")).otherwise(F.col("recovered_amount"))
         .cast("decimal(18,2)").alias("recovered_amount"),
+        *PRIOR_COLUMNS,
     )

@@ -53,10 +53,6 @@ def results(wide: DataFrame, which=tuple(STRATEGIES)) -> DataFrame:
             .select(*RESULT_COLUMNS))
 
 
-def strategy_results(wide: DataFrame, strategy: str) -> DataFrame:
-    return results(wide, which=(strategy,))
-
-
 def pair(left: DataFrame, right: DataFrame) -> DataFrame:
     """JN-06 for stored result tables: match two strategies per transaction.
 

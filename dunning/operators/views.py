@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from .joins import lookup_join
 
 
 def label(col: Column, labels: dict[str, str]) -> Column:
@@ -62,20 +61,29 @@ def failure_reasons(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("failure_reason").isNotNull()).select("failure_reason").distinct()
 
 
-def transaction_360(transactions: DataFrame, customers: DataFrame, invoices: DataFrame,
-                    audit: DataFrame) -> DataFrame:
-    """JN-05: transaction + customer + first invoice + audit trail, one row per
-    trail entry (long form; ordered by the composite key when shown), so a
-    long trail is never gathered into one value."""
-    from .enrich import first_invoice
-    ctx = (customers.select("customer_id", "customer_type", "previous_payment_success_rate",
-                            "contact_preference", "risk_flag")
-           .join(first_invoice(invoices), "customer_id", "full"))
-    t = lookup_join(transactions.select("transaction_id", "customer_id", "amount", "failure_code",
-                                        "recovery_status"), ctx, "customer_id", "left")
-    a = audit.select("transaction_id", "attempt_no", "stage_no", "stage", "agent_action", "policy_result",
-                     "tool_result", "amount_recovered", "reason")
-    return lookup_join(a, t, "transaction_id", "left")
+def transaction_360(wide: DataFrame, strategy: str, run_ts: str | None = None) -> DataFrame:
+    """JN-05: every transaction with its customer, first invoice and trail, one row
+    per trail entry (long form, so a long trail is never one value); a
+    transaction without trail has one row with NULL trail columns.  The wide
+    row holds the context already, so the only join is the one on the unique
+    transaction id."""
+    from .audit import audit_rows
+    context = wide.select("transaction_id", "customer_id", "amount", "failure_code", "recovery_status", "customer_type",
+                          "lifetime_value", "contact_preference", "invoice_id", "invoice_amount_due", "days_overdue")
+    trail = audit_rows(wide, strategy, run_ts=run_ts).select(
+        "transaction_id", "attempt_no", "stage_no", "stage", "timestamp", "agent_action", "policy_result", "tool_result",
+        "amount_recovered", "reason")
+    return context.join(trail, "transaction_id", "left")
+
+
+def audit_timeline(audit: DataFrame) -> DataFrame:
+    """TK-03: audit rows in the order of their time, then of their key."""
+    return audit.orderBy("timestamp", "transaction_id", "attempt_no", "stage_no")
+
+
+def filtered_head(rows: DataFrame, n: int = 100, **facets) -> DataFrame:
+    """TK-04: the first ``n`` rows by id of the filtered view."""
+    return faceted(rows, **facets).orderBy("transaction_id").limit(n)
 
 
 def formatted_kpis(summary: DataFrame) -> DataFrame:

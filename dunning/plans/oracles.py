@@ -500,11 +500,12 @@ UNION ALL SELECT strategy, 3, '3. Intervention Selected', selected FROM f
 UNION ALL SELECT strategy, 4, '4. Successfully Recovered', recovered FROM f
 UNION ALL SELECT strategy, 5, '5. Escalated to Operations Queue', escalated FROM f"""
     o.update(_audit_oracles())
-    from .oracles_state import extra_oracles, model_stream_oracles, state_oracles
+    from .oracles_state import edge_oracles, extra_oracles, model_stream_oracles, state_oracles
     o.update(state_oracles())
     o.update(model_stream_oracles())
     o["json_summary_roundtrip"] = o["strategy_summary"]
     o.update(extra_oracles())
+    o.update(edge_oracles())
     return o
 
 

@@ -319,3 +319,80 @@ SELECT o.transaction_id, q.in_quota,
          AS diagnosis_source, o.final_action
 FROM opt o JOIN q USING (transaction_id) LEFT JOIN rvalid v USING (transaction_id)"""
     return o
+
+
+def _edge_base(replace: str) -> str:
+    """BASE over transactions with replaced columns (invoices stay those of the plain rows)."""
+    head, tail = _with().split("fi AS (", 1)
+    head = head.replace("transactions AS (", "transactions0 AS (", 1)
+    head = head.replace("FROM transactions\n  WHERE failure_code", "FROM transactions0\n  WHERE failure_code", 1)
+    return f"{head}transactions AS (SELECT * REPLACE ({replace}) FROM transactions0),\nfi AS ({tail}"
+
+
+EDGE = """CASE WHEN k % 11 = 0 THEN NULL WHEN k % 11 = 1 THEN -amount ELSE amount END AS amount,
+  CASE k % 11 WHEN 2 THEN -1 WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE retry_count END AS retry_count,
+  CASE k % 11 WHEN 3 THEN 'RECOVERED' WHEN 4 THEN 'SUCCESS' ELSE recovery_status END AS recovery_status,
+  CASE WHEN k % 11 IN (3, 4) THEN amount ELSE recovered_amount END AS recovered_amount,
+  CASE WHEN k % 11 <> 5 THEN customer_id END AS customer_id"""
+
+
+def edge_oracles() -> dict[str, str]:
+    o = {}
+    rows = """SELECT o.transaction_id, CASE WHEN t.k % 11 >= 5 THEN o.final_action END AS final_action,
+       CASE WHEN t.k % 11 < 3 THEN 'ERROR' WHEN t.k % 11 < 5 THEN 'SKIPPED' ELSE o.status END AS status,
+       CASE WHEN t.k % 11 < 5 THEN 0.0 ELSE CAST(o.amount_recovered AS DOUBLE) END AS amount_recovered,
+       CAST(CASE WHEN t.k % 11 < 5 THEN 0 ELSE o.execution_count END AS BIGINT) AS execution_count,{more}
+       CASE t.k % 11 WHEN 0 THEN 'Invalid transaction amount: None.'
+                     WHEN 1 THEN 'Invalid transaction amount: ' || CAST(CAST(t.amount AS DOUBLE) AS VARCHAR) || '.'
+                     WHEN 2 THEN 'Invalid retry count: -1.' END AS error_reason
+FROM opt o JOIN transactions t USING (transaction_id) JOIN baseline b USING (transaction_id)"""
+    edge = _edge_base(EDGE)
+    o["edge_results"] = edge + BASELINE + OPT + rows.format(more="""
+       CASE WHEN t.k % 11 < 3 THEN 'ERROR' WHEN t.k % 11 < 5 THEN 'SKIPPED' ELSE b.status END AS baseline_status,""")
+    o["stream_two_runs"] = edge + BASELINE + OPT + rows.format(more="""
+       CAST(CASE WHEN t.k % 11 < 5 THEN 0 ELSE o.execution_count END AS BIGINT) AS audited,""")
+    o["edge_state"] = edge + OPT + SNAP + """
+SELECT s.transaction_id, CASE WHEN t.k % 11 < 5 THEN t.recovery_status ELSE s.recovery_status END AS recovery_status,
+       CAST(CASE WHEN t.k % 11 < 5 THEN t.recovered_amount ELSE s.recovered_amount END AS DOUBLE) AS recovered_amount
+FROM snap s JOIN transactions t USING (transaction_id)"""
+    o["edge_360"] = edge + OPT + AUDIT + """
+, n AS (SELECT transaction_id, count(*) AS n FROM stage_rows GROUP BY transaction_id)
+SELECT t.transaction_id, CAST(CASE WHEN t.k % 11 < 5 THEN 0 ELSE n.n END AS BIGINT) AS trail_rows, c.customer_type
+FROM transactions t LEFT JOIN n USING (transaction_id) LEFT JOIN customers c ON c.customer_id = t.customer_id"""
+    o["pending_batch"] = f"""SELECT transaction_id, gate_status, prior_executions FROM ({state_oracles()["terminal_gate"]}) g
+WHERE gate_status = 'PENDING' ORDER BY transaction_id LIMIT 500"""
+    a = _with(OPT, AUDIT)
+    o["audit_timeline"] = a + """
+SELECT transaction_id, CAST(attempt_no AS BIGINT) AS attempt_no, agent_action FROM stage_rows
+WHERE stage = 'execution' AND tool_result = 'SUCCESS'"""
+    o["filtered_head"] = _with(OPT, SNAP) + """
+SELECT transaction_id, recovery_status, CAST(recovered_amount AS DOUBLE) AS recovered_amount FROM snap
+WHERE recovery_status = 'RECOVERED' ORDER BY transaction_id LIMIT 100"""
+    o["outcome_join"] = _edge_base("CASE WHEN transaction_id NOT LIKE '%3' THEN u_bp END AS u_bp") + OPT + """
+SELECT transaction_id, final_action, status FROM opt"""
+    o["stored_pairs"] = _with(RULES, OPT) + """
+SELECT transaction_id, r.final_action AS left_action, o.final_action AS right_action
+FROM rules r JOIN opt o USING (transaction_id) WHERE r.final_action IS DISTINCT FROM o.final_action"""
+    o["stage_latency_nulls"] = a + """
+, v AS (SELECT stage, CASE WHEN stage_no <> 2 AND k % 4 <> 1 THEN (k * 13 + stage_no * 7) % 1000 END AS us FROM stage_rows),
+l AS (SELECT stage, coalesce(avg(CAST(us AS DOUBLE)), 0) AS avg_us, coalesce(max(us), 0) AS max_us, count(*) AS n
+      FROM v GROUP BY stage)
+SELECT stage, array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(stage, '_')], ' ') AS stage_title,
+       floor(avg_us + 0.5) / 1000.0 AS avg_latency_ms, CAST(max_us AS DOUBLE) / 1000.0 AS max_latency_ms,
+       CAST(n AS BIGINT) AS invocations
+FROM l"""
+    o["prompt_requests"] = a + f"""
+, opts AS (SELECT transaction_id, string_agg(action || ': ' || CAST(p AS VARCHAR) || ', ' || CAST(rank_cost AS VARCHAR) || ', '
+                  || CAST(expected_net AS VARCHAR), '; ' ORDER BY ord) AS options FROM cv GROUP BY transaction_id)
+SELECT s.transaction_id, CAST(s.attempt_no AS BIGINT) AS attempt_no, {_q(C.PROMPT_SYSTEM)} AS system_text,
+       'Failed payment ' || s.transaction_id || ': INR ' || CAST(e.amount AS VARCHAR) || ' by ' || e.payment_method || ', code '
+       || coalesce(e.failure_code, 'none') || chr(10) || 'Customer ' || e.customer_id || ': ' || coalesce(c.customer_type, 'new')
+       || ', lifetime value ' || CAST(CAST(e.ltv AS DECIMAL(18,2)) AS VARCHAR) || ', success rate ' || CAST(e.erv_rate AS VARCHAR)
+       || ', contact by ' || e.preference || ', flagged ' || CASE WHEN e.risk_flag THEN 'yes' ELSE 'no' END || chr(10)
+       || 'Open invoice: ' || CASE WHEN e.invoice_id IS NULL THEN 'none' ELSE e.invoice_id || ', INR ' || CAST(i.amount_due AS VARCHAR)
+                                   || ', ' || i.days_overdue || ' days late' END || chr(10)
+       || 'Tried so far: ' || CASE WHEN s.attempt_no = 1 THEN 'none' ELSE o.a1 || ' failed' END || chr(10)
+       || 'Options (action: chance, cost, expected net): ' || opts.options || chr(10) || {_q(C.PROMPT_ANSWER)} AS prompt
+FROM steps s JOIN e USING (transaction_id) JOIN opt o USING (transaction_id) JOIN opts USING (transaction_id)
+LEFT JOIN customers c ON c.customer_id = e.customer_id LEFT JOIN invoices i ON i.invoice_id = e.invoice_id"""
+    return o

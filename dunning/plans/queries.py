@@ -15,7 +15,7 @@ from ..functions.risk import risk
 from ..operators import audit as AU
 from ..operators import metrics as M
 from ..operators.enrich import enrich
-from ..operators.strategies import evaluate, results
+from ..operators.strategies import evaluate, pair, results
 from ..sources import fixtures as FX
 from .output import to_output
 
@@ -201,12 +201,12 @@ def decision_changes(spark, sf_dir):
 
 
 def distributions(spark, sf_dir):
+    """Three value counts from one evaluation and one aggregate."""
     r = _results(spark, sf_dir, ("baseline", "rules", "optimizer"))
-    out = None
-    for colname in ("final_action", "failure_code", "policy_result"):
-        v = M.value_counts(r, colname).select(F.lit(colname).alias("dimension"), "strategy", "value", "n")
-        out = v if out is None else out.unionByName(v)
-    return to_output(out)
+    pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
+                      for c in ("final_action", "failure_code", "policy_result")])
+    return to_output(r.select("strategy", F.explode(pairs).alias("p")).groupBy("p.dimension", "strategy", "p.value")
+                     .agg(F.count(F.lit(1)).alias("n")))
 
 
 def funnel(spark, sf_dir):
@@ -361,7 +361,7 @@ def _resume_enriched(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
     prior = FX.prior_audit_view(inp.orders)
     state = ST.state_from_audit(inp.transactions, prior)
-    return enrich(state, inp.customers, inp.invoices, prior_audit=prior)
+    return enrich(state, inp.customers, inp.invoices)
 
 
 def terminal_gate(spark, sf_dir):
@@ -406,10 +406,7 @@ def risk_sequential(spark, sf_dir):
 
 
 def transaction_360(spark, sf_dir):
-    inp = _inputs(spark, sf_dir)
-    w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("optimizer",))
-    a = AU.audit_rows(w, "optimizer", run_ts=RUN_TS)
-    v = VW.transaction_360(inp.transactions, inp.customers, inp.invoices, a)
+    v = VW.transaction_360(_wide(spark, sf_dir, which=("optimizer",)), "optimizer", run_ts=RUN_TS)
     return to_output(v.select("transaction_id", "attempt_no", "stage_no", "stage", "agent_action", "amount",
                               "customer_type", "invoice_id", "recovery_status"))
 
@@ -454,7 +451,7 @@ def _responses(spark, sf_dir):
 
 
 def prompt_requests(spark, sf_dir):
-    return to_output(MI.prompt_requests(_enriched(spark, sf_dir)))
+    return to_output(MI.prompt_requests(_wide(spark, sf_dir, which=("optimizer",))))
 
 
 def response_valid(spark, sf_dir):
@@ -524,40 +521,143 @@ def formatted_kpis(spark, sf_dir):
 from ..streaming import recovery_stream as SM  # noqa: E402
 
 
+def _spread(df):
+    """Partitions by size for a source folder, whatever the number of distinct keys."""
+    return df.hint("rebalance")
+
+
 def _stream_source(spark, sf_dir):
-    """The transactions view written as several parquet files (the arriving
-    stream); the draw column travels with the rows."""
+    """The transactions view written as parquet files (the arriving stream); the
+    draw column travels with the rows."""
     t = _inputs(spark, sf_dir).transactions
     path = _scratch(spark, "stream-in")
-    t.repartition(4, "transaction_id").write.parquet(path)
+    _spread(t).write.parquet(path)
     return path, t.schema
 
 
 def stream_recovery(spark, sf_dir):
     inp = _inputs(spark, sf_dir)
     src, schema = _stream_source(spark, sf_dir)
-    out = SM.incremental_recovery(spark, src, schema, inp.customers, inp.invoices)
-    return _result_view(spark.read.parquet(out).drop("batch_id", "strategy"))
+    out, _ = SM.incremental_recovery(spark, src, schema, inp.customers, inp.invoices,
+                                     _scratch(spark, "stream-out"), _scratch(spark, "stream-ckpt"))
+    return _result_view(spark.read.parquet(out).drop("stream", "batch_id", "strategy"))
+
+
+def stream_two_runs(spark, sf_dir):
+    """SM-01 restarted: half of the transactions, then the rest together with ids
+    that the first run decided and ids recovered elsewhere.  Every id has one
+    result, the first run's included, and as many execution rows as counted."""
+    inp = _inputs(spark, sf_dir)
+    t = FX.edge_transactions_view(inp.orders)
+    src, out, ckpt = (_scratch(spark, x) for x in ("stream-in", "stream-out", "stream-ckpt"))
+    first = F.substring("transaction_id", -1, 1).cast("int") % 2 == 0
+    _spread(t.where(first)).write.parquet(src)
+    SM.incremental_recovery(spark, src, t.schema, inp.customers, inp.invoices, out, ckpt)
+    again = t.where(first & F.col("transaction_id").endswith("4"))
+    _spread(t.where(~first).unionByName(again)).write.mode("append").parquet(src)
+    res, audit = SM.incremental_recovery(spark, src, t.schema, inp.customers, inp.invoices, out, ckpt)
+    ex = (spark.read.parquet(audit).where(F.col("stage") == "execution").groupBy("transaction_id")
+          .agg(F.count(F.lit(1)).alias("audited")))
+    r = spark.read.parquet(res).join(ex, "transaction_id", "left")
+    return to_output(_edge_columns(r).withColumn("audited", F.coalesce(r["audited"], F.lit(0))))
+
+
+def _edge_columns(r):
+    return r.select("transaction_id", "final_action", "status", "amount_recovered", "execution_count",
+                    *[c for c in ("audited",) if c in r.columns],
+                    F.when(F.col("status") == "ERROR", F.col("description")).alias("error_reason"))
+
+
+def edge_results(spark, sf_dir):
+    """Invalid, finished and partly retried transactions through all strategies."""
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(FX.edge_transactions_view(inp.orders), inp.customers, inp.invoices), which=("baseline", "optimizer"))
+    return to_output(_edge_columns(results(w, which=("optimizer",))).join(
+        w.select("transaction_id", F.col("baseline.status").alias("baseline_status")), "transaction_id"))
+
+
+def edge_state(spark, sf_dir):
+    """SK-04 on the same rows: a recovered transaction stays so."""
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(FX.edge_transactions_view(inp.orders), inp.customers, inp.invoices), which=("optimizer",))
+    return to_output(ST.snapshot_after(w, "optimizer").select("transaction_id", "recovery_status", "recovered_amount"))
+
+
+def edge_360(spark, sf_dir):
+    """JN-05 with transactions that have no trail: how many rows each has."""
+    inp = _inputs(spark, sf_dir)
+    w = evaluate(enrich(FX.edge_transactions_view(inp.orders), inp.customers, inp.invoices), which=("optimizer",))
+    v = VW.transaction_360(w, "optimizer", run_ts=RUN_TS)
+    return to_output(v.groupBy("transaction_id").agg(F.count("stage").alias("trail_rows"), F.max("customer_type").alias("customer_type")))
+
+
+def pending_batch(spark, sf_dir):
+    """TK-02: the next 500 pending transactions."""
+    return to_output(ST.pending(_resume_enriched(spark, sf_dir), 500).select("transaction_id", "gate_status", "prior_executions"))
+
+
+def audit_timeline(spark, sf_dir):
+    """TK-03: the execution timeline, oldest first, with its position per transaction (WN-02)."""
+    a = AU.execution_attempt_numbers(_audit(spark, sf_dir).where(F.col("tool_result") == "SUCCESS"))
+    return to_output(a.orderBy("transaction_id", "attempt_no").select("transaction_id", "attempt_no", "agent_action"))
+
+
+def filtered_head(spark, sf_dir):
+    """TK-04: top 100 of the filtered control room."""
+    rows = VW.control_room(_snapshot(spark, sf_dir))
+    return to_output(VW.filtered_head(rows, 100, status="RECOVERED").select("transaction_id", "recovery_status", "recovered_amount"))
+
+
+def outcome_join(spark, sf_dir):
+    """JN-09: draws from a table of their own, of which some are missing."""
+    inp = _inputs(spark, sf_dir)
+    draws = FX.outcomes_view(inp.orders).where(~F.col("transaction_id").endswith("3"))
+    e = enrich(inp.transactions.drop("u_bp"), inp.customers, inp.invoices, outcomes=draws)
+    r = results(evaluate(e, which=("optimizer",)), which=("optimizer",))
+    return to_output(r.select("transaction_id", "final_action", "status"))
+
+
+def stored_pairs(spark, sf_dir):
+    """JN-06: decision changes of two stored result tables, read back by name (SC-07)."""
+    r = _results(spark, sf_dir, ("rules", "optimizer"))
+    path = _scratch(spark, "pairs")
+    IO.write_runs(r, path)
+    IO.read_table(spark, path, r.schema).createOrReplaceTempView("stored_runs")
+    runs = spark.table("stored_runs")
+    both = pair(runs.where("strategy = 'rules'"), runs.where("strategy = 'optimizer'"))
+    return to_output(both.where(~F.col("left_action").eqNullSafe(F.col("right_action"))))
+
+
+def stage_latency_nulls(spark, sf_dir):
+    """AG-15 where latencies are missing, for one stage all of them."""
+    def some(tx, stage_no):
+        k = F.substring(tx, 3, 10).cast("long")
+        return F.when((stage_no != 2) & (k % 4 != 1), fixture_latency(tx, stage_no))
+    w = _wide(spark, sf_dir, which=("optimizer",))
+    return to_output(AU.stage_latency(AU.audit_rows(w, "optimizer", run_ts=RUN_TS, latency=some)))
 
 
 def _executions_source(spark, sf_dir):
     a = _audit(spark, sf_dir).where(F.col("stage") == "execution").select("transaction_id", "attempt_no",
                                                                            "agent_action", "tool_result")
     path = _scratch(spark, "exec-in")
-    a.repartition(4, "attempt_no").write.parquet(path)
+    _spread(a).write.parquet(path)
     return path, a.schema
 
 
 def stream_attempt_state(spark, sf_dir):
     src, schema = _executions_source(spark, sf_dir)
-    return to_output(SM.attempt_state(spark, src, schema))
+    return to_output(SM.attempt_state(spark, src, schema, _scratch(spark, "state-out"), _scratch(spark, "state-ckpt")))
 
 
 def stream_dedupe(spark, sf_dir):
     src, schema = _executions_source(spark, sf_dir)
-    return to_output(SM.dedupe_actions(spark, src, schema).select("transaction_id", "agent_action"))
+    return to_output(SM.dedupe_actions(spark, src, schema, _scratch(spark, "dedupe-out"), _scratch(spark, "dedupe-ckpt"))
+                     .select("transaction_id", "agent_action"))
 
 
+QUERIES.update({f.__name__: f for f in (stream_two_runs, edge_results, edge_state, edge_360, pending_batch, audit_timeline,
+                                        filtered_head, outcome_join, stored_pairs, stage_latency_nulls)})
 QUERIES.update({
     "prompt_requests": prompt_requests,
     "response_valid": response_valid,
@@ -580,7 +680,8 @@ def audit_append(spark, sf_dir):
     w = evaluate(enrich(inp.transactions, inp.customers, inp.invoices), which=("rules", "optimizer"))
     path = _scratch(spark, "audit")
     for s in ("optimizer", "rules"):
-        IO.append_audit(AU.audit_rows(w, s, run_ts=RUN_TS), path)
+        IO.append_audit(AU.audit_rows(w, s, run_ts=RUN_TS), path, run_id="r1")
+    IO.append_audit(AU.audit_rows(w, "rules", run_ts=RUN_TS), path, run_id="r1")   # a retried append
     back = IO.read_audit(spark, path)
     return to_output(back.groupBy("strategy", "stage").agg(F.count(F.lit(1)).alias("n")))
 

@@ -100,6 +100,21 @@ def transactions_view(orders: DataFrame, with_draw: bool = False) -> DataFrame:
     return orders.select(*cols)
 
 
+def edge_transactions_view(orders: DataFrame) -> DataFrame:
+    """Transactions with shapes that clean input lacks, by key % 11: 0 NULL amount;
+    1 negative amount; 2 negative retry count; 3 RECOVERED; 4 legacy SUCCESS;
+    5 NULL customer; 6 and 7 one and two retries before; otherwise as usual."""
+    t = transactions_view(orders, with_draw=True)
+    tg = F.substring("transaction_id", 3, 10).cast("long") % 11
+    return t.withColumns({
+        "amount": F.when(tg == 0, F.lit(None)).when(tg == 1, -F.col("amount")).otherwise(F.col("amount")).cast(MONEY),
+        "retry_count": F.when(tg == 2, -1).when(tg == 6, 1).when(tg == 7, 2).otherwise(F.col("retry_count")).cast("int"),
+        "recovery_status": F.when(tg == 3, "RECOVERED").when(tg == 4, "SUCCESS").otherwise(F.col("recovery_status")),
+        "recovered_amount": F.when(tg.isin(3, 4), F.col("amount")).otherwise(F.col("recovered_amount")).cast(MONEY),
+        "customer_id": F.when(tg != 5, F.col("customer_id")),
+    })
+
+
 def outcomes_view(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     return orders.select(_pad(k, "TX").alias("transaction_id"), _draw(k).alias("u_bp"))

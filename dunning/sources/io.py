@@ -107,9 +107,11 @@ def write_runs(results: DataFrame, path: str) -> None:
      .partitionBy("strategy").parquet(path))
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """SK-03: append a run's audit rows, partitioned by strategy."""
-    audit.write.mode("append").partitionBy("strategy").parquet(path)
+def append_audit(audit: DataFrame, path: str, run_id: str) -> None:
+    """SK-03: add a run's audit rows, partitioned by strategy and run; a retried
+    append of the same run replaces its own rows only."""
+    (audit.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("strategy", "run_id").parquet(path))
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

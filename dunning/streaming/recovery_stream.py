@@ -1,113 +1,118 @@
 """Structured Streaming forms of the recovery state (SM-01..SM-03).
 
-* :func:`incremental_recovery` (SM-01): new failed transactions arrive as
-  files; each micro-batch is enriched against the static customer / invoice
-  context (stream-static join), decided, and its results written into a
-  partition keyed by the batch id.  Re-running a batch overwrites exactly that
-  partition (dynamic partition overwrite), so a retried batch after an
-  executor or driver loss leaves one copy of its rows.
-* :func:`attempt_state` (SM-02): keyed state per transaction fed by a stream
-  of execution rows (attempts used, automated actions tried, terminal flag),
-  with ``applyInPandasWithState``; the batch twin is ``enrich.history``.
+* :func:`incremental_recovery` (SM-01): new failed transactions arrive as files;
+  each micro-batch is gated (every id is decided once, over all runs), enriched
+  against a customer context prepared once per run, decided, and its result and
+  audit rows written.  The checkpoint and output folders are the caller's and
+  stay the same between runs, so a second run goes on after the files the first
+  has seen.  Outputs are partitioned by the stream (a name derived from the
+  checkpoint folder) and the batch id, with dynamic partition overwrite: a
+  replayed batch leaves one copy, and two streams cannot touch each other's rows.
+* :func:`attempt_state` (SM-02): state per transaction over a stream of execution
+  rows (attempts used, automated actions tried, terminal flag) as a streaming
+  aggregate in update mode; the batch twin is ``enrich.history``.
 * :func:`dedupe_actions` (SM-03): each (transaction, action) acted on once.
   No watermark: the domain never expires history, so state grows with the
   number of distinct pairs; bound it with a watermark on event time where the
   business allows forgetting.
 
-Checkpoints and outputs live under ``spark.checkpoint.dir`` (a shared folder
-on a cluster).
+All folders belong on storage that the whole cluster shares.
 """
 
 from __future__ import annotations
 
-import uuid
-from typing import Iterator
+import hashlib
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import catalog as C
-from ..operators.enrich import enrich
+from ..operators.audit import audit_rows
+from ..operators.enrich import customer_context, with_context
 from ..operators.strategies import evaluate, results
-from ..session import checkpoint_dir
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def stream_name(checkpoint_dir: str) -> str:
+    return hashlib.sha256(checkpoint_dir.rstrip("/").encode()).hexdigest()[:16]
 
 
-def incremental_recovery(spark: SparkSession, source_dir: str, schema, customers: DataFrame,
-                         invoices: DataFrame, out_dir: str | None = None,
-                         strategy: str = "optimizer") -> str:
-    """Process every file under ``source_dir`` once (availableNow) and return
-    the folder of result rows (partitioned by ``batch_id``)."""
-    out_dir = out_dir or _folder(spark, "stream-results")
-    ckpt = _folder(spark, "stream-ckpt")
-    def run_batch(batch: DataFrame, batch_id: int) -> None:
-        e = enrich(batch, customers, invoices, hot_key_rows=0)
-        r = results(evaluate(e, which=(strategy,)), which=(strategy,)).withColumn("batch_id", F.lit(batch_id))
-        (r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_dir))
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
-         .writeStream.foreachBatch(run_batch).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out_dir
-
-
-_STATE_OUT = "transaction_id string, executions long, automated long, terminal boolean, actions string"
-_STATE_SCHEMA = "executions long, automated long, terminal boolean, actions string"
-
-
-def _update_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        ex, au, term, acts = state.get
-        tried = set(filter(None, acts.split(",")))
-    else:
-        ex, au, term, tried = 0, 0, False, set()
-    for pdf in pdfs:
-        ex += len(pdf)
-        au += int(pdf["agent_action"].isin(C.AUTOMATED).sum())
-        term = term or bool(pdf["agent_action"].isin(C.EXITS).any())
-        tried.update(a for a in pdf["agent_action"].dropna() if a in C.CATALOG_ORDER)
-    acts = ",".join(sorted(tried, key=C.CATALOG_ORDER.get))
-    state.update((ex, au, term, acts))
-    yield pd.DataFrame([{"transaction_id": key[0], "executions": ex, "automated": au, "terminal": term,
-                         "actions": acts}])
-
-
-def attempt_state(spark: SparkSession, executions_dir: str, schema) -> DataFrame:
-    """SM-02 over execution rows arriving as files; returns the final state
-    per transaction (the last update of each key)."""
-    out_dir = _folder(spark, "state-out")
-    ckpt = _folder(spark, "state-ckpt")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(executions_dir)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_dir)
-
-    q = (stream.groupBy("transaction_id")
-         .applyInPandasWithState(_update_state, _STATE_OUT, _STATE_SCHEMA, "update",
-                                 GroupStateTimeout.NoTimeout)
-         .writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt)
+
+def _write_batch(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    (df.withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("stream", "batch_id").parquet(path))
+
+
+def _run(reader: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint_dir: str, mode: str = "append") -> None:
+    q = (reader.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.read.parquet(out_dir)
-    last = out.groupBy("transaction_id").agg(
-        F.max_by(F.struct("executions", "automated", "terminal", "actions"), "batch_id").alias("s"))
-    return last.select("transaction_id", "s.*")
 
 
-def dedupe_actions(spark: SparkSession, executions_dir: str, schema) -> DataFrame:
-    """SM-03: first occurrence of each (transaction, action)."""
-    out_dir = _folder(spark, "dedupe-out")
-    ckpt = _folder(spark, "dedupe-ckpt")
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(executions_dir)
+def _reader(spark: SparkSession, path: str, schema, files_per_batch: int | None) -> DataFrame:
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(path)
+
+
+def incremental_recovery(spark: SparkSession, source_dir: str, schema, customers: DataFrame, invoices: DataFrame,
+                         out_dir: str, checkpoint_dir: str, strategy: str = "optimizer",
+                         prior_audit: DataFrame | None = None, files_per_batch: int | None = None) -> tuple[str, str]:
+    """Decide every transaction in files not seen yet; returns the folders of all
+    result and audit rows so far.  An id that was decided before, by any stream
+    into ``out_dir``, is left out; of an id repeated in a batch one row is taken.
+    Invalid and finished transactions get ERROR and SKIPPED results."""
+    out_dir, stream = out_dir.rstrip("/"), stream_name(checkpoint_dir)
+    result_dir, audit_dir = f"{out_dir}/results", f"{out_dir}/audit"
+    context_dir = f"{out_dir}/context/{stream}"
+    customer_context(customers, invoices).write.mode("overwrite").parquet(context_dir)
+    context = spark.read.parquet(context_dir)
+
+    def decide_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        new = batch.dropDuplicates(["transaction_id"])
+        if _exists(session, result_dir):
+            done = (session.read.parquet(result_dir)
+                    .where(~((F.col("stream") == stream) & (F.col("batch_id") == batch_id)))  # a replay of this batch
+                    .select("transaction_id"))
+            new = new.join(done, "transaction_id", "left_anti")
+        wide = evaluate(with_context(new, context, prior_audit=prior_audit), which=(strategy,))
+        _write_batch(results(wide, which=(strategy,)), result_dir, stream, batch_id)
+        _write_batch(audit_rows(wide, strategy), audit_dir, stream, batch_id)
+
+    _run(_reader(spark, source_dir, schema, files_per_batch), decide_batch, checkpoint_dir)
+    return result_dir, audit_dir
+
+
+def attempt_state(spark: SparkSession, executions_dir: str, schema, out_dir: str, checkpoint_dir: str,
+                  files_per_batch: int | None = None) -> DataFrame:
+    """SM-02 over execution rows arriving as files; returns the state of each
+    transaction after all batches so far (the last update of each key)."""
+    tried = [F.bool_or(F.col("agent_action") == a).alias(f"tried_{a}") for a in C.ACTION_NAMES]
+    state = _reader(spark, executions_dir, schema, files_per_batch).groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("executions"),
+        F.count_if(F.col("agent_action").isin(*C.AUTOMATED)).alias("automated"),
+        F.coalesce(F.bool_or(F.col("agent_action").isin(*C.EXITS)), F.lit(False)).alias("terminal"), *tried)
+    stream = stream_name(checkpoint_dir)
+    _run(state, lambda batch, batch_id: _write_batch(batch, out_dir, stream, batch_id), checkpoint_dir, mode="update")
+    fields = ["executions", "automated", "terminal", *[f"tried_{a}" for a in C.ACTION_NAMES]]
+    last = (spark.read.parquet(out_dir).where(F.col("stream") == stream).groupBy("transaction_id")
+            .agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select("transaction_id", "s.*"))
+    actions = F.concat_ws(",", *[F.when(F.col(f"tried_{a}"), F.lit(a)) for a in C.ACTION_NAMES])
+    return last.select("transaction_id", "executions", "automated", "terminal", actions.alias("actions"))
+
+
+def dedupe_actions(spark: SparkSession, executions_dir: str, schema, out_dir: str, checkpoint_dir: str,
+                   files_per_batch: int | None = None) -> DataFrame:
+    """SM-03: first occurrence of each (transaction, action); the file sink commits
+    each batch once."""
+    q = (_reader(spark, executions_dir, schema, files_per_batch)
          .dropDuplicates(["transaction_id", "agent_action"])
-         .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", ckpt)
+         .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out_dir)

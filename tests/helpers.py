@@ -26,4 +26,4 @@ def enriched(spark, txs, custs=(), invs=()):
     t = spark.createDataFrame(list(txs), TX_SCHEMA)
     c = spark.createDataFrame(list(custs), CUSTOMERS)
     i = spark.createDataFrame(list(invs), INVOICES)
-    return enrich(t, c, i, hot_key_rows=0)
+    return enrich(t, c, i)

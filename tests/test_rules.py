@@ -104,6 +104,6 @@ def test_rerun_skips_terminal(spark):
     prior = spark.createDataFrame([
         ("p", "T1", n, 4, datetime(2026, 1, 1), "execution", a, "APPROVED", "FAILURE", D("0"), None, 0)
         for n, a in [(1, "retry_payment"), (2, "create_payment_link"), (3, "escalate_to_human")]], AUDIT)
-    w = evaluate(enrich(t, c, i, prior_audit=prior, hot_key_rows=0), which=("rules",))
+    w = evaluate(enrich(t, c, i, prior_audit=prior), which=("rules",))
     r = w.select("rules").first()["rules"]
     assert r["status"] == "SKIPPED" and r["execution_count"] == 3
