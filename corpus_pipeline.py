@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts (score of 0.5 or more)."""
     bounded_batches(spark)
     model = compression_quality.fit(docs, read(spark, sf_dir, "labels"), compression_quality.teaching_rows())
-    return compression_quality.score(docs, model, score_col="__quality").where("__quality >= 0.5").drop("__quality")
+    return compression_quality.accepted(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand in several places are cut out of the texts."""
-    had_text = F.coalesce(F.length("text"), F.lit(0)) > 0
-    cut = suffix_dedup.cut_texts(docs.withColumn("__had_text", had_text), length=REPEAT_BYTES)
-    kept = cut.where((F.length("text") > 0) | ~F.col("__had_text")).drop("__had_text")
+    kept = suffix_dedup.cut_texts(docs, length=REPEAT_BYTES, drop_emptied=True)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.coalesce("text", F.lit("")))).cast(docs.schema["n_chars"].dataType))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

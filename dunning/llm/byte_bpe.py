@@ -8,6 +8,7 @@ and no very long run of letters or spaces.  Any other text goes to the library.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -29,18 +30,23 @@ def _bytes_of() -> dict[str, int]:
 
 class ByteBpe:
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        self.special = [t["content"] for t in held.get("added_tokens", [])]
+        self.fast = self._fast(held)
+
+    @functools.cached_property
+    def whole(self):
+        """The library's tokenizer, opened when a text needs it."""
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = self._fast(path)
+        return Tokenizer.from_file(self.path)
 
-    def _fast(self, path: str):
+    def _fast(self, held: dict):
         """The second encoder, or None if the file's merges are not in the order of its ids."""
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            held = json.load(f)
         split = held.get("pre_tokenizer") or {}
         if held["model"].get("type") != "BPE" or held.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space"):
             return None

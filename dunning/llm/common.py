@@ -61,19 +61,23 @@ def task_count(spark: SparkSession, n_bytes: int, each: int = 16 << 20, least: i
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2000 rows and about 16 MB, so that very long texts
+    """Arrow batches of at most 2000 rows and about 8 MB, so that very long texts
     do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row`` (all columns as one struct, so no name can clash), ``id`` and ``th``."""
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), th.alias("th"))
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (doc_id, th), one for each name, with
     all their columns."""
-    names = kept.select(F.col("doc_id").alias("__keep_id"), F.col("th").alias("__keep_th"))
-    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    both = docs.withColumn("__keep_h", th).join(
-        names, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")) & (F.col("__keep_h") == F.col("__keep_th")))
-    one = Window.partitionBy("__keep_id", "__keep_th").orderBy(F.lit(1))
-    return (both.withColumn("__keep_r", F.row_number().over(one)).where("__keep_r = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    names = kept.select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
+    both = whole_rows(docs, id_col, text_col).join(
+        names, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("th") == F.col("kept_th")))
+    one = Window.partitionBy("kept_id", "kept_th").orderBy(F.lit(1))
+    return both.withColumn("r", F.row_number().over(one)).where("r = 1").select("row.*")

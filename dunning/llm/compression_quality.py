@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, whole_rows
 
 BLOCK, LEVEL, DICT_BYTES = 512, 3, 64 << 10
 FIT_ROWS, FIT_BYTES = 2000, 16 << 10
@@ -131,6 +131,12 @@ def score(docs: DataFrame, model: CompressionModel, text_col: str = "text", scor
     return docs.withColumn(score_col, scored(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 
+def accepted(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, with all their columns."""
+    rows = whole_rows(docs, id_col, text_col).select("row", F.col("row").getField(text_col).cast("string").alias("text"))
+    return score(rows, model).where("score >= 0.5").select("row.*")
+
+
 def teaching_rows() -> Column:
     return ~held_out(F.col("doc_id"), 3, 1)
 

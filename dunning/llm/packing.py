@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from .byte_bpe import byte_bpe
 from .common import bounded_batches, staged
+from .words import tidy
 
 SIZE, END = 1024, 0
 
@@ -140,7 +141,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     schema = T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType)]
                           + [T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "rank", "task")]
                           + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    pieces = staged(source.mapInArrow(_cut(tokenizer or default_tokenizer(), size, end, with_ids), schema), "op8-pieces")
+    pieces = staged(source.mapInArrow(tidy(_cut(tokenizer or default_tokenizer(), size, end, with_ids)), schema), "op8-pieces")
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = staged(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "op8-counts")

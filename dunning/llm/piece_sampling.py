@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 from .piece_lattice import ids_of, sample, vocabulary
-from .words import chunks
+from .words import chunks, tidy
 
 SAMPLES, ALPHA = 2, 1.0
 _LONG = T.LongType()
@@ -79,7 +79,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     schema = T.StructType([source.schema["doc_id"]] + [T.StructField(c, _LONG) for c in ("sample", "n_ids", "ids_crc32")]
                           + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "inclusion")] + [T.StructField("round_trip", T.BooleanType())]
                           + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    return source.mapInArrow(_encode(model or default_model(), samples, alpha, with_ids), schema)
+    return source.mapInArrow(tidy(_encode(model or default_model(), samples, alpha, with_ids)), schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str | None = None) -> DataFrame:

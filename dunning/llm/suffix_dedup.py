@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, staged, texts
+from .common import bounded_batches, staged, texts, whole_rows
 from .suffix_array import minimiser_ranges, repeated_starts, runs
-from .words import chunks, flat, mix, prefix_sums, span_hashes
+from .words import chunks, flat, mix, prefix_sums, span_hashes, tidy as _tidy
 
 LENGTH = 400
 SPLIT = 4096
-PIECE = 2 << 20
+PIECE, GROUP = 1 << 20, 1 << 20
 _LONG = T.LongType()
 
 
@@ -98,7 +98,7 @@ def _spans(key, name, flags):
 
 
 def _sorted_groups(length: int):
-    """Input in the order of (key, name); whole keys are gathered up to PIECE bytes."""
+    """Input in the order of (key, name); whole keys are gathered up to GROUP bytes."""
     def run(batches):
         keys, names, segments, several, size = [], [], [], [], 0
         for batch in batches:
@@ -106,7 +106,7 @@ def _sorted_groups(length: int):
             for k, n, s, m in zip(*col):
                 if keys and k == keys[-1] and n == names[-1]:
                     continue  # the same segment of a repeated row
-                if size > PIECE and k != keys[-1]:
+                if size > GROUP and k != keys[-1]:
                     yield _spans(keys, names, repeated_starts(segments, several, length))
                     keys, names, segments, several, size = [], [], [], [], 0
                 keys.append(k)
@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            field("sha", T.StringType()), field("ranges", T.ArrayType(T.StructType(
                                [field(c, _LONG) for c in ("lo", "hi", "key", "places", "name")])))])
     rows = staged(source.select("doc_id", "th", F.monotonically_increasing_id().alias("rid"), F.col("text").cast("binary").alias("text"))
-                  .mapInArrow(_describe(length, gram), schema), "op3-rows")
+                  .mapInArrow(_tidy(_describe(length, gram)), schema), "op3-rows")
     classes = staged(rows.groupBy("sha").agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("copies")), "op3-classes")
     ranges = staged(rows.join(classes.select(F.col("cid").alias("rid"), "copies"), "rid")
                     .select(F.col("rid").alias("cid"), "copies", F.explode("ranges").alias("r")).select("cid", "copies", "r.*"), "op3-ranges")
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       "op3-bytes")
     span = "key long, name long, first long, last long"
     marked = (bytes_of.where("not hot").select("key", "name", "several", "segment")
-              .repartition("key").sortWithinPartitions("key", "name").mapInArrow(_sorted_groups(length), span))
+              .repartition("key").sortWithinPartitions("key", "name").mapInArrow(_tidy(_sorted_groups(length)), span))
     windows = (bytes_of.where("hot").dropDuplicates(["key", "name"]).select("key", "name", "several", "segment")
                .mapInArrow(_windows(length), "one long, two long, key long, name long, several boolean, off long"))
     windows = staged(windows, "op3-windows")
@@ -240,19 +240,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     F.coalesce("kept", F.when(F.size("spans") > 0, F.lit(empty)).otherwise(F.col("sha"))).alias("kept_sha256")))
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **parameters) -> DataFrame:
     """``docs`` with the repeated bytes cut out of its text (a character of which a
-    part is cut goes whole); rows and other columns stay as they are."""
+    part is cut goes whole); rows and other columns stay as they are, but a row that
+    loses all its text goes if ``drop_emptied`` is set."""
     found = repeated_spans(docs, id_col, text_col, **parameters)
-    names = (found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__cut_id"), F.col("th").alias("__cut_th"), F.col("spans").alias("__cut_spans"))
-             .dropDuplicates(["__cut_id", "__cut_th"]))
+    names = (found.where(F.size("spans") > 0).select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "spans")
+             .dropDuplicates(["cut_id", "cut_th"]))
 
     def kept(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else cut((t or "").encode(), [{"a": x, "b": y} for x, y in zip(a, b)]).decode("utf-8", "ignore")
                           for t, a, b in zip(text, first, last)], dtype=object)
 
-    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    both = docs.withColumn("__cut_h", th).join(
-        names, F.col(f"`{id_col}`").eqNullSafe(F.col("__cut_id")) & (F.col("__cut_h") == F.col("__cut_th")), "left")
-    return both.withColumn(text_col, 
-        F.pandas_udf(kept, T.StringType())(F.col(f"`{text_col}`"), F.col("__cut_spans.a"), F.col("__cut_spans.b"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.pandas_udf(kept, T.StringType())(F.col("row").getField(text_col).cast("string"), F.col("spans.a"), F.col("spans.b"))
+    both = (whole_rows(docs, id_col, text_col)
+            .join(names, F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("th") == F.col("cut_th")), "left").withColumn("left", text))
+    if drop_emptied:
+        both = both.where(F.col("spans").isNull() | (F.length("left") > 0))
+    return both.select(*[F.col("left").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

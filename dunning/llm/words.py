@@ -6,6 +6,8 @@ lower case.  Words and shingles are named by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +19,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_BLOCK = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -51,7 +54,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def chunks(at: np.ndarray, most: int = 4 << 20):
+def chunks(at: np.ndarray, most: int = 512 << 10):
     """Row ranges whose bytes come to about ``most`` (a longer row stands alone)."""
     i, n = 0, len(at) - 1
     while i < n:
@@ -60,6 +63,23 @@ def chunks(at: np.ndarray, most: int = 4 << 20):
         i = j
 
 
+def release() -> None:
+    """Give unused memory back to the machine, as Python workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that releases memory when it has read them all."""
+    def tidied(batches):
+        yield from run(batches)
+        release()
+    return tidied
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     s = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * powers(len(data) + 1)[0][:-1], dtype=np.uint64, out=s[1:])
@@ -84,7 +104,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before[first] = True
     after[first[1:] - 1] = True
     start, end = np.nonzero(~space & before)[0], np.nonzero(~space & after)[0] + 1
-    return span_hashes(prefix_sums(low), start, end), np.searchsorted(at, start, "right") - 1
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # blocks of whole words, as a prefix sum takes many bytes for each of the text
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
+        base = start[i]
+        out[i:j] = span_hashes(prefix_sums(low[base:end[j - 1]]), start[i:j] - base, end[i:j] - base)
+        i = j
+    return out, np.searchsorted(at, start, "right") - 1
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
