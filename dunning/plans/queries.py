@@ -77,9 +77,9 @@ def erv_ranked(spark, sf_dir):
     """Candidates ranked by expected net (desc), catalog order on ties (WN-04);
     the rank is computed inside the row (7 candidates), so no shuffle."""
     c = _cands(spark, sf_dir)
-    ordered = F.array_sort(F.col("c"), lambda a, b: F.when(a["expected_net"] > b["expected_net"], -1)
-                           .when(a["expected_net"] < b["expected_net"], 1)
-                           .otherwise(a["catalog_order"] - b["catalog_order"]))
+    ordered = F.sort_array(F.transform("c", lambda x: F.struct(
+        (-x["expected_net"]).alias("loss"), x["catalog_order"].alias("catalog_order"), x["action"].alias("action"),
+        x["expected_net"].alias("expected_net"))))
     r = c.select("transaction_id", F.posexplode(ordered).alias("pos", "x"))
     return to_output(r.select("transaction_id", (F.col("pos") + 1).cast("long").alias("erv_rank"),
                               F.col("x.action").alias("action"), F.col("x.expected_net").alias("expected_net")))

@@ -8,7 +8,10 @@ from conftest import SF_SMALL
 
 FAST = ["customers_scan", "transactions_scan", "invoices_scan", "enriched", "erv_candidates", "risk_scores",
         "risk_signals", "baseline_results", "rules_results", "optimizer_results", "strategy_summary", "audit_scan",
-        "kpis", "batch_resume", "history", "validation_report"]
+        "kpis", "batch_resume", "history", "validation_report", "erv_ranked", "distributions", "policy_violations",
+        "transaction_360", "edge_results", "edge_state", "edge_360", "stream_two_runs", "stream_attempt_state",
+        "stage_latency_nulls", "run_overwrite", "audit_append", "prompt_requests", "response_valid", "outcome_join",
+        "stored_pairs", "pending_batch", "filtered_head", "audit_timeline"]
 
 
 @pytest.fixture(scope="module")
