@@ -97,12 +97,29 @@ def log10_probability(gram: np.ndarray, found: list[Level], depth: int) -> np.nd
     return total
 
 
+def gram_pieces(data: np.ndarray, at: np.ndarray, depth: int, most: int):
+    """(first row, row after the last, where each starts, gram codes), a few rows at a
+    time; a row of more than ``most`` bytes comes in pieces of its own."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        part, own = data[at[i]:at[j]], at[i:j + 1] - at[i]
+        if len(part) <= most:
+            yield i, j, own, gram_codes(part, own, depth)
+        else:
+            for a in range(0, len(part), most):
+                b, left = min(a + most, len(part)), min(a, depth)
+                codes = gram_codes(part[a - left:b], np.array([0, b - a + left]), depth)[left:]
+                yield i, j, np.array([0, b - a]), codes
+        i = j
+
+
 def gram_codes(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The gram that ends at each byte; before the start of a row stand zero bytes."""
     place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
     code = np.zeros(len(data), np.int64)
     wide = data.astype(np.int64)
-    for k in range(depth + 1):
+    for k in range(min(depth + 1, len(data))):
         part = wide[:len(data) - k] << (8 * k)
         code[k:] |= np.where(place[k:] >= k, part, 0) if k else part
     return code

@@ -35,11 +35,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import bounded_batches, held_out, staged
-from .context_tree import Level, gram_codes, levels, log10_probability
-from .words import _LOWER, chunks, flat, word_hashes
+from .context_tree import Level, gram_pieces, levels, log10_probability
+from .words import _LOWER, chunks, flat, release, word_hashes
 
 DEPTH = 4
-BUCKET_BYTES, BUCKETS = 36 << 20, 24
+BUCKET_BYTES, BUCKETS = 16 << 20, 24
+CHUNK = 512 << 10
 GRAM, WORD = 0, 1
 _LONG = T.LongType()
 
@@ -63,13 +64,22 @@ def _bucket_counts(depth: int):
         data, at = flat(table.column("text"))
         teaches = ~table.column("held_out").to_numpy()
         found = ([], [])
-        for i, j in chunks(at):
-            part, own = data[at[i]:at[j]], at[i:j + 1] - at[i]
-            used = teaches[i:j]
-            found[GRAM].append(_counts(gram_codes(_LOWER[part], own, depth), np.repeat(used, np.diff(own))))
-            word, row = word_hashes(part, own)
-            found[WORD].append(_counts(word.view(np.int64), used[row]))
+
+        def merge(least: int) -> None:  # before the parts of many chunks pile up
+            for parts in found:
+                if len(parts) > least:
+                    parts[:] = [_sum_counts(parts)]
+
+        for i, j, own, code in gram_pieces(_LOWER[data], at, depth, CHUNK):
+            found[GRAM].append(_counts(code, np.repeat(teaches[i:j], np.diff(own))))
+            merge(8)
+        for i, j in chunks(at, CHUNK):
+            word, row = word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
+            found[WORD].append(_counts(word.view(np.int64), teaches[i:j][row]))
+            merge(8)
         sums = [_sum_counts(x) for x in found]
+        del found
+        release()
         size = [len(k) for k, _ in sums]
         return pa.table({
             "bucket": pa.array(np.full(sum(size), table.column("bucket")[0].as_py(), np.int64)),
@@ -143,18 +153,19 @@ def _bucket_scores(depth: int):
         kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
         gram, word = (Lookup(key[kind == k], value[kind == k]) for k in (GRAM, WORD))
         data, at = flat(table.column("text"))
-        out = [[], [], [], []]
-        for i, j in chunks(at, 1 << 20):
-            part, own = data[at[i]:at[j]], at[i:j + 1] - at[i]
-            out[0].append(_row_sums(gram(gram_codes(_LOWER[part], own, depth)), own))
-            hashed, row = word_hashes(part, own)
+        score, base, tokens, known = (np.zeros(len(at) - 1) for _ in range(4))
+        for i, j, own, code in gram_pieces(_LOWER[data], at, depth, CHUNK):
+            score[i:j] += _row_sums(gram(code), own)
+        for i, j in chunks(at, CHUNK):
+            hashed, row = word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
             c = word(hashed.view(np.int64))
             many = np.bincount(row, minlength=j - i)
             edge = np.concatenate(([0], np.cumsum(many)))
-            out[1].append(_row_sums(np.log10(c + 1), edge))
-            out[2].append(many)
-            out[3].append(np.bincount(row[c > 0], minlength=j - i))
-        score, base, tokens, known = (np.concatenate(x) if x else np.zeros(0) for x in out)
+            base[i:j] = _row_sums(np.log10(c + 1), edge)
+            tokens[i:j] = many
+            known[i:j] = np.bincount(row[c > 0], minlength=j - i)
+        del gram, word
+        release()
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_bytes": pa.array(np.diff(at)),
             "words": pa.array(tokens.astype(np.int64)), "known": pa.array(known.astype(np.int64)),
