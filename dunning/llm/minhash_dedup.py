@@ -15,14 +15,13 @@ agrees with probability 1 - 1.2e-5.
 Texts with equal sets are one class from the start.  Candidates are confirmed
 on the full sets without all pairs of a bucket: first each class against the
 least class of its bucket, and the links found are joined into components.  Then,
-only in buckets that still hold several components, each class against one more
-class of the bucket that lies in another component, ``TURNS`` times over.  What is
-apart after that is compared in full, by sketches: in blocks of a bucket, the
-classes outside its main component are held against all others, and pairs of
-different components that agree in about as many coordinates as similar sets do
-(5.5 standard deviations below 80 % of them at least) are confirmed on the full
-sets.  Pairs within a component need no check, as components are all that is
-asked for.
+only in buckets that still hold several components, in blocks, the classes outside
+the main component are held against all others by sketch, and pairs of different
+components that agree in about as many coordinates as similar sets do (5.5 standard
+deviations below the threshold at least) are confirmed on the full sets.  A pair that
+shares several bands counts in the first, and a class gives one link to each
+component, so pairs are never written out.  Pairs within a component need no check,
+as components are all that is asked for.
 
 Defined results: null text counts as empty; a row without words has an empty set
 and is linked with nothing; repeated rows are in one component; a null id sorts
@@ -41,10 +40,9 @@ from pyspark.sql import types as T
 from .common import bounded_batches, keep_rows, staged, texts
 from .components import connected_components
 from .groups import group_tables, in_blocks
-from .words import chunks, flat, mix, shingle_sets
+from .words import chunks, flat, mix, shingle_sets, tidy
 
 BANDS, ROWS = 48, 7
-TURNS = 2
 BLOCK = 512
 
 
@@ -126,7 +124,7 @@ def _confirmed(pairs: DataFrame, text: DataFrame, size: int, percent: int) -> Da
     first = text.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     second = text.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return staged(both.mapInArrow(_confirm(size, percent), "a long, b long"), "op9-links")
+    return staged(both.mapInArrow(tidy(_confirm(size, percent)), "a long, b long"), "op9-links")
 
 
 def _compared(size: int, percent: int):
@@ -179,28 +177,16 @@ def _compared(size: int, percent: int):
 
 
 def _linked(members: DataFrame, text: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
-    """Components (node, root) of the classes in ``members`` (key, cid, n, hub)."""
-    tried = staged(members.where("cid != hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-                   .select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "op9-pairs")
-    roots = connected_components(_confirmed(tried, text, size, percent))
-    for turn in range(TURNS + 1):
-        placed = (members.select("key", "cid", "n").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-                  .withColumn("root", F.coalesce("root", "cid")))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        members = staged(placed.join(mixed, "key", "left_semi").select("key", "cid", "n", "root"), "op9-open")
-        if turn < TURNS:
-            any_one = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "root")).alias("y"))
-            pairs = (members.select("key", F.struct("cid", "n", "root").alias("x")).join(any_one, "key").where("x.root != y.root")
-                     .where(100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-                     .select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b")))
-            pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "op9-pairs")
-            tried = tried.unionByName(pairs)
-            found = _confirmed(pairs, text, size, percent)
-        else:
-            rows = in_blocks(members.join(sketch, "cid").join(text.withColumnRenamed("rid", "cid"), "cid"), ["key"], "cid", BLOCK)
-            found = staged(rows.mapInArrow(_compared(size, percent), "a long, b long"), "op9-links")
-        roots = connected_components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return roots
+    """Components (node, root) of the classes in ``members`` (key, cid, hub)."""
+    stars = staged(members.where("cid != hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct(), "op9-pairs")
+    roots = connected_components(_confirmed(stars, text, size, percent))
+    placed = (members.select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+              .withColumn("root", F.coalesce("root", "cid")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    apart = staged(placed.join(mixed, "key", "left_semi").select("key", "cid", "root"), "op9-open")
+    rows = in_blocks(apart.join(sketch, "cid").join(text.withColumnRenamed("rid", "cid"), "cid"), ["key"], "cid", BLOCK)
+    links = staged(rows.mapInArrow(tidy(_compared(size, percent)), "a long, b long"), "op9-links")
+    return connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -213,19 +199,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(c, T.LongType()) for c in ("th", "rid", "n", "d1", "d2")]
                           + [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
     rows = staged(source.select("doc_id", "th", F.monotonically_increasing_id().alias("rid"), F.col("text").cast("binary").alias("text"))
-                  .mapInArrow(_describe(words, bands, band_rows), schema), "op9-rows")
+                  .mapInArrow(tidy(_describe(words, bands, band_rows)), schema), "op9-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")
     classes = staged(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("cid"), first, F.first("n").alias("n")), "op9-classes")
     buckets = (rows.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-               .select(F.col("rid").alias("cid"), "n", F.explode("bands").alias("key")))
-    shared = (buckets.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("h"), F.max("cid").alias("top"))
-              .where("h.cid < top").select("key", F.col("h.cid").alias("hub"), F.col("h.n").alias("hub_n")))
-    members = staged(buckets.join(shared, "key").select("key", "cid", "n", "hub", "hub_n"), "op9-members")
+               .select(F.explode("bands").alias("key"), F.col("rid").alias("cid")))
+    shared = buckets.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub < top").select("key", "hub")
+    members = staged(buckets.join(shared, "key").select("key", "cid", "hub"), "op9-members")
     used = members.select(F.col("cid").alias("rid")).distinct()
     names = rows.select("rid", F.col("doc_id").alias("name"), F.col("th").alias("name_th")).join(used, "rid")
     text = staged(source.join(names, F.col("doc_id").eqNullSafe(F.col("name")) & (F.col("th") == F.col("name_th")))
                   .select("rid", F.col("text").cast("binary").alias("text")), "op9-texts")
-    sketch = rows.select(F.col("rid").alias("cid"), "sketch", "bands")
+    sketch = rows.select(F.col("rid").alias("cid"), "n", "sketch", "bands")
     roots = _linked(members, text, sketch, words, percent)
 
     located = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
