@@ -7,6 +7,7 @@ follows up to the next); units that occur again share one lattice.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -106,9 +107,10 @@ class Lattices:
     in bytes."""
 
     def __init__(self, texts: list[str], vocabulary: Vocabulary):
-        number: dict[str, int] = {}
-        self.units = [np.array([number.setdefault(u, len(number)) for u in _UNIT.findall(" " + t.replace("▁", " "))] if t else [], np.int64) for t in texts]
-        units = list(number)
+        found = [_UNIT.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
+        units = list(dict.fromkeys(itertools.chain.from_iterable(found)))
+        number = dict(zip(units, range(len(units)))).__getitem__
+        self.units = [np.fromiter(map(number, u), np.int64, len(u)) for u in found]
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         self.size = np.array([len(u) for u in units], np.int64)
         first = np.concatenate(([0], np.cumsum(self.size)))
