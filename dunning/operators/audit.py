@@ -14,6 +14,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import catalog as C
 from ..functions.policy import reason_text, result_of
@@ -181,7 +182,9 @@ def latest_diagnosis(audit: DataFrame) -> DataFrame:
 
 
 def execution_attempt_numbers(audit: DataFrame) -> DataFrame:
-    """Position of each execution row among its transaction's executions
-    (WN-02), read from the composite key (no window needed)."""
-    return (audit.where(F.col("stage") == "execution")
-            .select("strategy", "transaction_id", "attempt_no", "agent_action", "tool_result"))
+    """All audit rows, execution rows with their position ``execution_no`` among
+    their transaction's executions (WN-02), over all runs in ``audit``: earlier
+    runs first, then by the composite key.  Other rows have NULL."""
+    ex = F.col("stage").eqNullSafe("execution")
+    place = Window.partitionBy("transaction_id", ex).orderBy("timestamp", "attempt_no", "stage_no")
+    return audit.withColumn("execution_no", F.when(ex, F.row_number().over(place)))

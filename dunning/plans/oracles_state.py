@@ -365,6 +365,45 @@ WHERE gate_status = 'PENDING' ORDER BY transaction_id LIMIT 500"""
     o["audit_timeline"] = a + """
 SELECT transaction_id, CAST(attempt_no AS BIGINT) AS attempt_no, agent_action FROM stage_rows
 WHERE stage = 'execution' AND tool_result = 'SUCCESS'"""
+    o["audit_trail_timeline"] = _with(OPT, AUDIT, PRIOR) + f"""
+, left0 AS (
+  SELECT cv.transaction_id, cv.action, cv.p,
+         row_number() OVER (PARTITION BY cv.transaction_id ORDER BY cv.expected_net DESC, cv.ord) AS rn
+  FROM cv JOIN e USING (transaction_id)
+  WHERE cv.ord <= 5 AND cv.action <> 'schedule_retry' AND NOT (cv.action IN {CONTACT} AND e.preference = 'none')),
+second AS (
+  SELECT e.transaction_id, e.hv OR e.risk_flag AS blocked, l.action AS a,
+         NOT (e.hv OR e.risk_flag) AND coalesce(e.u_bp < l.p * 10000, false) AS ok
+  FROM e JOIN hist h ON h.transaction_id = e.transaction_id AND h.g = 0
+  LEFT JOIN left0 l ON l.transaction_id = e.transaction_id AND l.rn = 1),
+log AS (
+  SELECT 0 AS run, transaction_id, n AS attempt_no, 4 AS stage_no, 'execution' AS stage,
+         CASE WHEN g = 3 THEN 'retry_payment' WHEN g = 2 THEN 'escalate_to_human' WHEN n = 2 THEN 'create_payment_link'
+              ELSE 'schedule_retry' END AS agent_action,
+         'APPROVED' AS policy_result, CASE g WHEN 3 THEN 'SUCCESS' ELSE 'FAILURE' END AS tool_result
+  FROM hist JOIN (VALUES (1), (2)) v(n) ON n <= prior_executions
+  UNION ALL
+  SELECT 1, transaction_id, attempt_no, stage_no, stage, agent_action, policy_result, tool_result
+  FROM stage_rows WHERE transaction_id NOT IN (SELECT transaction_id FROM hist)
+  UNION ALL
+  SELECT 1, transaction_id, 2, 1, 'risk_evaluation', NULL, NULL, NULL FROM second
+  UNION ALL
+  SELECT 1, transaction_id, 2, 2, 'root_cause_analysis', CASE WHEN blocked THEN 'stop_recovery' ELSE a END, NULL, NULL FROM second
+  UNION ALL
+  SELECT 1, transaction_id, 2, 3, 'policy_guardrail', CASE WHEN blocked THEN 'stop_recovery' ELSE a END,
+         CASE WHEN blocked THEN 'ESCALATE' ELSE 'APPROVED' END, NULL FROM second
+  UNION ALL
+  SELECT 1, transaction_id, 2, 4, 'execution', CASE WHEN blocked THEN 'escalate_to_human' ELSE a END, 'APPROVED',
+         CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILURE' END FROM second
+  UNION ALL
+  SELECT 1, transaction_id, 3, 3, 'policy_guardrail', 'escalate_to_human', 'APPROVED', NULL FROM second WHERE NOT blocked AND NOT ok
+  UNION ALL
+  SELECT 1, transaction_id, 3, 4, 'execution', 'escalate_to_human', 'APPROVED', 'FAILURE' FROM second WHERE NOT blocked AND NOT ok)
+SELECT CASE run WHEN 0 THEN 'prior' ELSE 'optimizer' END AS strategy, transaction_id, CAST(attempt_no AS BIGINT) AS attempt_no,
+       CAST(stage_no AS BIGINT) AS stage_no, stage, agent_action, policy_result, tool_result,
+       CASE WHEN stage = 'execution' THEN CAST(count(*) FILTER (WHERE stage = 'execution') OVER (
+         PARTITION BY transaction_id ORDER BY run, attempt_no, stage_no ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS execution_no
+FROM log"""
     o["filtered_head"] = _with(OPT, SNAP) + """
 SELECT transaction_id, recovery_status, CAST(recovered_amount AS DOUBLE) AS recovered_amount FROM snap
 WHERE recovery_status = 'RECOVERED' ORDER BY transaction_id LIMIT 100"""

@@ -597,9 +597,22 @@ def pending_batch(spark, sf_dir):
 
 
 def audit_timeline(spark, sf_dir):
-    """TK-03: the execution timeline, oldest first, with its position per transaction (WN-02)."""
-    a = AU.execution_attempt_numbers(_audit(spark, sf_dir).where(F.col("tool_result") == "SUCCESS"))
-    return to_output(a.orderBy("transaction_id", "attempt_no").select("transaction_id", "attempt_no", "agent_action"))
+    """The executions that recovered, with their position among all executions of
+    their transaction (WN-02).  The whole timeline is ``audit_trail_timeline``."""
+    a = AU.execution_attempt_numbers(_audit(spark, sf_dir))
+    won = a.where((F.col("stage") == "execution") & (F.col("tool_result") == "SUCCESS"))
+    return to_output(won.orderBy("transaction_id", "execution_no")
+                     .select("transaction_id", F.col("execution_no").alias("attempt_no"), "agent_action"))
+
+
+def audit_trail_timeline(spark, sf_dir):
+    """TK-03 / WN-02: every audit row of an earlier run and of the run that resumes
+    after it, oldest first, executions numbered per transaction over both runs."""
+    prior = FX.prior_audit_view(_inputs(spark, sf_dir).orders)
+    w = evaluate(ST.pending(_resume_enriched(spark, sf_dir)), which=("optimizer",))
+    a = prior.unionByName(AU.audit_rows(w, "optimizer", run_ts=RUN_TS, latency=fixture_latency))
+    return to_output(VW.audit_timeline(AU.execution_attempt_numbers(a)).select(
+        "strategy", "transaction_id", "attempt_no", "stage_no", "stage", "agent_action", "policy_result", "tool_result", "execution_no"))
 
 
 def filtered_head(spark, sf_dir):
@@ -656,7 +669,7 @@ def stream_dedupe(spark, sf_dir):
                      .select("transaction_id", "agent_action"))
 
 
-QUERIES.update({f.__name__: f for f in (stream_two_runs, edge_results, edge_state, edge_360, pending_batch, audit_timeline,
+QUERIES.update({f.__name__: f for f in (stream_two_runs, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
                                         filtered_head, outcome_join, stored_pairs, stage_latency_nulls)})
 QUERIES.update({
     "prompt_requests": prompt_requests,
