@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dunning.llm import compression_quality, exact_dedup, minhash_dedup, packing, suffix_dedup
 from dunning.llm.common import bounded_batches, read, staged
 
-#: Bytes of a repeated passage to cut: a passage of over 50 words has more.
+#: Bytes of a repeated passage to cut: one of over 50 words in prose has more, of short words it may have less.
 REPEAT_BYTES = 240
 
 
