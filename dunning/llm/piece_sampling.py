@@ -31,7 +31,7 @@ from .common import bounded_batches
 from .piece_lattice import ids_of, sample, vocabulary
 from .words import chunks, tidy
 
-SAMPLES, ALPHA = 2, 1.0
+SAMPLES, ALPHA = 4, 1.0
 _LONG = T.LongType()
 
 
