@@ -3,13 +3,17 @@ over their whole tables, and the DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import embedding_dedup, minhash_dedup
 from .common import read
 from .compression_quality import quality
+from .decontamination import overlaps
 from .exact_dedup import exact_dedup
 from .lm_score import score
 from .packing import pack
 from .piece_sampling import encode
+from .ranked_search import search
 from .suffix_dedup import remove_repeats
 from .transcripts import chat_turns
 from .url_filter import filter_urls
@@ -60,6 +64,16 @@ def op10_lm_score(spark, sf_dir):
     return score(read(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark, sf_dir):
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("item_th")
+
+
+def op13_decontamination(spark, sf_dir):
+    found = overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +85,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_lm_score": op10_lm_score,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES = {
@@ -121,5 +137,53 @@ WITH u AS (
 )
 SELECT p.page_id, p.host, p.path, r.host || r.prefix AS rule, coalesce(r.verdict, 'allow') AS verdict
 FROM p LEFT JOIN hit ON hit.page_id = p.page_id LEFT JOIN r ON r.place = hit.place
+""",
+    "op12_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), total AS (
+  SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t
+), weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY t
+), item AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), norm AS (
+  SELECT r, doc_id, 100 - 50 + (50 * len(w) * docs) // terms AS m FROM d, total
+), score AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM item JOIN weight USING (t) JOIN tf USING (t) JOIN norm USING (r) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM score WHERE score > 0
+QUALIFY rank <= 50
+""",
+    "op13_decontamination": r"""
+WITH i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM (SELECT *, least(len(w), 10) AS k FROM i WHERE len(w) > 0))
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), hit AS (
+  SELECT r, s, k, item_id
+  FROM (SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS t
+        FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)) JOIN win USING (k, t)
+), words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
 """,
 }
