@@ -1,10 +1,11 @@
 """Operator 10: language-model scoring by context-tree weighting.
 
-The model codes each byte of a text, A-Z lower-cased, as eight binary decisions.
+The model codes each byte of a text, A-Z lower-cased, and one end mark (the byte 0xFF,
+which UTF-8 never holds) after the last, as eight binary decisions.
 For each decision the Krichevsky-Trofimov estimates of all context depths, from no
 byte to the ``DEPTH`` bytes before, are mixed with the weights that the counts of the
 training texts give them.  The score of a text is the log10 probability of its bytes
-under the trained tree; ``bits_per_byte`` in the result is the code length.
+and its end under the trained tree; ``bits_per_byte`` in the result is the code length.
 
 How it is spread: texts are dealt into buckets of some 30 MB.  A bucket gives each
 distinct gram (context and byte) and each distinct word it holds with its count in
@@ -19,7 +20,7 @@ those nodes up to their bound, is broadcast or collected.
 The base score is that of single words with add-one smoothing.
 
 Defined results: null text counts as empty; an empty text has the end as its one
-token, and score 0; a row with a null id is used for training; repeated rows count as
+token, and the log10 probability of an end at once as score; a row with a null id is used for training; repeated rows count as
 often as they occur; without training texts every decision has probability 1/2 and
 the base formula holds with N = V = 0; an empty table gives an empty result; other
 columns are ignored.
@@ -44,6 +45,10 @@ SHARES = 512
 CHUNK, POOL, NODES = 512 << 10, 2 << 20, 64 << 10
 GRAM, WORD = 0, 1
 _LONG = T.LongType()
+_END = b"\xff"
+#: Bytes as words are read from them: the end mark is white space.
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[255] = 32
 
 
 def _flip(gram: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def _bucket_counts(depth: int, shares: int):
             drain(POOL)
         drain(1)
         for i, j in chunks(at, CHUNK):
-            word, row = word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
+            word, row = word_hashes(_SPACED[data[at[i]:at[j]]], at[i:j + 1] - at[i])
             found[WORD].append(_counts(word.view(np.int64), teaches[i:j][row]))
             merge(found[WORD], POOL // 4)
         rows = []
@@ -249,7 +254,7 @@ def _bucket_scores(depth: int):
         for i, j, own, code in gram_pieces(_LOWER[data], at, depth, CHUNK):
             score[i:j] += _row_sums(gram(_flip(code)), own)
         for i, j in chunks(at, CHUNK):
-            hashed, row = word_hashes(data[at[i]:at[j]], at[i:j + 1] - at[i])
+            hashed, row = word_hashes(_SPACED[data[at[i]:at[j]]], at[i:j + 1] - at[i])
             c = word(hashed.view(np.int64))
             many = np.bincount(row, minlength=j - i)
             edge = np.concatenate(([0], np.cumsum(many)))
@@ -259,7 +264,7 @@ def _bucket_scores(depth: int):
         del gram, word
         release()
         return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_bytes": pa.array(np.diff(at)),
+            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_bytes": pa.array(np.diff(at) - 1),
             "words": pa.array(tokens.astype(np.int64)), "known": pa.array(known.astype(np.int64)),
             "base": pa.array(base.astype(float)), "score": pa.array(score.astype(float))})
     return run
@@ -277,7 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).select(
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(text, F.lit(_END)).alias("text")).select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), "doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "text")
     taught = rows.where("not held_out").count()
     least = min(3, depth)
