@@ -7,7 +7,7 @@ byte to the ``DEPTH`` bytes before, are mixed with the weights that the counts o
 training texts give them.  The score of a text is the log10 probability of its bytes
 and its end under the trained tree; ``bits_per_byte`` in the result is the code length.
 
-How it is spread: texts are dealt into buckets of some 30 MB.  A bucket gives each
+How it is spread: texts are dealt into buckets of some 12 MB.  A bucket gives each
 distinct gram (context and byte) and each distinct word it holds with its count in
 training texts, packed by share: a word's by its hash, a gram's by its three most
 recent context bytes, so a share holds whole subtrees.  A share has at most one entry
@@ -40,7 +40,7 @@ from .context_tree import Level, gram_pieces, levels, log10_probability
 from .words import _LOWER, chunks, flat, mix, release, word_hashes
 
 DEPTH = 6
-BUCKET_BYTES, BUCKETS = 32 << 20, 24
+BUCKET_BYTES, BUCKETS = 12 << 20, 24
 SHARES = 512
 CHUNK, POOL, NODES = 512 << 10, 2 << 20, 64 << 10
 GRAM, WORD = 0, 1
