@@ -3,11 +3,12 @@ cleaning / validation (MI-02, MI-03)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import catalog as C
+from . import sqltext as S
 from .erv import code_class
 
 
@@ -43,10 +44,12 @@ def rules_action(cls: Column, attempts: Column) -> Column:
     return e
 
 
-def fallback_diagnosis(cls: Column, history: Column) -> Column:
+def fallback_diagnosis(cls: Column, history) -> Column:
     """Struct(root_cause, confidence, recommended_action, reason,
     why_not_alternatives) by code class (see ``code_class``) and whether the
-    flipping action is already in ``history`` (array<string>)."""
+    flipping action is already in ``history`` (array<string>, or a function that
+    gives a boolean Column for an action)."""
+    has = history if callable(history) else lambda a: F.coalesce(F.array_contains(history, a), F.lit(False))
 
     def pick(idx: int) -> Column:
         e = None
@@ -54,8 +57,7 @@ def fallback_diagnosis(cls: Column, history: Column) -> Column:
             if flip is None or second is None:
                 v = F.lit(first[idx])
             else:
-                tried = F.coalesce(F.array_contains(history, flip), F.lit(False))
-                v = F.when(tried, second[idx]).otherwise(first[idx])
+                v = F.when(has(flip), second[idx]).otherwise(first[idx])
             e = F.when(cls == name, v) if e is None else e.when(cls == name, v)
         return e
 
@@ -96,31 +98,28 @@ def clean_response(text: Column) -> Column:
     return F.when(fenced, _strip(inner)).otherwise(t)
 
 
-def parse_response(text: Column) -> Column:
-    """Struct of the 5 fields plus ``valid``; malformed JSON gives NULL fields.
+def with_parsed(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the struct ``name`` of the 5 fields of the response in column ``text`` plus
+    ``valid``; malformed JSON gives NULL fields.
 
     Strict JSON: one object from the first to the last character, double quotes
-    only, and text fields that are JSON strings (not numbers or objects)."""
-    cleaned = clean_response(text)
+    only, and text fields that are JSON strings (not numbers or objects).  The text is
+    cleaned once and parsed once by each parser: every step is a column of its own."""
+    p = f"_{name}_"
+    inputs = [c for c in df.columns if c != name]
+    df = df.withColumn(f"{p}clean", clean_response(F.col(text)))
     # inside brackets, text after the object is a syntax error or a second element
-    wrapped = F.try_parse_json(F.concat(F.lit("["), cleaned, F.lit("]")))
-    value = F.try_variant_get(wrapped, "$[0]", "variant")
-    whole = (cleaned.endswith("}") & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-             & F.schema_of_variant(value).startswith("OBJECT"))
-    parsed = F.when(whole, cleaned)
-    j = F.from_json(parsed, RESPONSE_SCHEMA, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
-    conf = j["confidence"].try_cast("double")
-    strings = F.lit(True)
-    for name in ("root_cause", "recommended_action", "reason", "why_not_alternatives"):
-        strings = strings & (F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")) == "STRING")
-    valid = (strings & j["root_cause"].isin(*C.ROOT_CAUSES)
-             & j["recommended_action"].isin(*C.ACTION_NAMES)
-             & conf.isNotNull() & j["reason"].isNotNull() & j["why_not_alternatives"].isNotNull())
-    return F.struct(
-        j["root_cause"].alias("root_cause"),
-        conf.alias("confidence"),
-        j["recommended_action"].alias("recommended_action"),
-        j["reason"].alias("reason"),
-        j["why_not_alternatives"].alias("why_not_alternatives"),
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-    )
+    df = df.withColumn(f"{p}wrapped", F.expr(f"try_parse_json(concat('[', {p}clean, ']'))"))
+    df = df.withColumn(f"{p}value", F.expr(f"try_variant_get({p}wrapped, '$[0]', 'variant')"))
+    whole = (f"endswith({p}clean, '}}') AND try_variant_get({p}wrapped, '$[1]', 'variant') IS NULL "
+             f"AND startswith(schema_of_variant({p}value), 'OBJECT')")
+    df = df.withColumn(f"{p}json", F.expr(f"CASE WHEN {whole} THEN {p}clean END"))
+    df = df.withColumn(f"{p}j", F.from_json(f"{p}json", RESPONSE_SCHEMA, {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}))
+    df = df.withColumn(f"{p}conf", F.expr(f"try_cast({p}j.confidence AS DOUBLE)"))
+    texts = ("root_cause", "recommended_action", "reason", "why_not_alternatives")
+    valid = " AND ".join([f"schema_of_variant(try_variant_get({p}value, '$.{t}', 'variant')) = 'STRING'" for t in texts]
+                         + [f"{p}j.root_cause IN {S.names(C.ROOT_CAUSES)}", f"{p}j.recommended_action IN {S.names(C.ACTION_NAMES)}",
+                            f"{p}conf IS NOT NULL", f"{p}j.reason IS NOT NULL", f"{p}j.why_not_alternatives IS NOT NULL"])
+    packed = (f"named_struct('root_cause', {p}j.root_cause, 'confidence', {p}conf, 'recommended_action', {p}j.recommended_action, "
+              f"'reason', {p}j.reason, 'why_not_alternatives', {p}j.why_not_alternatives, 'valid', coalesce({valid}, false))")
+    return df.select(*inputs, F.expr(packed).alias(name))

@@ -2,10 +2,11 @@
 
 The probability table in :mod:`dunning.catalog` is turned into CASE
 expressions over two small per-row columns, the failure-code class and the
-customer band; :func:`prepare` evaluates them once per row into one
-probability and one expected-net column per action, so the attempt steps only
-reference columns.  The candidate set is an ``array<struct>`` built per row, so
-ranking and argmax need no join and no shuffle.
+customer band; :func:`prepare` gives one probability and one expected-net
+column per action, for reports and candidate lists.  The attempt loop looks its
+action up in :mod:`dunning.functions.envelope` instead, which tests compare
+with :func:`best_allowed`.  The candidate set is an ``array<struct>`` built per
+row, so ranking needs no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
+from . import envelope as EN
+from . import sqltext as S
 from .risk import norm_code, risk_base
 from .validity import is_invalid, is_recovered
 
@@ -22,10 +25,6 @@ MONEY_T = "decimal(18,2)"
 COST_T = "decimal(5,1)"
 
 
-def _d(x) -> Column:
-    return F.lit(str(x)).cast(PROB_T)
-
-
 def code_class(code: Column) -> Column:
     c = norm_code(code)
     e = None
@@ -38,85 +37,51 @@ def band(rate: Column) -> Column:
     return F.when(rate >= C.BAND_HI, "hi").when(rate < C.BAND_LO, "lo").otherwise("mid")
 
 
-def probability_for(action: str, cls: Column, bnd: Column, ltv: Column) -> Column:
-    """Probability of a fixed catalog action, from class and band columns."""
-    if action in C.AUTOMATED:
-        table, up, down, floor = C.PROBABILITY[action]
-        base = None
-        for name in C.CODE_CLASSES:
-            base = (F.when(cls == name, _d(table[name])) if base is None
-                    else base.when(cls == name, _d(table[name])))
-        base = base.otherwise(_d(table["OTHER"]))
-        return (F.when(bnd == "hi", F.least(_d(C.BAND_CAP), (base + _d(up)).cast(PROB_T)))
-                .when(bnd == "lo", F.greatest(_d(floor), (base - _d(down)).cast(PROB_T)))
-                .otherwise(base)).cast(PROB_T)
-    if action == C.ESCALATE:
-        return F.when(ltv >= C.HIGH_LTV, _d(C.ESCALATE_PROB_HIGH_LTV)).otherwise(_d(C.ESCALATE_PROB))
-    return _d("0.00")
-
-
-def expected_values(amount: Column, prob: Column, cost) -> tuple[Column, Column]:
-    """(expected_gross, expected_net), each rounded half-up to 2 decimals from
-    the exact product (``net = amount*p - cost``)."""
-    amt = F.coalesce(amount, F.lit(0).cast(MONEY_T))
-    exact = amt * prob
-    gross = F.round(exact, 2).cast(MONEY_T)
-    net = F.round(exact - F.lit(str(cost)).cast(COST_T), 2).cast(MONEY_T)
-    return gross, net
+def net_text(amount: str, prob: str, cost: str) -> str:
+    """SQL text of the expected net, rounded half-up to 2 decimals from the exact product
+    (``amount*p - cost``)."""
+    return f"CAST(round(coalesce({amount}, CAST(0 AS {MONEY_T})) * {prob} - {cost}, 2) AS {MONEY_T})"
 
 
 def prepare(df: DataFrame) -> DataFrame:
     """Per-row decision constants, evaluated once:
 
     ``invalid`` / ``done_before`` (rows the loop must not touch),
-    ``code_cls``, ``band``, policy flags ``hv`` / ``optout``, the
+    ``code_cls``, ``band`` and their numbers, the amount in ``cents``, policy flags
+    ``hv`` / ``optout``, the bit set ``prior_mask`` of automated actions tried before, the
     attempt-independent risk score part ``risk_base``, ``p_<action>`` (probability under the raw code,
     used for outcomes) and ``net_<action>`` (expected net under the ranking
     code, which for a code-derived cause is the same class).
     """
+    cls = S.case([(f"upper(coalesce(failure_code, '')) IN {S.names(codes)}", S.quoted(c)) for c, codes in C.CODE_CLASSES.items()], "'OTHER'")
     df = df.withColumns({
-        "code_cls": code_class(F.col("failure_code")),
-        "band": band(F.col("erv_rate")),
-        "hv": F.coalesce(F.col("amount"), F.lit(0)) >= C.HIGH_VALUE_THRESHOLD,
-        "optout": F.col("preference") == "none",
+        "code_cls": F.expr(cls),
+        "band": F.expr(f"CASE WHEN erv_rate >= {C.BAND_HI} THEN 'hi' WHEN erv_rate < {C.BAND_LO} THEN 'lo' ELSE 'mid' END"),
+        "hv": F.expr(f"coalesce(amount, 0) >= {C.HIGH_VALUE_THRESHOLD}"),
+        "optout": F.expr("preference = 'none'"),
         "risk_base": risk_base(F.col("amount"), F.col("failure_code"), F.col("risk_rate"),
                                F.col("risk_flag"), F.col("days_overdue")),
         "invalid": is_invalid(F.col("amount"), F.col("retry_count")),
         "done_before": is_recovered(F.col("recovery_status"), F.col("status")),
+        "cents": F.expr(f"CAST(coalesce(amount, CAST(0 AS {MONEY_T})) * 100 AS BIGINT)"),
+        "prior_mask": F.expr(" + ".join(f"CASE WHEN array_contains(prior_actions, {S.quoted(a)}) THEN {b} ELSE 0 END" for a, b in EN.BIT.items())),
+    })
+    df = df.withColumns({
+        "cls_no": F.expr(S.lookup("code_cls", {c: str(i) for i, c in enumerate(EN.CLASSES)})),
+        "band_no": F.expr(S.lookup("band", {b: str(i) for i, b in enumerate(EN.BANDS)})),
     })
     cols = {}
-    for action, _, rank_cost, _, kind in C.ACTIONS:
-        p = probability_for(action, F.col("code_cls"), F.col("band"), F.col("ltv"))
-        cols[f"p_{action}"] = p
+    for action in C.ACTION_NAMES:
+        if action in EN.BIT:
+            by_state = ", ".join(str(EN.probability(action, c, b)) for c in EN.CLASSES for b in EN.BANDS)
+            p = f"element_at(CAST(array({by_state}) AS ARRAY<{PROB_T}>), cls_no * {len(EN.BANDS)} + band_no + 1)"
+        elif action == C.ESCALATE:
+            p = f"CAST(CASE WHEN ltv >= {C.HIGH_LTV} THEN {C.ESCALATE_PROB_HIGH_LTV} ELSE {C.ESCALATE_PROB} END AS {PROB_T})"
+        else:
+            p = f"CAST(0 AS {PROB_T})"
+        cols[f"p_{action}"] = F.expr(p)
     df = df.withColumns(cols)
-    nets = {}
-    for action, _, rank_cost, _, kind in C.ACTIONS:
-        nets[f"net_{action}"] = expected_values(F.col("amount"), F.col(f"p_{action}"), rank_cost)[1]
-    return df.withColumns(nets)
-
-
-def success_probability(action: Column) -> Column:
-    """Probability of a column-valued action from the prepared ``p_*``
-    columns; 0 for an action outside the catalog."""
-    e = None
-    for a in C.ACTION_NAMES:
-        e = F.when(action == a, F.col(f"p_{a}")) if e is None else e.when(action == a, F.col(f"p_{a}"))
-    return e.otherwise(_d("0.00"))
-
-
-def net_for(action: Column, nets: dict[str, Column]) -> Column:
-    e = None
-    for a, c in nets.items():
-        e = F.when(action == a, c) if e is None else e.when(action == a, c)
-    return e.otherwise(F.lit(0).cast(MONEY_T))
-
-
-def nets_for_class(cls: Column, bnd: Column, ltv: Column, amount: Column) -> dict[str, Column]:
-    """Expected nets of all catalog actions for a given class column."""
-    out = {}
-    for action, _, rank_cost, _, _ in C.ACTIONS:
-        out[action] = expected_values(amount, probability_for(action, cls, bnd, ltv), rank_cost)[1]
-    return out
+    return df.withColumns({f"net_{a}": F.expr(net_text("amount", f"p_{a}", f"CAST({cost} AS {COST_T})")) for a, _, cost, _, _ in C.ACTIONS})
 
 
 def candidates(df: DataFrame) -> Column:

@@ -3,14 +3,16 @@
 Per transaction: up to ``MAX_ATTEMPTS`` rounds of risk -> diagnosis / action
 selection -> policy -> execution against the recorded draw, stopping on
 success or an exit action; an unrecovered transaction whose last action was
-automated is then escalated.  The loop is unrolled into a fixed number of
-column steps on one DataFrame, so it is a map-only plan: no shuffle, no
-collect, no UDF.
+automated is then escalated.
 
-Every intermediate is a flat column (never a struct field), and no text is
-built inside the loop: the optimizer then keeps each value computed once,
-and the generated code stays small.  Texts (reasons, descriptions) are
-rendered once, from the per-attempt columns, where a table shows them.
+The loop is unrolled into a fixed number of steps on one DataFrame.  The state
+of a row is small: a bit set of the automated actions tried, the number of
+attempts, the retry count.  What an attempt does depends on that state, the code
+class, the customer band and the amount, so it is looked up in a small broadcast
+table made from the catalog (:mod:`dunning.functions.envelope`): no shuffle, no
+UDF, and short generated code, as the joins also keep the optimizer from
+inlining one attempt into the next.  Texts (reasons, descriptions) are rendered
+once, from the per-attempt columns, where a table shows them.
 
 Selectors:
 * ``rules``     static action by failure code and attempt number (SX-11);
@@ -21,150 +23,126 @@ Selectors:
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog as C
-from ..functions import diagnosis as DX
-from ..functions.erv import best_allowed, code_class, eval_cost_of, net_for, nets_for_class, success_probability
-from ..functions.outcome import describe, recovered, recovery_status_after, succeeded
-from ..functions.policy import PolicyContext, approves, done_flag, final_action, policy_rule, result_of
-from ..functions.risk import risk_level, score_from_base
+from ..functions import envelope as EN
+from ..functions import sqltext as S
+from ..functions.erv import COST_T, MONEY_T, PROB_T, net_text
 from ..functions.validity import row_error
 
-# per-attempt columns kept in the trail (see ``trail`` in the result struct)
-TRAIL_FIELDS = ["attempt_no", "attempts_before", "risk_score", "root_cause", "diagnosis_source",
-                "recommended_action", "expected_net", "policy_rule", "final_action", "probability",
-                "success", "model_reason", "model_why"]
-
-
-def _init_state(s: str) -> list:
-    return [("with", {
-        f"{s}att": F.col("prior_executions").cast("int"),
-        f"{s}hist": F.col("prior_actions"),
-        f"{s}retry": F.col("retry_count"),
-        f"{s}rec": F.col("recovery_status"),
-        f"{s}active": ~F.col("prior_terminal") & ~F.col("done_before") & ~F.col("invalid"),
-    })]
-
-
-def _diagnosis_cols(q: str, s: str, k: int, selector: str, model: bool) -> dict[str, Column]:
-    cls = F.col("code_cls")
-    code_cause = DX.root_cause_from_class(cls)
-    if selector == "rules" or not model:
-        return {f"{q}cause": code_cause,
-                f"{q}src": F.lit("rules" if selector == "rules" else "erv")}
-    return {f"{q}parsed": F.col(f"answer{k}.parsed"),
-            f"{q}fb": DX.fallback_diagnosis(cls, F.col(f"{s}hist"))}
-
-
-def _model_cols(q: str, k: int) -> dict[str, Column]:
-    parsed, fb = F.col(f"{q}parsed"), F.col(f"{q}fb")
-    quota = F.col("in_quota")
-    use_model = quota & F.coalesce(parsed["valid"], F.lit(False))
-    err = (F.when(F.col(f"answer{k}.text").isNull(), F.lit("no recorded response"))
-           .when(parsed["root_cause"].isNull() & parsed["reason"].isNull(), F.lit("malformed response JSON"))
-           .otherwise(F.lit("response failed schema validation")))
-    fb_reason = F.concat(fb["reason"], F.lit(" (LLM Error: "),
-                         F.substring(err, 1, C.MODEL_ERROR_SUFFIX_CHARS), F.lit(")"))
+_EXITS, _AUTOMATED = S.names(C.EXITS), S.names(C.AUTOMATED)
+_CAUSE = S.lookup("code_cls", {k: S.quoted(v) for k, v in C.CLASS_TO_CAUSE.items()})
+_RANK_CLASS = {code: cls for cls, codes in C.CODE_CLASSES.items() for code in codes}
+_AMOUNT = f"coalesce(amount, CAST(0 AS {MONEY_T}))"
+
+
+def _with(df: DataFrame, **cols: str) -> DataFrame:
+    return df.withColumns({c: F.expr(e) for c, e in cols.items()})
+
+
+def _score(retry: str) -> str:
+    return (f"least(CAST(bround(risk_base + CAST(CASE WHEN coalesce({retry}, 0) = 1 THEN 10 WHEN coalesce({retry}, 0) >= 2 THEN 15 ELSE 0 END "
+            "AS DECIMAL(10,1)), 0) AS INT), 100)")
+
+
+def _level(score: str) -> str:
+    return f"CASE WHEN {score} <= 30 THEN 'LOW' WHEN {score} <= 60 THEN 'MEDIUM' WHEN {score} <= 80 THEN 'HIGH' ELSE 'CRITICAL' END"
+
+
+def _succeeded(fin: str, prob: str) -> str:
+    return f"coalesce({fin} NOT IN {_EXITS} AND u_bp < {prob} * 10000, false)"
+
+
+def _describe(fin: str, ok: str, prob: str) -> str:
+    return S.case([(f"{fin} = {S.quoted(C.ESCALATE)}", S.quoted(C.OUTCOME_ESCALATED)), (f"{fin} = {S.quoted(C.STOP)}", S.quoted(C.OUTCOME_STOPPED)),
+                   (ok, S.filled(C.OUTCOME_SUCCESS, action=fin, amount=f"format_number({_AMOUNT}, 2)"))],
+                  S.filled(C.OUTCOME_FAILURE, action=fin, pct=f"CAST({prob} * 100 AS INT)"))
+
+
+def _eval_cost(action: str) -> str:
+    return f"CAST({S.lookup(action, {a: str(c) for a, c in C.EVAL_COST.items()}, str(C.UNKNOWN_ACTION_EVAL_COST))} AS {COST_T})"
+
+
+def _fallback(part: int, hist: str) -> str:
+    """Reason (1) or alternatives (2) text of the fallback diagnosis (SX-12)."""
+    out = {}
+    for cls, (flip, _, first, second) in C.FALLBACK.items():
+        out[cls] = S.quoted(first[part]) if second is None else (
+            f"CASE WHEN {hist} & {EN.BIT[flip]} <> 0 THEN {S.quoted(second[part])} ELSE {S.quoted(first[part])} END")
+    return S.lookup("code_cls", out)
+
+
+def _rank_class(cause: str) -> str:
+    """Class number that a diagnosed cause ranks by (SX-10): substring rules in order."""
+    rules = [(" OR ".join(f"contains(lower({cause}), {S.quoted(n)})" for n in needles), str(EN.CLASSES.index(_RANK_CLASS[code])))
+             for needles, code in C.CAUSE_TEXT_RULES]
+    return S.case(rules, str(EN.CLASSES.index("OTHER")))
+
+
+def _model_cols(q: str, k: int, hist: str) -> dict[str, str]:
+    """Cause, source and reason texts of attempt k with a model (MI-04)."""
+    answer = f"answer{k}"
+    use = f"(in_quota AND coalesce({answer}.parsed.valid, false))"
+    err = S.case([(f"{answer}.text IS NULL", "'no recorded response'"),
+                  (f"{answer}.parsed.root_cause IS NULL AND {answer}.parsed.reason IS NULL", "'malformed response JSON'")],
+                 "'response failed schema validation'")
     return {
-        f"{q}cause": F.when(use_model, parsed["root_cause"]).when(quota, fb["root_cause"])
-        .otherwise(DX.root_cause_from_class(F.col("code_cls"))),
-        f"{q}src": F.when(use_model, "model").when(quota, "fallback").otherwise("erv"),
-        f"{q}mreason": F.when(use_model, parsed["reason"]).when(quota, fb_reason),
-        f"{q}mwhy": F.when(use_model, parsed["why_not_alternatives"]).when(quota, fb["why_not_alternatives"]),
+        f"{q}cause": f"CASE WHEN {use} THEN {answer}.parsed.root_cause ELSE {_CAUSE} END",
+        f"{q}src": f"CASE WHEN {use} THEN 'model' WHEN in_quota THEN 'fallback' ELSE 'erv' END",
+        f"{q}mreason": f"CASE WHEN {use} THEN {answer}.parsed.reason WHEN in_quota THEN "
+                       f"concat({_fallback(1, hist)}, ' (LLM Error: ', substring({err}, 1, {C.MODEL_ERROR_SUFFIX_CHARS}), ')') END",
+        f"{q}mwhy": f"CASE WHEN {use} THEN {answer}.parsed.why_not_alternatives WHEN in_quota THEN {_fallback(2, hist)} END",
     }
 
 
-def _attempt(name: str, k: int, selector: str, model: bool) -> list:
-    steps: list = []
-    s, q = f"_{name}_", f"_{name}{k}_"
-    att, hist, retry, rec = F.col(f"{s}att"), F.col(f"{s}hist"), F.col(f"{s}retry"), F.col(f"{s}rec")
-    ctx = PolicyContext(done=F.col(f"{q}done"), high_value=F.col("hv"), fraud=F.col("risk_flag"),
-                        opted_out=F.col("optout"), attempts=att, history=hist)
+def _attempt(df: DataFrame, s: str, k: int, selector: str, model: bool) -> DataFrame:
+    """One attempt: the columns of the row's state after it and of its trail entry."""
+    q, t = f"{s}{k}_", f"{s}{k}_t_"
+    att, hist, retry = f"{s}att", f"{s}hist", f"{s}retry"
+    first = {f"{q}run": f"{s}active AND {att} < {C.MAX_ATTEMPTS}", f"{q}att": att, f"{q}score": _score(retry)}
+    if model:
+        df = _with(df, **first, **_model_cols(q, k, hist))
+        rank = _rank_class(f"{q}cause")
+    else:
+        first |= {f"{q}cause": _CAUSE, f"{q}src": "'rules'" if selector == "rules" else "'erv'"}
+        df, rank = _with(df, **first), "cls_no"
 
-    # step 1: gate, risk score, cause
-    cols = {
-        f"{q}run": F.col(f"{s}active") & (att < C.MAX_ATTEMPTS),
-        f"{q}att": att,
-        f"{q}score": score_from_base(F.col("risk_base"), retry),
-        f"{q}done": done_flag(F.col("status"), rec),
-    }
-    cols.update(_diagnosis_cols(q, s, k, selector, model))
-    steps.append(("with", cols))
-    if model and selector != "rules":
-        steps.append(("with", _model_cols(q, k)))
-        steps.append(("drop", [f"{q}parsed", f"{q}fb"]))
-
-    # step 2: recommended action
-    nets = {a: F.col(f"net_{a}") for a in C.ACTION_NAMES}
+    # what this state does, from the decision table
+    stopped = [("hv", "'HIGH_VALUE_THRESHOLD'"), ("risk_flag", "'CUSTOMER_FRAUD_FLAG'")]
     if selector == "rules":
-        steps.append(("with", {f"{q}recact": DX.rules_action(F.col("code_cls"), att)}))
+        key = EN.rules_key("cls_no", "band_no", "CAST(optout AS INT)", hist, f"CASE WHEN {att} = 0 THEN 0 ELSE 1 END")
+        df = EN.rules_action(_with(df, **{f"{q}key": key}), f"{q}key", t)
+        recact, rule, done, net = f"{t}action", S.case(stopped, f"{t}rule"), f"{t}done", f"CAST(NULL AS {MONEY_T})"
     else:
-        if model:
-            # a diagnosed cause re-keys the ranking table
-            steps.append(("with", {f"{q}rank": code_class(DX.ranking_code_from_cause(F.col(f"{q}cause")))}))
-            mnets = nets_for_class(F.col(f"{q}rank"), F.col("band"), F.col("ltv"), F.col("amount"))
-            steps.append(("with", {f"{q}net_{a}": c for a, c in mnets.items()}))
-            nets = {a: F.col(f"{q}net_{a}") for a in C.ACTION_NAMES}
-        steps.append(("with", {f"{q}recact": best_allowed(nets, lambda a: approves(a, ctx))}))
-    recact = F.col(f"{q}recact")
-
-    # step 3: policy, executed action, outcome against the draw
-    steps.append(("with", {
-        f"{q}rule": policy_rule(recact, ctx),
-        f"{q}net": net_for(recact, nets) if selector != "rules" else F.lit(None).cast("decimal(18,2)"),
-    }))
-    steps.append(("with", {f"{q}fin": final_action(result_of(F.col(f"{q}rule")), recact)}))
-    fin = F.col(f"{q}fin")
-    steps.append(("with", {f"{q}prob": success_probability(fin)}))
-    steps.append(("with", {f"{q}ok": succeeded(fin, F.col(f"{q}prob"), F.col("u_bp"))}))
-    ok = F.col(f"{q}ok")
-
-    # step 4: state update (ST-07: retry_payment raises the retry counter)
-    run = F.col(f"{q}run")
-    steps.append(("with", {
-        f"{s}att": F.when(run, att + 1).otherwise(att),
-        f"{s}hist": F.when(run, F.concat(hist, F.array(fin))).otherwise(hist),
-        f"{s}retry": F.when(run & (fin == "retry_payment"), F.coalesce(retry, F.lit(0)) + 1).otherwise(retry),
-        f"{s}rec": F.when(run, recovery_status_after(fin, ok)).otherwise(rec),
-        f"{s}active": run & ~ok & ~fin.isin(*C.EXITS),
-    }))
-    steps.append(("drop", [f"{q}done", f"{q}rank"] + [f"{q}net_{a}" for a in C.ACTION_NAMES]))
-    return steps
-
-
-def _trail(qs: list[str], model: bool) -> Column:
-    """Executed attempts in order.  Attempt k runs only if k-1 ran, so the
-    trail is a prefix; built with CASE (no array filter, which would take the
-    stage out of whole-stage code generation)."""
-    items = [_trail_item(q, model) for q in qs]
-    out = None
-    for i in range(len(qs), 0, -1):
-        arr = F.array(*items[:i])
-        cond = F.col(f"{qs[i - 1]}run")
-        out = F.when(cond, arr) if out is None else out.when(cond, arr)
-    return out.otherwise(F.slice(F.array(items[0]), 1, 0))   # empty, same element type
-
-
-def _trail_item(q: str, model: bool) -> Column:
-    return F.when(F.col(f"{q}run"), F.struct(
-        (F.col(f"{q}att") + 1).alias("attempt_no"),
-        F.col(f"{q}att").alias("attempts_before"),
-        F.col(f"{q}score").alias("risk_score"),
-        F.col(f"{q}cause").alias("root_cause"),
-        F.col(f"{q}src").alias("diagnosis_source"),
-        F.col(f"{q}recact").alias("recommended_action"),
-        F.col(f"{q}net").alias("expected_net"),
-        F.col(f"{q}rule").alias("policy_rule"),
-        F.col(f"{q}fin").alias("final_action"),
-        F.col(f"{q}prob").alias("probability"),
-        F.col(f"{q}ok").alias("success"),
-        (F.col(f"{q}mreason") if model else F.lit(None).cast("string")).alias("model_reason"),
-        (F.col(f"{q}mwhy") if model else F.lit(None).cast("string")).alias("model_why"),
-    ))
+        allowed = f"CASE WHEN hv OR risk_flag THEN 0 ELSE (CASE WHEN optout THEN {EN.NO_CONTACT} ELSE {EN.ALL_ACTIONS} END) & ~{hist} END"
+        key = EN.envelope_key("cls_no", f"({rank})", "band_no", f"({allowed})")
+        df = EN.best_action(_with(df, **{f"{q}key": key}), f"{q}key", "cents", t)
+        recact = done = f"coalesce({t}action, {S.quoted(C.STOP)})"
+        rule = S.case(stopped + [(f"{t}action IS NULL", "'SAFETY_EXIT'")], "'POLICY_APPROVED'")
+        net = f"coalesce({net_text('amount', f'{t}rank_p', f'{t}rank_cost')}, CAST(0 AS {MONEY_T}))"
+    df = _with(df, **{f"{q}recact": recact, f"{q}rule": rule, f"{q}net": net,
+                      f"{q}fin": f"CASE WHEN hv OR risk_flag THEN {S.quoted(C.ESCALATE)} ELSE {done} END"})
+    fin, run, prob = f"{q}fin", f"{q}run", f"{q}prob"
+    df = _with(df, **{prob: f"CASE WHEN {fin} = {S.quoted(C.ESCALATE)} THEN p_escalate_to_human ELSE coalesce({t}p, CAST(0 AS {PROB_T})) END"})
+    df = _with(df, **{f"{q}ok": _succeeded(fin, prob)})
+
+    # the state after it (ST-07: retry_payment raises the retry counter)
+    return _with(df, **{
+        att: f"CASE WHEN {run} THEN {att} + 1 ELSE {att} END",
+        hist: f"CASE WHEN {run} THEN {hist} | {S.lookup(fin, {a: str(b) for a, b in EN.BIT.items()}, '0')} ELSE {hist} END",
+        retry: f"CASE WHEN {run} AND {fin} = 'retry_payment' THEN coalesce({retry}, 0) + 1 ELSE {retry} END",
+        f"{s}active": f"{run} AND NOT {q}ok AND {fin} NOT IN {_EXITS}",
+    })
+
+
+def _entry(q: str, model: bool) -> str:
+    """An executed attempt, as audit rows are rendered from it."""
+    none = "CAST(NULL AS STRING)"
+    return (f"named_struct('attempt_no', {q}att + 1, 'attempts_before', {q}att, 'risk_score', {q}score, 'root_cause', {q}cause, 'diagnosis_source', {q}src, "
+            f"'recommended_action', {q}recact, 'expected_net', {q}net, 'policy_rule', {q}rule, 'final_action', {q}fin, 'probability', {q}prob, "
+            f"'success', {q}ok, 'model_reason', {f'{q}mreason' if model else none}, 'model_why', {f'{q}mwhy' if model else none})")
 
 
 def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> DataFrame:
@@ -172,107 +150,79 @@ def decide(df: DataFrame, selector: str, name: str, model: bool = False) -> Data
 
     ``df`` is :func:`dunning.functions.erv.prepare` output (and, for
     ``model=True``, carries ``in_quota``, ``answer1``, ``answer2``).  The struct
-    also holds ``trail``, the executed attempts, from which audit rows are
-    rendered.
+    also holds ``trail``, the executed attempts in order (attempt k runs only if
+    k-1 ran), from which audit rows are rendered.
     """
     if selector not in ("rules", "optimizer"):
         raise ValueError(selector)
-    for op, arg in _decide_steps(selector, name, model and selector == "optimizer"):
-        df = df.withColumns(arg) if op == "with" else df.drop(*arg)
-    return df.drop(*[c for c in df.columns if c.startswith(f"_{name}")])
-
-
-@functools.lru_cache(maxsize=None)
-def _decide_steps(selector: str, name: str, model: bool) -> tuple:
-    """The loop as a list of column steps.  Columns refer to inputs by name
-    only, so the list is built once per process and replayed on any frame
-    (saves rebuilding thousands of expression objects per query)."""
+    model = model and selector == "optimizer"
     s = f"_{name}_"
-    steps = _init_state(s)
+    inputs = df.columns
+    df = _with(df, **{f"{s}att": "CAST(prior_executions AS INT)", f"{s}hist": "prior_mask", f"{s}retry": "retry_count",
+                      f"{s}active": "NOT prior_terminal AND NOT done_before AND NOT invalid"})
+    qs = [f"{s}{k}_" for k in range(1, C.MAX_ATTEMPTS + 1)]
     for k in range(1, C.MAX_ATTEMPTS + 1):
-        steps += _attempt(name, k, selector, model)
-
-    qs = [f"_{name}{k}_" for k in range(1, C.MAX_ATTEMPTS + 1)]
-
-    def last(x: str) -> Column:
-        e = None
-        for q in reversed(qs):
-            e = F.when(F.col(f"{q}run"), F.col(f"{q}{x}")) if e is None else e.when(F.col(f"{q}run"), F.col(f"{q}{x}"))
-        return e
-
-    n = sum(F.col(f"{q}run").cast("int") for q in qs)
-    rec_final = F.upper(F.coalesce(F.col(f"{s}rec"), F.lit("UNRECOVERED")))
-    steps.append(("with", {
-        f"{s}n": n,
-        f"{s}fin": last("fin"), f"{s}ok": last("ok"), f"{s}prob": last("prob"),
-        f"{s}score": last("score"), f"{s}cause": last("cause"), f"{s}recact": last("recact"),
-        f"{s}rule": last("rule"),
-        f"{s}automated": sum(F.when(F.col(f"{q}run") & F.col(f"{q}fin").isin(*C.AUTOMATED), 1).otherwise(0)
-                             for q in qs),
-        f"{s}trail": _trail(qs, model),
-    }))
-    n = F.col(f"{s}n")
-    esc = (n > 0) & ~rec_final.isin("RECOVERED", "SUCCESS") & ~F.col(f"{s}fin").isin(*C.EXITS)
-    steps.append(("with", {f"{s}esc": esc}))
-    esc = F.col(f"{s}esc")
-    fin_action = F.when(esc, F.lit(C.ESCALATE)).otherwise(F.col(f"{s}fin"))
-    invalid, error = F.col("invalid"), row_error(F.col("amount"), F.col("retry_count"))
-    status = F.when(invalid, F.lit("ERROR")).when(esc, F.lit("FAILURE")).when(n == 0, F.lit("SKIPPED")) \
-        .when(F.col(f"{s}ok"), F.lit("SUCCESS")).otherwise(F.lit("FAILURE"))
-    desc = (F.when(invalid, error).when(esc, F.lit(C.OUTCOME_ESCALATED))
-            .when((n == 0) & (F.col("prior_terminal") | F.col("done_before")), F.lit(C.SKIPPED_TERMINAL))
-            .when(n == 0, F.lit(C.SKIPPED_NO_ATTEMPT))
-            .otherwise(describe(F.col(f"{s}fin"), F.col(f"{s}ok"), F.col("amount"), F.col(f"{s}prob"))))
-    result = F.struct(
-        F.lit(name).alias("strategy"),
-        F.col(f"{s}score").alias("risk_score"),
-        risk_level(F.col(f"{s}score")).alias("risk_level"),
-        F.col(f"{s}cause").alias("root_cause"),
-        F.col(f"{s}recact").alias("recommended_action"),
-        F.when(esc, F.lit("APPROVED")).otherwise(result_of(F.col(f"{s}rule"))).alias("policy_result"),
-        fin_action.alias("final_action"),
-        status.alias("status"),
-        F.when(esc | (n == 0), F.lit(0).cast("decimal(18,2)"))
-        .otherwise(recovered(F.col(f"{s}ok"), F.col("amount"))).alias("amount_recovered"),
-        (F.col("prior_executions") + n + F.when(esc, 1).otherwise(0)).cast("long").alias("execution_count"),
-        (F.col("prior_automated") + F.col(f"{s}automated")).cast("long").alias("automated_attempts"),
-        desc.alias("description"),
-        F.when(n == 0, F.lit(None).cast("decimal(5,1)")).otherwise(eval_cost_of(fin_action)).alias("cost"),
-        F.col(f"{s}trail").alias("trail"),
-        esc.alias("escalated"),
-        F.when(esc, F.lit("ESCALATED")).otherwise(F.col(f"{s}rec")).alias("recovery_status_after"),
-        F.col(f"{s}retry").alias("retry_count_after"),
-    )
-    steps.append(("with", {name: result}))
-    return tuple(steps)
-
-
-def baseline(df: DataFrame, name: str = "baseline") -> Column:
+        df = _attempt(df, s, k, selector, model)
+
+    last = {x: S.case([(f"{q}run", f"{q}{x}") for q in reversed(qs)]) for x in ("fin", "ok", "prob", "score", "cause", "recact", "rule")}
+    entries = [_entry(q, model) for q in qs]
+    trail = S.case([(f"{qs[i]}run", f"array({', '.join(entries[:i + 1])})") for i in reversed(range(len(qs)))], f"slice(array({entries[0]}), 1, 0)")
+    df = _with(df, **{f"{s}{x}": e for x, e in last.items()}, **{
+        f"{s}n": " + ".join(f"CAST({q}run AS INT)" for q in qs),
+        f"{s}automated": " + ".join(f"CASE WHEN {q}run AND {q}fin IN {_AUTOMATED} THEN 1 ELSE 0 END" for q in qs),
+        f"{s}trail": trail,
+    })
+    n, fin, ok, esc = f"{s}n", f"{s}fin", f"{s}ok", f"{s}esc"
+    df = df.withColumns({esc: F.expr(f"coalesce({n} > 0 AND NOT {ok} AND {fin} NOT IN {_EXITS}, false)"),
+                         f"{s}error": row_error(F.col("amount"), F.col("retry_count"))})
+    escalate = S.quoted(C.ESCALATE)
+    final = f"CASE WHEN {esc} THEN {escalate} ELSE {fin} END"
+    zero = f"CAST(0 AS {MONEY_T})"
+    fields = {
+        "strategy": S.quoted(name),
+        "risk_score": f"{s}score",
+        "risk_level": _level(f"{s}score"),
+        "root_cause": f"{s}cause",
+        "recommended_action": f"{s}recact",
+        "policy_result": f"CASE WHEN {esc} THEN 'APPROVED' ELSE {S.lookup(f'{s}rule', {k: S.quoted(v) for k, v in C.POLICY_RESULTS.items()})} END",
+        "final_action": final,
+        "status": S.case([("invalid", "'ERROR'"), (esc, "'FAILURE'"), (f"{n} = 0", "'SKIPPED'"), (ok, "'SUCCESS'")], "'FAILURE'"),
+        "amount_recovered": f"CASE WHEN NOT {esc} AND {n} > 0 AND {ok} THEN {_AMOUNT} ELSE {zero} END",
+        "execution_count": f"CAST(prior_executions + {n} + CAST({esc} AS INT) AS BIGINT)",
+        "automated_attempts": f"CAST(prior_automated + {s}automated AS BIGINT)",
+        "description": S.case([("invalid", f"{s}error"), (esc, S.quoted(C.OUTCOME_ESCALATED)),
+                               (f"{n} = 0 AND (prior_terminal OR done_before)", S.quoted(C.SKIPPED_TERMINAL)),
+                               (f"{n} = 0", S.quoted(C.SKIPPED_NO_ATTEMPT))], _describe(fin, ok, f"{s}prob")),
+        "cost": f"CASE WHEN {n} > 0 THEN {_eval_cost(final)} END",
+        "trail": f"{s}trail",
+        "escalated": esc,
+        "recovery_status_after": S.case([(esc, "'ESCALATED'"), (f"{n} = 0", "recovery_status"), (ok, "'RECOVERED'"), (f"{fin} = {escalate}", "'ESCALATED'"),
+                                         (f"{fin} = {S.quoted(C.STOP)}", "'STOPPED'")], "'FAILED'"),
+        "retry_count_after": f"{s}retry",
+    }
+    packed = ", ".join(f"{S.quoted(k)}, {v}" for k, v in fields.items())
+    return df.select(*inputs, F.expr(f"named_struct({packed})").alias(name))
+
+
+def baseline(df: DataFrame, name: str = "baseline") -> DataFrame:
     """Naive strategy (ST-01): one retry_payment when amount < 25,000 and the
     customer has not opted out; otherwise stop.  Writes no audit rows and
     ignores the fraud flag."""
-    invalid, untouched = F.col("invalid"), F.col("invalid") | F.col("done_before")
-    error = row_error(F.col("amount"), F.col("retry_count"))
-    eligible = ~F.col("hv") & ~F.col("optout") & ~untouched
-    action = F.when(untouched, F.lit(None).cast("string")).when(eligible, F.lit("retry_payment")).otherwise(F.lit(C.STOP))
-    p = F.col("p_retry_payment")
-    ok = eligible & succeeded(F.lit("retry_payment"), p, F.col("u_bp"))
-    return F.struct(
-        F.lit(name).alias("strategy"),
-        F.lit(None).cast("int").alias("risk_score"),
-        F.lit(None).cast("string").alias("risk_level"),
-        F.lit(None).cast("string").alias("root_cause"),
-        F.lit(None).cast("string").alias("recommended_action"),
-        F.lit(None).cast("string").alias("policy_result"),
-        action.alias("final_action"),
-        F.when(invalid, F.lit("ERROR")).when(untouched, F.lit("SKIPPED"))
-        .when(~eligible, F.lit("FAILED")).when(ok, F.lit("SUCCESS")).otherwise(F.lit("FAILURE")).alias("status"),
-        F.when(eligible, recovered(ok, F.col("amount"))).otherwise(F.lit(0).cast("decimal(18,2)"))
-        .alias("amount_recovered"),
-        F.when(eligible, 1).otherwise(0).cast("long").alias("execution_count"),
-        F.when(eligible, 1).otherwise(0).cast("long").alias("automated_attempts"),
-        F.when(invalid, error).when(untouched, F.lit(C.SKIPPED_TERMINAL))
-        .when(eligible, describe(F.lit("retry_payment"), ok, F.col("amount"), p))
-        .otherwise(F.lit(C.BASELINE_STOPPED)).alias("description"),
-        F.when(untouched, F.lit(None).cast("decimal(5,1)")).otherwise(eval_cost_of(action)).alias("cost"),
-    )
+    inputs = df.columns
+    df = df.withColumns({"_b_error": row_error(F.col("amount"), F.col("retry_count")), "_b_untouched": F.expr("invalid OR done_before"),
+                         "_b_eligible": F.expr("NOT hv AND NOT optout AND NOT invalid AND NOT done_before")})
+    df = _with(df, _b_ok=f"_b_eligible AND {_succeeded(S.quoted('retry_payment'), 'p_retry_payment')}")
+    action = f"CASE WHEN _b_untouched THEN CAST(NULL AS STRING) WHEN _b_eligible THEN 'retry_payment' ELSE {S.quoted(C.STOP)} END"
+    none = "CAST(NULL AS STRING)"
+    fields = {
+        "strategy": S.quoted(name), "risk_score": "CAST(NULL AS INT)", "risk_level": none, "root_cause": none, "recommended_action": none,
+        "policy_result": none, "final_action": action,
+        "status": S.case([("invalid", "'ERROR'"), ("_b_untouched", "'SKIPPED'"), ("NOT _b_eligible", "'FAILED'"), ("_b_ok", "'SUCCESS'")], "'FAILURE'"),
+        "amount_recovered": f"CASE WHEN _b_ok THEN {_AMOUNT} ELSE CAST(0 AS {MONEY_T}) END",
+        "execution_count": "CAST(_b_eligible AS BIGINT)", "automated_attempts": "CAST(_b_eligible AS BIGINT)",
+        "description": S.case([("invalid", "_b_error"), ("_b_untouched", S.quoted(C.SKIPPED_TERMINAL)),
+                               ("_b_eligible", _describe("'retry_payment'", "_b_ok", "p_retry_payment"))], S.quoted(C.BASELINE_STOPPED)),
+        "cost": f"CASE WHEN NOT _b_untouched THEN {_eval_cost(action)} END",
+    }
+    packed = ", ".join(f"{S.quoted(k)}, {v}" for k, v in fields.items())
+    return df.select(*inputs, F.expr(f"named_struct({packed})").alias(name))

@@ -37,7 +37,7 @@ def evaluate(enriched: DataFrame, model: bool = False, which=tuple(STRATEGIES))
     """Wide form: one row per transaction, one result struct per strategy."""
     df = prepare(enriched)
     if "baseline" in which:
-        df = df.withColumn("baseline", baseline(df))
+        df = baseline(df)
     if "rules" in which:
         df = decide(df, "rules", "rules")
     if "optimizer" in which:
