@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..functions import diagnosis as DX
 from ..functions.erv import candidates
+from .strategies import plan_barrier
+
 
 def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int | None = None) -> DataFrame:
     """Adds ``answer1``, ``answer2`` (text, parsed) and ``in_quota`` (MI-05, JN-10).
@@ -24,11 +26,11 @@ def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int |
     ``llm_limit``-th, one value found by a top-k; ``None`` means every
     transaction may use the model.
     """
-    order = F.struct(F.col("recorded_seq") if "recorded_seq" in responses.columns else F.lit(0), F.col("response_text"))
-    # parsed here, before the join, so the decision pass sees plain columns
-    answer = F.struct(F.col("response_text").alias("text"), DX.parse_response(F.col("response_text")).alias("parsed"))
-    r = responses.groupBy("transaction_id").agg(
-        *[F.max_by(answer, F.when(F.col("attempt_no") == k, order)).alias(f"answer{k}")
+    order = F.struct(F.col("recorded_seq") if "recorded_seq" in responses.columns else F.lit(0), F.col("response_text")).alias("place")
+    # parsed once per response, before the aggregate, so the decision pass sees plain columns
+    read = plan_barrier(DX.with_parsed(responses.select("transaction_id", "attempt_no", order, F.col("response_text").alias("text")), "text", "parsed"))
+    r = read.groupBy("transaction_id").agg(
+        *[F.max_by(F.struct("text", "parsed"), F.when(F.col("attempt_no") == k, F.col("place"))).alias(f"answer{k}")
           for k in range(1, C.MAX_ATTEMPTS + 1)])
     df = enriched.join(r, "transaction_id", "left")  # unique on both sides
     if llm_limit is None:
@@ -41,12 +43,9 @@ def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int |
 
 def response_table(responses: DataFrame) -> DataFrame:
     """MI-02 / MI-03: cleaned text, parsed fields and validity per response."""
-    p = DX.parse_response(F.col("response_text"))
-    return responses.select("transaction_id", "attempt_no",
-                            DX.clean_response(F.col("response_text")).alias("cleaned"),
-                            p["valid"].alias("valid"), p["root_cause"].alias("root_cause"),
-                            p["confidence"].alias("confidence"),
-                            p["recommended_action"].alias("recommended_action"))
+    p = DX.with_parsed(responses, "response_text", "p")
+    return p.select("transaction_id", "attempt_no", DX.clean_response(F.col("response_text")).alias("cleaned"),
+                    "p.valid", "p.root_cause", "p.confidence", "p.recommended_action")
 
 
 def prompt_requests(wide: DataFrame, strategy: str = "optimizer") -> DataFrame:

@@ -215,33 +215,42 @@ def _action_set(col: str) -> str:
     return f"concat_ws(',', {parts})"
 
 
+_CLASS_OF_CAUSE = " ".join(f"WHEN {_q(v)} THEN {_q(k)}" for k, v in C.CLASS_TO_CAUSE.items())
+_CAUSE_OF_CLASS = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.CLASS_TO_CAUSE.items())
+
+# Recorded responses, read like JSON text; then the optimizer with their causes: attempt k
+# ranks the candidates of the class its cause names, attempt 2 without attempt 1's action.
 RESP = """,
 resp AS (
-  SELECT e.transaction_id, e.k % 5 AS g, e.cls,
-         CASE e.cls {cause} END AS fb_cause, CASE e.cls {conf} END AS fb_conf, CASE e.cls {act} END AS fb_act
-  FROM e WHERE e.k % 5 <> 4),
+  SELECT e.transaction_id, n AS attempt_no, e.k, e.cls,
+         CASE WHEN n = 2 THEN CASE e.k % 4 WHEN 3 THEN 4 WHEN 2 THEN 2 ELSE 0 END ELSE e.k % 5 END AS g,
+         CASE WHEN n = 2 THEN {causes}[(e.k // 7) % 6 + 1] WHEN e.k % 3 = 0 THEN {causes}[(e.k // 3) % 6 + 1]
+              ELSE CASE e.cls {cause} END END AS told,
+         CASE WHEN n = 2 THEN e.k * 7 % 20 ELSE e.k % 20 END AS delay,
+         CASE e.cls {conf} END AS fb_conf, CASE e.cls {act} END AS fb_act
+  FROM e, (VALUES (1), (2)) t(n)),
 rtext AS (
-  SELECT transaction_id, g, fb_cause,
-         CASE WHEN g IN (0, 1) THEN CAST(json_object('root_cause', fb_cause, 'confidence', CAST(fb_conf AS DOUBLE),
+  SELECT transaction_id, attempt_no, g, delay,
+         CASE WHEN g IN (0, 1) THEN CAST(json_object('root_cause', told, 'confidence', CAST(fb_conf AS DOUBLE),
                                           'recommended_action', fb_act, 'reason', 'Recorded model diagnosis.',
                                           'why_not_alternatives', 'Alternatives have lower expected value.') AS VARCHAR)
               WHEN g = 2 THEN '{{"root_cause": "insufficient_funds", "confidence": '
               ELSE CAST(json_object('root_cause', 'network_glitch', 'confidence', 0.7, 'recommended_action',
                                     'retry_payment', 'reason', 'Recorded model diagnosis.',
                                     'why_not_alternatives', 'n/a') AS VARCHAR) END AS body
-  FROM resp),
+  FROM resp WHERE g <> 4),
 rclean AS (
-  SELECT transaction_id, g, fb_cause,
+  SELECT transaction_id, attempt_no, delay,
          CASE WHEN g = 1 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw
   FROM rtext),
 rparsed AS (
-  SELECT transaction_id, g, fb_cause,
+  SELECT transaction_id, attempt_no, delay,
          CASE WHEN starts_with(trim(raw), '```')
               THEN trim(array_to_string(list_slice(string_split(trim(raw), chr(10)), 2, -2), chr(10)))
               ELSE trim(raw) END AS c
   FROM rclean),
 rv AS (
-  SELECT transaction_id, g, fb_cause,
+  SELECT transaction_id, attempt_no, delay,
          CASE WHEN json_valid(c) THEN json_extract_string(c, '$.root_cause') END AS root_cause,
          CASE WHEN json_valid(c) THEN TRY_CAST(json_extract_string(c, '$.confidence') AS DOUBLE) END AS confidence,
          CASE WHEN json_valid(c) THEN json_extract_string(c, '$.recommended_action') END AS rec,
@@ -253,31 +262,68 @@ rvalid AS (
                         AND reason IS NOT NULL AND why IS NOT NULL, false) AS valid
   FROM rv)
 """.format(
-    cause=" ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.CLASS_TO_CAUSE.items()),
+    cause=_CAUSE_OF_CLASS,
     conf=" ".join(f"WHEN {_q(k)} THEN {v[1]}" for k, v in C.FALLBACK.items()),
     act=" ".join(f"WHEN {_q(k)} THEN {_q(v[2][0])}" for k, v in C.FALLBACK.items()),
-    causes="(" + ", ".join(_q(x) for x in C.ROOT_CAUSES) + ")",
-    actions="(" + ", ".join(_q(x) for x in C.ACTION_NAMES) + ")",
+    causes="[" + ", ".join(_q(x) for x in C.ROOT_CAUSES) + "]",
+    actions="[" + ", ".join(_q(x) for x in C.ACTION_NAMES) + "]",
 )
 
 
+def _model(usable: str = "true") -> str:
+    """``mopt``: results with the model; ``usable``: condition on an answer."""
+    return RESP + f""",
+ask AS (
+  SELECT e.transaction_id, n AS attempt_no, coalesce(v.valid AND {usable}, false) AS told,
+         CASE WHEN coalesce(v.valid AND {usable}, false) THEN v.root_cause ELSE CASE e.cls {_CAUSE_OF_CLASS} END END AS cause
+  FROM e CROSS JOIN (VALUES (1), (2)) t(n) LEFT JOIN rvalid v ON v.transaction_id = e.transaction_id AND v.attempt_no = n),
+lines AS (
+  SELECT a.transaction_id, a.attempt_no, pt.action, pt.ord,
+         CAST(round(coalesce(e.amount, 0) * CAST(CASE WHEN e.erv_rate >= 0.90 THEN least(CAST({C.BAND_CAP} AS DECIMAL(3,2)), pt.base + pt.up)
+                   WHEN e.erv_rate < 0.70 THEN greatest(CAST(pt.floor AS DECIMAL(3,2)), pt.base - pt.down)
+                   ELSE pt.base END AS DECIMAL(3,2)) - CAST(pt.rank_cost AS DECIMAL(5,1)), 2) AS DECIMAL(18,2)) AS net
+  FROM ask a JOIN e USING (transaction_id) JOIN pt ON pt.cls = CASE a.cause {_CLASS_OF_CAUSE} END
+  WHERE NOT e.hv AND NOT e.risk_flag AND NOT (pt.action IN {CONTACT} AND e.preference = 'none')),
+pick1 AS (SELECT transaction_id, action FROM lines WHERE attempt_no = 1
+          QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY net DESC, ord) = 1),
+pick2 AS (SELECT l.transaction_id, l.action FROM lines l JOIN pick1 p USING (transaction_id) WHERE l.attempt_no = 2 AND l.action <> p.action
+          QUALIFY row_number() OVER (PARTITION BY l.transaction_id ORDER BY l.net DESC, l.ord) = 1),
+mopt AS (
+  SELECT *, CASE WHEN blocked THEN 'escalate_to_human' WHEN ok1 THEN a1 WHEN ok2 THEN a2 ELSE 'escalate_to_human' END AS final_action,
+         CASE WHEN ok1 OR ok2 THEN 'SUCCESS' ELSE 'FAILURE' END AS status
+  FROM (SELECT e.transaction_id, e.cls, e.hv OR e.risk_flag AS blocked, p1.action AS a1, p2.action AS a2,
+               coalesce(e.u_bp < c1.p * 10000, false) AS ok1, coalesce(e.u_bp < c2.p * 10000, false) AS ok2,
+               k1.told AS told1, k1.cause AS cause1, k2.told AS told2, k2.cause AS cause2
+        FROM e JOIN ask k1 ON k1.transaction_id = e.transaction_id AND k1.attempt_no = 1
+        JOIN ask k2 ON k2.transaction_id = e.transaction_id AND k2.attempt_no = 2
+        LEFT JOIN pick1 p1 ON p1.transaction_id = e.transaction_id LEFT JOIN pick2 p2 ON p2.transaction_id = e.transaction_id
+        LEFT JOIN cand c1 ON c1.transaction_id = e.transaction_id AND c1.action = p1.action
+        LEFT JOIN cand c2 ON c2.transaction_id = e.transaction_id AND c2.action = p2.action))
+"""
+
+
+_DIAGNOSED = """
+SELECT transaction_id, CASE WHEN told1 THEN 'model' ELSE 'fallback' END AS diagnosis_source, cause1 AS root_cause,
+       CASE WHEN NOT blocked AND NOT ok1 THEN CASE WHEN told2 THEN 'model' ELSE 'fallback' END END AS second_source,
+       CASE WHEN NOT blocked AND NOT ok1 THEN cause2 END AS second_cause,
+       CASE WHEN NOT blocked AND NOT ok1 THEN a2 END AS second_action, final_action, status
+FROM mopt"""
+
+
 def model_stream_oracles() -> dict[str, str]:
     from .oracles import _final_desc, _result_select
     o = {}
-    cause_case = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in C.CLASS_TO_CAUSE.items())
     o["response_valid"] = _with(RESP) + """
-SELECT transaction_id, CAST(1 AS BIGINT) AS attempt_no, valid, root_cause, confidence FROM rvalid"""
-    o["diagnosed"] = _with(OPT, RESP) + f"""
-SELECT o.transaction_id, CASE WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END AS diagnosis_source,
-       CASE e.cls {cause_case} END AS root_cause, o.final_action, o.status
-FROM opt o JOIN e USING (transaction_id) LEFT JOIN rvalid v USING (transaction_id)"""
-    o["model_contribution"] = _with(OPT, RESP) + """
+SELECT transaction_id, CAST(attempt_no AS BIGINT) AS attempt_no, valid, root_cause, confidence FROM rvalid"""
+    o["diagnosed"] = _with(_model()) + _DIAGNOSED
+    o["stream_diagnosed"] = _with(_model("v.delay <= 12")) + _DIAGNOSED
+    o["model_contribution"] = _with(_model()) + f"""
 , att AS (
-  SELECT CASE WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END AS src FROM opt o
-  LEFT JOIN rvalid v USING (transaction_id)
-  UNION ALL SELECT 'fallback' FROM opt WHERE NOT blocked AND NOT ok1)
-SELECT src AS diagnosis_source, CAST(count(*) AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS cause_changed
-FROM att GROUP BY src"""
+  SELECT told1 AS told, cause1 AS cause, cls FROM mopt
+  UNION ALL SELECT told2, cause2, cls FROM mopt WHERE NOT blocked AND NOT ok1)
+SELECT CASE WHEN told THEN 'model' ELSE 'fallback' END AS diagnosis_source, CAST(count(*) AS BIGINT) AS attempts,
+       CAST(count(*) FILTER (cause <> CASE cls {_CAUSE_OF_CLASS} END) AS BIGINT) AS cause_changed
+FROM att GROUP BY told"""
     o["csv_roundtrip"] = _with(OPT) + _result_select("opt", _final_desc())
     o["stream_recovery"] = o["csv_roundtrip"]
     from .oracles import oracles as _base  # noqa: F401  (summary SQL reused below)
@@ -312,12 +358,11 @@ rc AS (SELECT 'rules' AS strategy, 'risk_evaluation' AS stage, sum(n_att) AS n F
        UNION ALL SELECT 'rules', 'execution', sum(n_att + esc) FROM ra
        UNION ALL SELECT 'optimizer', stage, count(*) FROM stage_rows GROUP BY stage)
 SELECT strategy, stage, CAST(n AS BIGINT) AS n FROM rc"""
-    o["model_quota"] = _with(OPT, RESP) + """
+    o["model_quota"] = _with(OPT, _model()) + """
 , q AS (SELECT transaction_id, row_number() OVER (ORDER BY transaction_id) <= 2 AS in_quota FROM e)
-SELECT o.transaction_id, q.in_quota,
-       CASE WHEN NOT q.in_quota THEN 'erv' WHEN coalesce(v.valid, false) THEN 'model' ELSE 'fallback' END
-         AS diagnosis_source, o.final_action
-FROM opt o JOIN q USING (transaction_id) LEFT JOIN rvalid v USING (transaction_id)"""
+SELECT o.transaction_id, q.in_quota, CASE WHEN NOT q.in_quota THEN 'erv' WHEN m.told1 THEN 'model' ELSE 'fallback' END AS diagnosis_source,
+       CASE WHEN q.in_quota THEN m.final_action ELSE o.final_action END AS final_action
+FROM opt o JOIN q USING (transaction_id) JOIN mopt m USING (transaction_id)"""
     return o
 
 

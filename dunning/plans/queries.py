@@ -15,7 +15,7 @@ from ..functions.risk import risk
 from ..operators import audit as AU
 from ..operators import metrics as M
 from ..operators.enrich import enrich
-from ..operators.strategies import evaluate, pair, results
+from ..operators.strategies import evaluate, pair, plan_barrier, results
 from ..sources import fixtures as FX
 from .output import to_output
 
@@ -64,7 +64,7 @@ def enriched(spark, sf_dir):
 
 # ---------------------------------------------------------------- ERV
 def _cands(spark, sf_dir):
-    e = prepare(_enriched(spark, sf_dir))
+    e = plan_barrier(prepare(_enriched(spark, sf_dir)))
     return e.select("transaction_id", candidates(e).alias("c"))
 
 
@@ -456,7 +456,7 @@ def prompt_requests(spark, sf_dir):
 
 def response_valid(spark, sf_dir):
     r = MI.response_table(_responses(spark, sf_dir))
-    return to_output(r.select("transaction_id", "attempt_no", "valid", "root_cause", "confidence"))
+    return to_output(r.select("transaction_id", F.col("attempt_no").cast("long").alias("attempt_no"), "valid", "root_cause", "confidence"))
 
 
 def _diagnosed_wide(spark, sf_dir):
@@ -464,12 +464,31 @@ def _diagnosed_wide(spark, sf_dir):
     return evaluate(e, model=True, which=("optimizer",))
 
 
+def _diagnosed_view(w):
+    first, second = (F.get("optimizer.trail", F.lit(k)) for k in (0, 1))
+    return to_output(w.select("transaction_id", first["diagnosis_source"].alias("diagnosis_source"), first["root_cause"].alias("root_cause"),
+                              second["diagnosis_source"].alias("second_source"), second["root_cause"].alias("second_cause"),
+                              second["recommended_action"].alias("second_action"),
+                              F.col("optimizer.final_action").alias("final_action"), F.col("optimizer.status").alias("status")))
+
+
 def diagnosed(spark, sf_dir):
-    w = _diagnosed_wide(spark, sf_dir)
-    t = F.col("optimizer.trail")[0]
-    return to_output(w.select("transaction_id", t["diagnosis_source"].alias("diagnosis_source"),
-                              t["root_cause"].alias("root_cause"), F.col("optimizer.final_action").alias("final_action"),
-                              F.col("optimizer.status").alias("status")))
+    """MI-04: both attempts' causes, by the model where it answered, and what they led to."""
+    return _diagnosed_view(_diagnosed_wide(spark, sf_dir))
+
+
+def stream_diagnosed(spark, sf_dir):
+    """MI-04 / JN-10 in two streaming rounds: answers count that came within 12 seconds;
+    second attempts ask when the first answers are in."""
+    inp = _inputs(spark, sf_dir)
+    responses, work = _scratch(spark, "model-responses"), _scratch(spark, "model-run")
+    asked = F.col("timestamp").cast("timestamp")
+    later = F.when(F.col("attempt_no") == 1, F.lit(0)).otherwise(F.lit(3600))
+    told = FX.responses_view(inp.orders).join(inp.transactions.select("transaction_id", asked.alias("t")), "transaction_id")
+    told = told.select("transaction_id", "attempt_no", "response_text",
+                       F.timestamp_seconds(F.unix_timestamp("t") + later + F.col("delay_s")).alias("answered_at"))
+    _spread(told).write.parquet(responses)
+    return _diagnosed_view(two_phase_diagnosis(_enriched(spark, sf_dir), responses, work))
 
 
 def model_contribution(spark, sf_dir):
@@ -519,6 +538,7 @@ def formatted_kpis(spark, sf_dir):
 
 # ---------------------------------------------------------------- streams
 from ..streaming import recovery_stream as SM  # noqa: E402
+from ..streaming.model_stream import two_phase_diagnosis  # noqa: E402
 
 
 def _spread(df):
@@ -675,6 +695,7 @@ QUERIES.update({
     "prompt_requests": prompt_requests,
     "response_valid": response_valid,
     "diagnosed": diagnosed,
+    "stream_diagnosed": stream_diagnosed,
     "model_contribution": model_contribution,
     "csv_roundtrip": csv_roundtrip,
     "json_summary_roundtrip": json_summary_roundtrip,

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import catalog as C
+from ..functions import sqltext as S
 from ..schemas import MONEY, RATE
 
 
@@ -173,36 +175,37 @@ def prior_audit_view(orders: DataFrame) -> DataFrame:
 
 
 def responses_view(orders: DataFrame) -> DataFrame:
-    """Recorded model responses for attempt 1, by key % 5: 0 valid JSON with
-    the fallback cause; 1 the same in a code fence; 2 malformed JSON; 3 a cause
-    outside the allowed set; 4 no row."""
-    from ..functions.diagnosis import fallback_diagnosis
-    from ..functions.erv import code_class
-    k = F.col("o_orderkey")
-    g = k % 5
-    code = _failure_code(k)
-    fb = fallback_diagnosis(code_class(code), F.array().cast("array<string>"))
-    body = F.to_json(F.struct(
-        fb["root_cause"].alias("root_cause"),
-        fb["confidence"].cast("double").alias("confidence"),
-        fb["recommended_action"].alias("recommended_action"),
-        F.lit("Recorded model diagnosis.").alias("reason"),
-        F.lit("Alternatives have lower expected value.").alias("why_not_alternatives"),
-    ))
-    bad_cause = F.to_json(F.struct(
-        F.lit("network_glitch").alias("root_cause"),
-        F.lit(0.7).alias("confidence"),
-        F.lit("retry_payment").alias("recommended_action"),
-        F.lit("Recorded model diagnosis.").alias("reason"),
-        F.lit("n/a").alias("why_not_alternatives"),
-    ))
-    text = (F.when(g == 0, body)
-            .when(g == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-            .when(g == 2, F.lit('{"root_cause": "insufficient_funds", "confidence": '))
-            .when(g == 3, bad_cause))
-    return (orders.filter(g != 4)
-            .select(_pad(k, "TX").alias("transaction_id"), F.lit(1).alias("attempt_no"),
-                    text.alias("response_text")))
+    """Recorded model responses, and how long they took (``delay_s``, 0 to 19 seconds).
+
+    Attempt 1, by key % 5: 0 valid JSON; 1 the same in a code fence; 2 malformed JSON;
+    3 a cause outside the allowed set; 4 no row.  Valid ones name the code's cause, but
+    where key % 3 = 0 the cause of number (key div 3) % 6.  Attempt 2, by key % 4: 0 and 1
+    valid, with the cause of number (key div 7) % 6; 2 malformed; 3 no row."""
+    classes = [*C.CODE_CLASSES, "OTHER"]
+    array = lambda values: f"array({', '.join(values)})"
+    causes = array([S.quoted(c) for c in C.ROOT_CAUSES])
+    code_class = S.lookup("code", {code: str(i) for i, c in enumerate(classes[:-1]) for code in C.CODE_CLASSES[c]}, str(len(classes) - 1))
+    body = ("to_json(named_struct('root_cause', {cause}, 'confidence', conf, 'recommended_action', action, "
+            "'reason', 'Recorded model diagnosis.', 'why_not_alternatives', 'Alternatives have lower expected value.'))")
+    bad = ("to_json(named_struct('root_cause', 'network_glitch', 'confidence', 0.7D, 'recommended_action', 'retry_payment', "
+           "'reason', 'Recorded model diagnosis.', 'why_not_alternatives', 'n/a'))")
+    broken = S.quoted('{"root_cause": "insufficient_funds", "confidence": ')
+    rows = orders.select(F.col("o_orderkey").alias("k"), _failure_code(F.col("o_orderkey")).alias("code"))
+    rows = rows.withColumn("c", F.expr(code_class))
+    rows = rows.withColumns({
+        "cause": F.expr(f"element_at({array([S.quoted(C.CLASS_TO_CAUSE[c]) for c in classes])}, c + 1)"),
+        "conf": F.expr(f"element_at({array([f'{C.FALLBACK[c][1]}D' for c in classes])}, c + 1)"),
+        "action": F.expr(f"element_at({array([S.quoted(C.FALLBACK[c][2][0]) for c in classes])}, c + 1)")})
+    first = body.format(cause=f"CASE WHEN k % 3 = 0 THEN element_at({causes}, CAST(k div 3 % 6 AS INT) + 1) ELSE cause END")
+    second = body.format(cause=f"element_at({causes}, CAST(k div 7 % 6 AS INT) + 1)")
+    rows = rows.withColumns({"good": F.expr(first), "other": F.expr(second)})
+    rows = rows.withColumns({
+        "first": F.expr(f"CASE k % 5 WHEN 0 THEN good WHEN 1 THEN concat('```json\n', good, '\n```') WHEN 2 THEN {broken} WHEN 3 THEN {bad} END"),
+        "second": F.expr(f"CASE WHEN k % 4 < 2 THEN other WHEN k % 4 = 2 THEN {broken} END")})
+    both = F.expr("explode(array(named_struct('n', 1, 'text', first, 'delay', k % 20), named_struct('n', 2, 'text', second, 'delay', k * 7 % 20)))")
+    return (rows.select(_pad(F.col("k"), "TX").alias("transaction_id"), both.alias("x")).where("x.text IS NOT NULL")
+            .select("transaction_id", F.col("x.n").alias("attempt_no"), F.col("x.text").alias("response_text"),
+                    F.col("x.delay").cast("int").alias("delay_s")))
 
 
 @dataclass

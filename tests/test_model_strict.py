@@ -1,7 +1,7 @@
 """Model responses: strict JSON, the latest of several, and a cause that re-ranks."""
 from pyspark.sql import functions as F
 
-from dunning.functions.diagnosis import parse_response
+from dunning.functions.diagnosis import with_parsed
 from dunning.operators import model_io as MI
 from dunning.operators.strategies import evaluate
 from helpers import cust, enriched, tx
@@ -15,7 +15,7 @@ def test_strictness(spark):
     texts = {ok: True, f"\n```json\n{ok}\n```\n": True, f"\t {ok} ": True, ok.replace('"', "'"): False, ok + " more": False,
              ok + ok: False, ok.replace('"a"', "5"): False, "[1]": False, "": False, "{": False, ok.replace("0.5", "null"): False}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = {r[0]: r[1] for r in df.select("t", parse_response(F.col("t"))["valid"]).collect()}
+    got = {r[0]: r[1] for r in with_parsed(df, "t", "p").select("t", "p.valid").collect()}
     assert got == texts
 
 
