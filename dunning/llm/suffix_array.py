@@ -7,6 +7,8 @@ import numpy as np
 
 from .words import mix, prefix_sums, span_hashes
 
+SLICES = 1 << 14
+
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """min(h[p:p + width]) for every p with a whole window."""
@@ -67,6 +69,34 @@ def minimiser_ranges(data: np.ndarray, at: np.ndarray, length: int, gram: int):
     return row[first], first - base, last - base, key, np.maximum(places, 1), name
 
 
+def _sorted_directly(text: np.ndarray, raw: bytes, at: np.ndarray, done: int, depth: int) -> np.ndarray:
+    """Places whose suffixes agree in ``done`` bytes, in the order of ``depth`` bytes.  The
+    next eight bytes, as one number, cut them into stretches of at most ``SLICES`` that
+    are compared as bytes; only so many slices are held at a time.  More places that
+    agree in those eight bytes as well are cut by the next eight."""
+    if done >= depth or len(at) < 2:
+        return at
+    word = np.zeros(len(at), np.uint64)
+    for k in range(min(8, depth - done)):
+        byte = text[np.minimum(at + done + k, len(text) - 1)].astype(np.uint64)  # behind the last byte no two are compared
+        word |= byte << np.uint64(56 - 8 * k)
+    by = np.argsort(word, kind="stable")
+    at, word = at[by], word[by]
+    edges = np.append(np.nonzero(np.append(True, word[1:] != word[:-1]))[0], len(at))
+    out, i = [], 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + SLICES, "right")) - 1)
+        own = at[edges[i]:edges[j]]
+        if len(own) > SLICES:
+            own = _sorted_directly(text, raw, own, done + 8, depth)
+        elif len(own) > j - i:  # some agree in these bytes
+            pieces = [raw[a + done:a + depth] for a in own.tolist()]
+            own = own[sorted(range(len(pieces)), key=pieces.__getitem__)]
+        out.append(own)
+        i = j
+    return np.concatenate(out)
+
+
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted places of ``text`` (a boolean for each byte) in the order of their
     suffixes, as far as ``depth`` bytes decide.  0 bytes end the segments.
@@ -91,11 +121,7 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     np.add.at(step, upto + 1, -1)
     needed = wanted | (np.cumsum(step[:-1]) > 0)
 
-    raw = text.tobytes()
-    direct = np.nonzero(needed & rising)[0]
-    pieces = [raw[i:i + depth] for i in direct.tolist()]
-    direct = direct[sorted(range(len(pieces)), key=pieces.__getitem__)]
-    del pieces
+    direct = _sorted_directly(text, text.tobytes(), np.nonzero(needed & rising)[0], 0, depth)
     first = np.searchsorted(text[direct], np.arange(257))
     induced = needed & ~rising
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
