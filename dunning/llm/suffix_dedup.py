@@ -226,7 +226,7 @@ def _partly(found: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept."""
     found = staged(repeated_spans(docs, id_col, text_col, **parameters), "op3-found")
     one = _partly(found).groupBy("sha").agg(F.min("rid").alias("rid"))
     names = found.join(one, ["sha", "rid"]).select("sha", "spans", F.col("doc_id").alias("name_id"), F.col("th").alias("name_th"))
@@ -237,7 +237,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty = hashlib.sha256(b"").hexdigest()
     return (found.join(digests, "sha", "left")
             .select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-                    F.coalesce("kept", F.when(F.size("spans") > 0, F.lit(empty)).otherwise(F.col("sha"))).alias("kept_sha256")))
+                    F.coalesce("kept", F.when(F.size("spans") > 0, F.lit(empty)).otherwise(F.col("sha"))).alias("kept_sha256"),
+                    (F.col("n_bytes") - removed).alias("n_kept")))
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, **parameters) -> DataFrame:
