@@ -14,7 +14,6 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import catalog as C
 from ..functions.policy import reason_text, result_of
@@ -23,6 +22,7 @@ from ..functions.outcome import describe, recovered
 from ..functions.risk import risk_level
 from ..functions.text import money_text, template
 from .joins import lookup_join
+from .positions import with_positions
 
 LatencyFn = Callable[[Column, Column], Column]
 
@@ -184,7 +184,6 @@ def latest_diagnosis(audit: DataFrame) -> DataFrame:
 def execution_attempt_numbers(audit: DataFrame) -> DataFrame:
     """All audit rows, execution rows with their position ``execution_no`` among
     their transaction's executions (WN-02), over all runs in ``audit``: earlier
-    runs first, then by the composite key.  Other rows have NULL."""
-    ex = F.col("stage").eqNullSafe("execution")
-    place = Window.partitionBy("transaction_id", ex).orderBy("timestamp", "attempt_no", "stage_no")
-    return audit.withColumn("execution_no", F.when(ex, F.row_number().over(place)))
+    runs first, then by the composite key.  Other rows have NULL.  A transaction of
+    any length is spread over tasks."""
+    return with_positions(audit, "transaction_id", ["timestamp", "attempt_no", "stage_no"], "execution_no", F.col("stage") == "execution")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import catalog as C
 from ..functions.risk import risk_rate
@@ -51,9 +52,9 @@ def history(audit: DataFrame) -> DataFrame:
     """Execution history per transaction (AG-20), as bounded columns.
 
     Everything is a partial aggregate (count, bool_or, max_by), so a
-    transaction with a huge trail still shuffles one row per map task.  The set
-    of catalog actions tried is kept as one flag per action, which is all the
-    duplicate guard and the fallback diagnosis need.
+    transaction with a huge trail still shuffles one row per map task.  The catalog
+    actions tried come in the order of their first use, from one minimal place
+    per action; :func:`attempt_history` gives the executions themselves.
     """
     ex = audit.where(F.col("stage") == "execution")
     aggs = [
@@ -61,17 +62,41 @@ def history(audit: DataFrame) -> DataFrame:
         F.count_if(F.col("agent_action").isin(*C.AUTOMATED)).alias("prior_automated"),
         F.coalesce(F.bool_or(F.col("agent_action").isin(*C.EXITS)), F.lit(False)).alias("prior_terminal"),
         F.coalesce(F.bool_or(F.col("tool_result") == "SUCCESS"), F.lit(False)).alias("prior_success"),
-        F.max_by("agent_action", F.struct("attempt_no", "stage_no")).alias("prior_last_action"),
+        F.max_by("agent_action", F.struct("timestamp", "attempt_no", "stage_no")).alias("prior_last_action"),
     ]
     for a in C.ACTION_NAMES:
-        aggs.append(F.coalesce(F.bool_or(F.col("agent_action") == a), F.lit(False)).alias(f"tried_{a}"))
+        aggs.append(F.min(F.when(F.col("agent_action") == a, F.struct("timestamp", "attempt_no", "stage_no"))).alias(f"at_{a}"))
     h = ex.groupBy("transaction_id").agg(*aggs)
-    tried = F.flatten(F.array(*[F.when(F.col(f"tried_{a}"), F.array(F.lit(a))).otherwise(F.array().cast("array<string>"))
-                                for a in C.ACTION_NAMES]))
+    used = ", ".join(f"CASE WHEN at_{a} IS NOT NULL THEN named_struct('at', at_{a}, 'no', {i}, 'action', '{a}') END" for i, a in enumerate(C.ACTION_NAMES))
+    tried = F.expr(f"transform(array_sort(array_compact(array({used}))), x -> x.action)")
     return h.select("transaction_id", "prior_executions", "prior_automated", "prior_terminal",
                     "prior_success", "prior_last_action", tried.alias("prior_actions"))
 
 
+def attempt_history(audit: DataFrame, k: int = 4) -> DataFrame:
+    """AG-20 / JN-03: executions of each transaction over all runs: their number, how
+    often each catalog action ran, and the first and last ``k`` in order (by time, attempt,
+    stage, then run), as ``run:attempt:action:result``.
+
+    A row repeated in the log (same run, attempt, stage and time) counts once.  Ranks up to
+    ``k`` are limited before the shuffle as well as after, so of a long history no
+    more than k rows from either end leave a task."""
+    place = ["timestamp", "attempt_no", "stage_no", "strategy"]
+    rows = (audit.where(F.col("stage") == "execution").groupBy("transaction_id", *place)
+            .agg(F.max(F.struct("agent_action", "tool_result")).alias("x")).select("transaction_id", *place, "x.*"))
+    counts = rows.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("executions"),
+                                                *[F.count_if(F.col("agent_action") == a).alias(f"n_{a}") for a in C.ACTION_NAMES])
+
+    def end(name: str, order: list) -> DataFrame:
+        near = (rows.withColumn("r", F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))).where(F.col("r") <= k))
+        text = F.concat_ws(":", "strategy", F.col("attempt_no").cast("string"), "agent_action", "tool_result")
+        own = near.groupBy("transaction_id").agg(F.sort_array(F.collect_list(F.struct(*place, text.alias("t")))).alias("l"))
+        return own.select("transaction_id", F.transform("l", lambda x: x["t"]).alias(name))
+
+    return (counts.join(end("first_actions", place), "transaction_id")
+            .join(end("last_actions", [F.desc(c) for c in place]), "transaction_id"))
+
+
 def enrich(transactions: DataFrame, customers: DataFrame, invoices: DataFrame,
            outcomes: DataFrame | None = None, prior_audit: DataFrame | None = None) -> DataFrame:
     """One row per transaction with every input the decision needs.

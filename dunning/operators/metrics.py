@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import catalog as C
 from ..functions.text import pct2
@@ -122,8 +123,17 @@ def decision_changes(wide: DataFrame, left: str = "rules", right: str = "optimiz
 
 def value_counts(results: DataFrame, column: str) -> DataFrame:
     """``value_counts`` of one column per strategy (AG-16)."""
-    return (results.groupBy("strategy", F.col(column).alias("value"))
-            .agg(F.count(F.lit(1)).cast("long").alias("n")))
+    return ranked_counts(results, ["strategy"], column)
+
+
+def ranked_counts(rows: DataFrame, by: list[str], column: str, k: int | None = None) -> DataFrame:
+    """How often each value occurs within ``by``, and its ``place`` (from 1, most frequent
+    first, equal counts by value with NULL last); with ``k``, the k most frequent, cut
+    in each task before the shuffle too.  What is ordered is the counts, never the rows."""
+    counts = rows.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), F.asc_nulls_last("value"))
+    placed = counts.withColumn("place", F.row_number().over(order).cast("long"))
+    return placed if k is None else placed.where(F.col("place") <= k)
 
 
 def funnel(results: DataFrame) -> DataFrame:

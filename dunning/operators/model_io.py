@@ -50,8 +50,8 @@ def response_table(responses: DataFrame) -> DataFrame:
 
 def prompt_requests(wide: DataFrame, strategy: str = "optimizer") -> DataFrame:
     """MI-01: the request of each attempt made: a system text and a prompt with the
-    transaction, the customer, the open invoice, what this run has tried so far and the
-    options of the raw failure code.  Amounts are plain numbers with two decimals."""
+    transaction, the customer, the open invoice, what was tried so far (earlier runs
+    first, in order) and the options of the raw failure code.  Amounts are plain numbers with two decimals."""
     def text(c, missing="none"):
         return F.coalesce(c.cast("string"), F.lit(missing))
 
@@ -70,9 +70,10 @@ def prompt_requests(wide: DataFrame, strategy: str = "optimizer") -> DataFrame:
         lit("\nOpen invoice: "), invoice)
     tail = F.concat(lit("\nOptions (action: chance, cost, expected net): "), options, lit("\n"), lit(C.PROMPT_ANSWER))
     trail = F.col(f"{strategy}.trail")
-    rows = wide.select("transaction_id", head.alias("head"), tail.alias("tail"), trail.alias("trail"), F.explode(trail).alias("t"))
-    before = F.when(F.col("t.attempts_before") == 0, lit("none")).otherwise(
-        F.concat(F.col("trail")[0]["final_action"], lit(" failed")))
+    rows = wide.select("transaction_id", "prior_actions", head.alias("head"), tail.alias("tail"), trail.alias("trail"), F.explode(trail).alias("t"))
+    here = F.expr("transform(filter(trail, x -> x.attempt_no < t.attempt_no), x -> x.final_action)")
+    tried = F.concat(F.coalesce("prior_actions", F.array().cast("array<string>")), here)
+    before = F.when(F.size(tried) == 0, lit("none")).otherwise(F.concat(F.array_join(tried, ", "), lit(" failed")))
     return rows.select("transaction_id", F.col("t.attempt_no").alias("attempt_no"), lit(C.PROMPT_SYSTEM).alias("system_text"),
                        F.concat("head", lit("\nTried so far: "), before, "tail").alias("prompt"))
 

@@ -89,7 +89,7 @@ invoices AS (
   WHERE failure_code IN ('INSUFFICIENT_FUNDS', 'CUSTOMER_DECLINED') OR (k * 3 + 1) % 7 = 0),
 fi AS (SELECT customer_id, min(invoice_id) AS invoice_id, arg_min(days_overdue, invoice_id) AS days_overdue
        FROM invoices GROUP BY customer_id),
-e AS (
+e AS MATERIALIZED (
   SELECT t.*, c.customer_id IS NOT NULL AS has_customer,
          CASE WHEN c.customer_id IS NULL THEN CAST(0.85 AS DECIMAL(5,2))
               ELSE coalesce(c.previous_payment_success_rate, CAST(0.85 AS DECIMAL(5,2))) END AS erv_rate,
@@ -104,7 +104,7 @@ e AS (
   FROM transactions t LEFT JOIN customers c ON t.customer_id = c.customer_id
   LEFT JOIN fi f ON t.customer_id = f.customer_id),
 pt AS ({_prob_values()}),
-cand AS (
+cand AS MATERIALIZED (
   SELECT e.transaction_id, pt.action, pt.ord, CAST(pt.rank_cost AS DECIMAL(5,1)) AS rank_cost,
          CAST(CASE WHEN e.erv_rate >= 0.90 THEN least(CAST({C.BAND_CAP} AS DECIMAL(3,2)), pt.base + pt.up)
                    WHEN e.erv_rate < 0.70 THEN greatest(CAST(pt.floor AS DECIMAL(3,2)), pt.base - pt.down)
@@ -116,7 +116,7 @@ cand AS (
   FROM e
   UNION ALL
   SELECT transaction_id, 'stop_recovery', 7, CAST(0 AS DECIMAL(5,1)), CAST(0 AS DECIMAL(3,2)) FROM e),
-cv AS (
+cv AS MATERIALIZED (
   SELECT c.*, e.amount,
          CAST(round(coalesce(e.amount, 0) * c.p, 2) AS DECIMAL(18,2)) AS expected_gross,
          CAST(round(coalesce(e.amount, 0) * c.p - c.rank_cost, 2) AS DECIMAL(18,2)) AS expected_net
@@ -166,7 +166,7 @@ CONTACT = _in(C.CONTACT_ACTIONS)
 # automated candidate; the policy gate at attempt 1 and 2 is the same except
 # for the duplicate rule, which removes exactly the first pick.
 OPT = """,
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT cv.transaction_id, cv.action, cv.ord, cv.p, cv.expected_net,
          row_number() OVER (PARTITION BY cv.transaction_id ORDER BY cv.expected_net DESC, cv.ord) AS rn
   FROM cv JOIN e USING (transaction_id)
@@ -180,7 +180,7 @@ opt0 AS (
   LEFT JOIN ranked r2 ON r2.transaction_id = e.transaction_id AND r2.rn = 2),
 opt1 AS (
   SELECT *, NOT blocked AND u_bp < p1 * 10000 AS ok1, NOT blocked AND u_bp < p2 * 10000 AS ok2 FROM opt0),
-opt AS (
+opt AS MATERIALIZED (
   SELECT transaction_id, amount, failure_code,
          CASE WHEN blocked OR ok1 THEN {s1} ELSE {s2} END AS risk_score,
          CASE WHEN blocked THEN 'stop_recovery' WHEN ok1 THEN a1 ELSE a2 END AS recommended_action,
@@ -223,7 +223,7 @@ r5 AS (
 r6 AS (
   SELECT r5.*, c2.p AS p2, fin2 IN {automated} AND u_bp < c2.p * 10000 AS ok2
   FROM r5 LEFT JOIN cand c2 ON c2.transaction_id = r5.transaction_id AND c2.action = r5.fin2),
-rules AS (
+rules AS MATERIALIZED (
   SELECT transaction_id, amount, failure_code,
          CASE WHEN run2 THEN {s2} ELSE {s1} END AS risk_score,
          CASE WHEN run2 THEN rec2 ELSE rec1 END AS recommended_action,
@@ -249,7 +249,7 @@ bl AS (
          NOT e.hv AND e.preference <> 'none' AS eligible, c.p,
          NOT e.hv AND e.preference <> 'none' AND e.u_bp < c.p * 10000 AS ok
   FROM e JOIN cand c ON c.transaction_id = e.transaction_id AND c.action = 'retry_payment'),
-baseline AS (
+baseline AS MATERIALIZED (
   SELECT transaction_id, amount, failure_code, CAST(NULL AS BIGINT) AS risk_score, CAST(NULL AS VARCHAR) AS risk_level,
          CAST(NULL AS VARCHAR) AS recommended_action, CAST(NULL AS VARCHAR) AS policy_result,
          CASE WHEN eligible THEN 'retry_payment' ELSE 'stop_recovery' END AS final_action,
@@ -284,7 +284,7 @@ def _final_desc() -> str:
 
 
 UNION3 = """,
-allres AS (
+allres AS MATERIALIZED (
   SELECT 'baseline' AS strategy, transaction_id, amount, failure_code, risk_score, final_action, status,
          amount_recovered, execution_count, automated_attempts, policy_result FROM baseline
   UNION ALL SELECT 'rules', transaction_id, amount, failure_code, risk_score, final_action, status,
@@ -483,9 +483,11 @@ FROM p"""
         FROM rules r JOIN opt o USING (transaction_id))
 SELECT CAST(changed AS BIGINT) AS decision_changes_count, {_pct('changed', 'n')} AS decision_change_rate FROM d"""
     o["distributions"] = _with(BASELINE, RULES, OPT, UNION3) + """
-SELECT 'final_action' AS dimension, strategy, final_action AS value, CAST(count(*) AS BIGINT) AS n FROM allres GROUP BY ALL
-UNION ALL SELECT 'failure_code', strategy, failure_code, CAST(count(*) AS BIGINT) FROM allres GROUP BY ALL
-UNION ALL SELECT 'policy_result', strategy, policy_result, CAST(count(*) AS BIGINT) FROM allres GROUP BY ALL"""
+, vc AS (
+  SELECT 'final_action' AS dimension, strategy, final_action AS value, CAST(count(*) AS BIGINT) AS n FROM allres GROUP BY ALL
+  UNION ALL SELECT 'failure_code', strategy, failure_code, CAST(count(*) AS BIGINT) FROM allres GROUP BY ALL
+  UNION ALL SELECT 'policy_result', strategy, policy_result, CAST(count(*) AS BIGINT) FROM allres GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY dimension, strategy ORDER BY n DESC, value NULLS LAST) AS BIGINT) AS place FROM vc"""
     o["funnel"] = _with(BASELINE, RULES, OPT, UNION3) + """
 , f AS (
   SELECT strategy, count(*) AS ingested,

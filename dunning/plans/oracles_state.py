@@ -28,7 +28,7 @@ hist AS (
          g = 2 AS prior_terminal, g = 3 AS prior_success,
          CASE g WHEN 0 THEN 'schedule_retry' WHEN 1 THEN 'create_payment_link' WHEN 2 THEN 'escalate_to_human'
                 ELSE 'retry_payment' END AS prior_last_action,
-         CASE g WHEN 0 THEN 'schedule_retry' WHEN 1 THEN 'create_payment_link,schedule_retry'
+         CASE g WHEN 0 THEN 'schedule_retry' WHEN 1 THEN 'schedule_retry,create_payment_link'
                 WHEN 2 THEN 'escalate_to_human' ELSE 'retry_payment' END AS prior_actions, g
   FROM prior)
 """
@@ -449,6 +449,31 @@ SELECT CASE run WHEN 0 THEN 'prior' ELSE 'optimizer' END AS strategy, transactio
        CASE WHEN stage = 'execution' THEN CAST(count(*) FILTER (WHERE stage = 'execution') OVER (
          PARTITION BY transaction_id ORDER BY run, attempt_no, stage_no ROWS UNBOUNDED PRECEDING) AS BIGINT) END AS execution_no
 FROM log"""
+    runs = f"""WITH r AS (
+  SELECT DISTINCT 'run' || i % 3 AS strategy, CASE WHEN k % 3 = 0 THEN 'TXHOT' ELSE 'TX' || lpad(CAST(k AS VARCHAR), 10, '0') END AS transaction_id,
+         CASE WHEN k % 3 = 0 THEN k * 6 + i ELSE i END AS attempt_no, CAST(d AS TIMESTAMP) + to_minutes((i * 37 + k) % 50) AS ts,
+         [{", ".join(_q(a) for a in C.ACTION_NAMES)}][(k * 7 + i * 5) % 7 + 1] AS agent_action,
+         CASE WHEN (k + i) % 9 = 0 THEN 'SUCCESS' ELSE 'FAILURE' END AS tool_result
+  FROM (SELECT o_orderkey AS k, o_orderdate AS d, unnest(range(1, o_orderkey % 6 + 1)) AS i FROM orders)),
+t AS (SELECT *, concat_ws(':', strategy, attempt_no, agent_action, tool_result) AS t FROM r)
+"""
+    counts = ", ".join(f"CAST(count(*) FILTER (agent_action = {_q(a)}) AS BIGINT) AS n_{a}" for a in C.ACTION_NAMES)
+    o["ordered_history"] = runs + f"""
+SELECT transaction_id, CAST(count(*) AS BIGINT) AS executions, {counts},
+       array_to_string(list(t ORDER BY ts, attempt_no, strategy)[:3], ' ') AS first_actions,
+       array_to_string(list(t ORDER BY ts, attempt_no, strategy)[-3:], ' ') AS last_actions
+FROM t GROUP BY transaction_id"""
+    o["trail_positions"] = runs + """
+SELECT strategy, transaction_id, CAST(attempt_no AS BIGINT) AS attempt_no, agent_action,
+       CAST(row_number() OVER (PARTITION BY transaction_id ORDER BY ts, attempt_no, strategy) AS BIGINT) AS position
+FROM t"""
+    log = o["audit_trail_timeline"]
+    o["stream_state_resumed"] = f"""WITH l AS ({log}), x AS (SELECT * FROM l WHERE stage = 'execution'),
+f AS (SELECT transaction_id, agent_action, min(execution_no) AS place FROM x GROUP BY transaction_id, agent_action),
+a AS (SELECT transaction_id, string_agg(agent_action, ',' ORDER BY place) AS actions FROM f GROUP BY transaction_id)
+SELECT transaction_id, CAST(count(*) AS BIGINT) AS executions, CAST(count(*) FILTER (agent_action IN {AUTOMATED}) AS BIGINT) AS automated,
+       bool_or(agent_action IN ('escalate_to_human', 'stop_recovery')) AS terminal, any_value(actions) AS actions
+FROM x JOIN a USING (transaction_id) GROUP BY transaction_id"""
     o["filtered_head"] = _with(OPT, SNAP) + """
 SELECT transaction_id, recovery_status, CAST(recovered_amount AS DOUBLE) AS recovered_amount FROM snap
 WHERE recovery_status = 'RECOVERED' ORDER BY transaction_id LIMIT 100"""

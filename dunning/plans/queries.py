@@ -14,7 +14,8 @@ from ..functions.policy import (PolicyContext, done_flag, final_action, policy_v
 from ..functions.risk import risk
 from ..operators import audit as AU
 from ..operators import metrics as M
-from ..operators.enrich import enrich
+from ..operators.enrich import attempt_history, enrich
+from ..operators.positions import with_positions
 from ..operators.strategies import evaluate, pair, plan_barrier, results
 from ..sources import fixtures as FX
 from .output import to_output
@@ -205,8 +206,7 @@ def distributions(spark, sf_dir):
     r = _results(spark, sf_dir, ("baseline", "rules", "optimizer"))
     pairs = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value"))
                       for c in ("final_action", "failure_code", "policy_result")])
-    return to_output(r.select("strategy", F.explode(pairs).alias("p")).groupBy("p.dimension", "strategy", "p.value")
-                     .agg(F.count(F.lit(1)).alias("n")))
+    return to_output(M.ranked_counts(r.select("strategy", F.explode(pairs).alias("p")).select("strategy", "p.*"), ["dimension", "strategy"], "value"))
 
 
 def funnel(spark, sf_dir):
@@ -499,7 +499,7 @@ def model_contribution(spark, sf_dir):
 import uuid  # noqa: E402
 
 from ..schemas import TRANSACTIONS  # noqa: E402
-from ..session import checkpoint_dir  # noqa: E402
+from ..session import checkpoint_dir, materialized  # noqa: E402
 from ..sources import io as IO  # noqa: E402
 
 
@@ -537,6 +537,7 @@ def formatted_kpis(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streams
+from ..streaming import attempt_stream as AS  # noqa: E402
 from ..streaming import recovery_stream as SM  # noqa: E402
 from ..streaming.model_stream import two_phase_diagnosis  # noqa: E402
 
@@ -616,6 +617,21 @@ def pending_batch(spark, sf_dir):
     return to_output(ST.pending(_resume_enriched(spark, sf_dir), 500).select("transaction_id", "gate_status", "prior_executions"))
 
 
+def ordered_history(spark, sf_dir):
+    """AG-20 / JN-03: ordered histories over three runs with repeated rows and one hot transaction."""
+    h = attempt_history(FX.audit_runs_view(_inputs(spark, sf_dir).orders), 3)
+    return to_output(h.select("transaction_id", "executions", *[f"n_{a}" for a in C.ACTION_NAMES],
+                              F.array_join("first_actions", " ").alias("first_actions"), F.array_join("last_actions", " ").alias("last_actions")))
+
+
+def trail_positions(spark, sf_dir):
+    """WN-02 / TK-03 where one transaction holds a third of all rows: the place of every
+    execution in its transaction."""
+    rows = FX.audit_runs_view(_inputs(spark, sf_dir).orders).dropDuplicates(["strategy", "transaction_id", "attempt_no"])
+    placed = with_positions(rows, "transaction_id", ["timestamp", "attempt_no", "strategy"], "position")
+    return to_output(placed.select("strategy", "transaction_id", F.col("attempt_no").cast("long").alias("attempt_no"), "agent_action", "position"))
+
+
 def audit_timeline(spark, sf_dir):
     """The executions that recovered, with their position among all executions of
     their transaction (WN-02).  The whole timeline is ``audit_trail_timeline``."""
@@ -683,13 +699,27 @@ def stream_attempt_state(spark, sf_dir):
     return to_output(SM.attempt_state(spark, src, schema, _scratch(spark, "state-out"), _scratch(spark, "state-ckpt")))
 
 
+def stream_state_resumed(spark, sf_dir):
+    """SM-02 from a history: three starts of the stream, new files each time, over the
+    executions of a run that goes on where earlier attempts ended."""
+    prior = FX.prior_audit_view(_inputs(spark, sf_dir).orders)
+    w = evaluate(ST.pending(_resume_enriched(spark, sf_dir)), which=("optimizer",))
+    ex = materialized(AU.audit_rows(w, "optimizer", run_ts=RUN_TS).where(F.col("stage") == "execution")
+                      .select("transaction_id", "attempt_no", "agent_action"), "executions")
+    src, out, ckpt = (_scratch(spark, x) for x in ("exec-in", "state-out", "state-ckpt"))
+    for k in range(3):
+        _spread(ex.where(F.least(F.col("attempt_no"), F.lit(3)) == k + 1)).write.mode("append").parquet(src)
+        AS.resume_attempt_state(spark, src, ex.schema, prior, out, ckpt)
+    return to_output(AS.current_state(spark, out))
+
+
 def stream_dedupe(spark, sf_dir):
     src, schema = _executions_source(spark, sf_dir)
     return to_output(SM.dedupe_actions(spark, src, schema, _scratch(spark, "dedupe-out"), _scratch(spark, "dedupe-ckpt"))
                      .select("transaction_id", "agent_action"))
 
 
-QUERIES.update({f.__name__: f for f in (stream_two_runs, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
+QUERIES.update({f.__name__: f for f in (stream_two_runs, ordered_history, trail_positions, stream_state_resumed, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
                                         filtered_head, outcome_join, stored_pairs, stage_latency_nulls)})
 QUERIES.update({
     "prompt_requests": prompt_requests,

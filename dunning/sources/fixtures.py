@@ -174,6 +174,23 @@ def prior_audit_view(orders: DataFrame) -> DataFrame:
     )
 
 
+def audit_runs_view(orders: DataFrame) -> DataFrame:
+    """Execution rows of three runs, out of order in time, some written twice.  Order k has
+    k % 6 executions; those of every third order belong to the one transaction TXHOT."""
+    rows = orders.select(F.col("o_orderkey").alias("k"), "o_orderdate").where("k % 6 > 0").select(
+        "k", "o_orderdate", F.explode(F.sequence(F.lit(1), (F.col("k") % 6).cast("int"))).alias("i"))
+    actions = ", ".join(S.quoted(a) for a in C.ACTION_NAMES)
+    twice = F.explode(F.expr("CASE WHEN (k + i) % 4 = 0 THEN array(0, 1) ELSE array(0) END")).alias("copy")
+    return rows.select("*", twice).select(
+        F.expr("concat('run', CAST(i % 3 AS STRING))").alias("strategy"),
+        F.when(F.col("k") % 3 == 0, "TXHOT").otherwise(_pad(F.col("k"), "TX")).alias("transaction_id"),
+        F.expr("CAST(CASE WHEN k % 3 = 0 THEN k * 6 + i ELSE i END AS INT)").alias("attempt_no"), F.lit(4).alias("stage_no"),
+        F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST((i * 37 + k) % 50 AS INT), 0)").alias("timestamp"),
+        F.lit("execution").alias("stage"), F.expr(f"element_at(array({actions}), CAST((k * 7 + i * 5) % 7 AS INT) + 1)").alias("agent_action"),
+        F.lit("APPROVED").alias("policy_result"), F.expr("CASE WHEN (k + i) % 9 = 0 THEN 'SUCCESS' ELSE 'FAILURE' END").alias("tool_result"),
+        F.lit(0).cast(MONEY).alias("amount_recovered"), F.lit(None).cast("string").alias("reason"), F.lit(0).cast("long").alias("latency_us"))
+
+
 def responses_view(orders: DataFrame) -> DataFrame:
     """Recorded model responses, and how long they took (``delay_s``, 0 to 19 seconds).
 

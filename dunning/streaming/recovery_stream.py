@@ -10,7 +10,8 @@
   replayed batch leaves one copy, and two streams cannot touch each other's rows.
 * :func:`attempt_state` (SM-02): state per transaction over a stream of execution
   rows (attempts used, automated actions tried, terminal flag) as a streaming
-  aggregate in update mode; the batch twin is ``enrich.history``.
+  aggregate in update mode; the batch twin is ``enrich.history``.  With a history to
+  start from, use :mod:`dunning.streaming.attempt_stream`.
 * :func:`dedupe_actions` (SM-03): each (transaction, action) acted on once.
   No watermark: the domain never expires history, so state grows with the
   number of distinct pairs; bound it with a watermark on event time where the
@@ -64,13 +65,13 @@ def _write_batch(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
      .partitionBy("stream", "batch_id").parquet(path))
 
 
-def _run(reader: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint_dir: str, mode: str = "append") -> None:
+def run_stream(reader: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint_dir: str, mode: str = "append") -> None:
     q = (reader.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _reader(spark: SparkSession, path: str, schema, files_per_batch: int | None) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None) -> DataFrame:
     r = spark.readStream.schema(schema)
     return (r.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else r).parquet(path)
 
@@ -100,7 +101,7 @@ def incremental_recovery(spark: SparkSession, source_dir: str, schema, customers
         _write_batch(results(wide, which=(strategy,)), result_dir, stream, batch_id)
         _write_batch(audit_rows(wide, strategy), audit_dir, stream, batch_id)
 
-    _run(_reader(spark, source_dir, schema, files_per_batch), decide_batch, checkpoint_dir)
+    run_stream(read_stream(spark, source_dir, schema, files_per_batch), decide_batch, checkpoint_dir)
     return result_dir, audit_dir
 
 
@@ -109,12 +110,12 @@ def attempt_state(spark: SparkSession, executions_dir: str, schema, out_dir: str
     """SM-02 over execution rows arriving as files; returns the state of each
     transaction after all batches so far (the last update of each key)."""
     tried = [F.bool_or(F.col("agent_action") == a).alias(f"tried_{a}") for a in C.ACTION_NAMES]
-    state = _reader(spark, executions_dir, schema, files_per_batch).groupBy("transaction_id").agg(
+    state = read_stream(spark, executions_dir, schema, files_per_batch).groupBy("transaction_id").agg(
         F.count(F.lit(1)).alias("executions"),
         F.count_if(F.col("agent_action").isin(*C.AUTOMATED)).alias("automated"),
         F.coalesce(F.bool_or(F.col("agent_action").isin(*C.EXITS)), F.lit(False)).alias("terminal"), *tried)
     stream = stream_name(checkpoint_dir)
-    _run(state, lambda batch, batch_id: _write_batch(batch, out_dir, stream, batch_id), checkpoint_dir, mode="update")
+    run_stream(state, lambda batch, batch_id: _write_batch(batch, out_dir, stream, batch_id), checkpoint_dir, mode="update")
     fields = ["executions", "automated", "terminal", *[f"tried_{a}" for a in C.ACTION_NAMES]]
     last = (spark.read.parquet(out_dir).where(F.col("stream") == stream).groupBy("transaction_id")
             .agg(F.max_by(F.struct(*fields), "batch_id").alias("s")).select("transaction_id", "s.*"))
@@ -126,7 +127,7 @@ def dedupe_actions(spark: SparkSession, executions_dir: str, schema, out_dir: st
                    files_per_batch: int | None = None) -> DataFrame:
     """SM-03: first occurrence of each (transaction, action); the file sink commits
     each batch once."""
-    q = (_reader(spark, executions_dir, schema, files_per_batch)
+    q = (read_stream(spark, executions_dir, schema, files_per_batch)
          .dropDuplicates(["transaction_id", "agent_action"])
          .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
