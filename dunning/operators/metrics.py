@@ -8,11 +8,12 @@ sums stay exact in decimal and are cast to double only at the end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import catalog as C
+from ..functions import sqltext as S
 from ..functions.text import pct2
 
 RECOVERED_STATUSES = ("RECOVERED", "SUCCESS")
@@ -164,6 +165,33 @@ def report(summary: DataFrame) -> DataFrame:
             .agg(F.first("value")))
 
 
+def run_observations(strategy: str) -> dict[str, Column]:
+    """AG-18, AG-19, AG-22 as aggregates over the wide results of a run, so that the pass
+    that writes them yields them: the batch summary, and the guardrail and stopping
+    rule violations read from each row's trail and context."""
+    s = F.col(strategy)
+    ok = s["status"] == "SUCCESS"
+    automated = F.expr(f"filter(transform({strategy}.trail, x -> x.final_action), x -> x IN {S.names(C.AUTOMATED)})")
+    contacts = F.size(F.filter(automated, lambda a: a.isin(*C.CONTACT_ACTIONS)))
+    many = F.size(automated)
+
+    def total(cond, n=many):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
+
+    return {
+        "total_processed": F.count(F.lit(1)),
+        "successful_recovery": F.count_if(ok),
+        "amount_recovered": F.coalesce(F.sum(F.when(ok, s["amount_recovered"])), F.lit(0)).cast("double"),
+        "escalated_count": F.count_if(s["final_action"] == C.ESCALATE),
+        "stopped_count": F.count_if(s["final_action"] == C.STOP),
+        "high_value": total(F.coalesce(F.col("amount"), F.lit(0)) >= C.HIGH_VALUE_THRESHOLD),
+        "fraud_flag": total(F.col("risk_flag")),
+        "opt_out": total(F.col("preference") == "none", contacts),
+        "duplicate": total(F.lit(True), many - F.size(F.array_distinct(automated))),
+        "stopping_rule_violations": F.count_if(many > C.MAX_ATTEMPTS),
+    }
+
+
 def batch_summary(results: DataFrame) -> DataFrame:
     """Trigger-batch response (AG-22): processed, successful, amount,
     escalated, stopped."""

@@ -76,6 +76,15 @@ def transaction_360(wide: DataFrame, strategy: str, run_ts: str | None = None) -
     return context.join(trail, "transaction_id", "left")
 
 
+def nested_360(context: DataFrame, trail: DataFrame) -> DataFrame:
+    """JN-05, nested: every transaction of ``context`` with its trail as one ordered array
+    (a run writes at most ten rows of a transaction; for trails of many runs use the long
+    form).  Both inputs bucketed by transaction id: no exchange."""
+    entry = F.struct("attempt_no", "stage_no", "stage", "agent_action", "policy_result", "tool_result", "amount_recovered", "reason")
+    own = trail.groupBy("transaction_id").agg(F.sort_array(F.collect_list(entry)).alias("trail"))
+    return context.join(own, "transaction_id", "left")
+
+
 def audit_timeline(audit: DataFrame) -> DataFrame:
     """TK-03: audit rows in the order of their time, then of their key."""
     return audit.orderBy("timestamp", "transaction_id", "attempt_no", "stage_no")

@@ -482,6 +482,24 @@ SELECT transaction_id, final_action, status FROM opt"""
     o["stored_pairs"] = _with(RULES, OPT) + """
 SELECT transaction_id, r.final_action AS left_action, o.final_action AS right_action
 FROM rules r JOIN opt o USING (transaction_id) WHERE r.final_action IS DISTINCT FROM o.final_action"""
+    o["stored_360"] = a + """
+SELECT transaction_id, CAST(any_value(e.amount) AS DOUBLE) AS amount, any_value(c.customer_type) AS customer_type, any_value(e.invoice_id) AS invoice_id,
+       CAST(count(*) AS BIGINT) AS entries,
+       string_agg(concat_ws('.', attempt_no, s.stage, coalesce(agent_action, '-')), ' ' ORDER BY attempt_no, stage_no) AS trail
+FROM stage_rows s JOIN e USING (transaction_id) LEFT JOIN customers c ON c.customer_id = e.customer_id GROUP BY transaction_id"""
+    s = state_oracles()
+    o["observed_run"] = _with(OPT) + f"""
+SELECT CAST(count(*) AS BIGINT) AS total_processed, CAST(count(*) FILTER (status = 'SUCCESS') AS BIGINT) AS successful_recovery,
+       CAST(coalesce(sum(amount_recovered) FILTER (status = 'SUCCESS'), 0) AS DOUBLE) AS amount_recovered,
+       CAST(count(*) FILTER (final_action = 'escalate_to_human') AS BIGINT) AS escalated_count,
+       CAST(count(*) FILTER (final_action = 'stop_recovery') AS BIGINT) AS stopped_count,
+       any_value(v.high_value) AS high_value, any_value(v.fraud_flag) AS fraud_flag, any_value(v.opt_out) AS opt_out, any_value(v.duplicate) AS duplicate,
+       any_value(p.stopping_rule_violations) AS stopping_rule_violations
+FROM opt, ({s["policy_violations"]}) v, ({s["stopping_violations"]}) p"""
+    o["csv_quarantine"] = _with(BASELINE) + """
+SELECT 'good' AS reason, CAST(count(*) AS BIGINT) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM baseline
+UNION ALL SELECT CASE k % 150 WHEN 0 THEN 'bad amount' WHEN 50 THEN 'wrong number of fields' ELSE 'missing transaction_id' END, count(*), NULL
+FROM e WHERE k % 50 = 0 GROUP BY 1"""
     o["stage_latency_nulls"] = a + """
 , v AS (SELECT stage, CASE WHEN stage_no <> 2 AND k % 4 <> 1 THEN (k * 13 + stage_no * 7) % 1000 END AS us FROM stage_rows),
 l AS (SELECT stage, coalesce(avg(CAST(us AS DOUBLE)), 0) AS avg_us, coalesce(max(us), 0) AS max_us, count(*) AS n

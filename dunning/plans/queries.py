@@ -666,17 +666,57 @@ def outcome_join(spark, sf_dir):
     return to_output(r.select("transaction_id", "final_action", "status"))
 
 
+def _stored(spark, df, name, key="transaction_id"):
+    """A bucketed table of this session, read back by name."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    IO.write_bucketed(df, table, _scratch(spark, name), key, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.table(table)
+
+
 def stored_pairs(spark, sf_dir):
-    """JN-06: decision changes of two stored result tables, read back by name (SC-07)."""
-    r = _results(spark, sf_dir, ("rules", "optimizer"))
-    path = _scratch(spark, "pairs")
-    IO.write_runs(r, path)
-    IO.read_table(spark, path, r.schema).createOrReplaceTempView("stored_runs")
-    runs = spark.table("stored_runs")
-    both = pair(runs.where("strategy = 'rules'"), runs.where("strategy = 'optimizer'"))
+    """JN-06 / SC-07: decision changes of two stored result tables, read by name; both are
+    bucketed by transaction, so the join needs no exchange."""
+    r = materialized(_results(spark, sf_dir, ("rules", "optimizer")), "pairs")
+    both = pair(*[_stored(spark, r.where(F.col("strategy") == s), s) for s in ("rules", "optimizer")])
     return to_output(both.where(~F.col("left_action").eqNullSafe(F.col("right_action"))))
 
 
+def stored_360(spark, sf_dir):
+    """JN-05, nested, from stored tables read by name: a transaction, its context and its
+    ordered trail in one record (shown as text)."""
+    w = materialized(_wide(spark, sf_dir, which=("optimizer",)).select(
+        "transaction_id", "amount", "failure_code", "customer_type", "invoice_id", "recovery_status", "optimizer"), "wide")
+    context = _stored(spark, w.drop("optimizer"), "context")
+    trail = _stored(spark, AU.audit_rows(w, "optimizer", run_ts=RUN_TS), "trail")
+    text = F.array_join(F.transform("trail", lambda x: F.concat_ws(".", x["attempt_no"].cast("string"), x["stage"], F.coalesce(x["agent_action"], F.lit("-")))), " ")
+    return to_output(VW.nested_360(context, trail).select("transaction_id", "amount", "customer_type", "invoice_id", F.size("trail").cast("long").alias("entries"),
+                                                          text.alias("trail")))
+
+
+def observed_run(spark, sf_dir):
+    """AG-18, AG-19, AG-22 from the pass that writes the results."""
+    w = _wide(spark, sf_dir, which=("optimizer",))
+    return to_output(IO.write_observed(w, _scratch(spark, "observed"), M.run_observations("optimizer")))
+
+
+def csv_quarantine(spark, sf_dir):
+    """SC-05 with malformed lines: the good rows, and the bad lines by reason.  Every 50th
+    result is followed by a line with a broken amount, too few fields or no id."""
+    r = _results(spark, sf_dir, ("baseline",))
+    path = _scratch(spark, "csv-checked")
+    IO.write_results_csv(r, path)
+    k = F.substring("transaction_id", 3, 10).cast("long")
+    line = (F.when(k % 150 == 0, F.concat(F.lit("baseline,"), "transaction_id", F.lit(",12x,,,,,,,,,0,0,0,,0")))
+            .when(k % 150 == 50, F.concat(F.lit("baseline,"), "transaction_id", F.lit(",1")))
+            .otherwise(F.lit("baseline,,1,,,,,,,,,0,0,0,,0")))
+    broken = r.where(k % 50 == 0).select(F.concat(F.lit(",".join(IO.RESULTS_CSV.names) + "\n"), line).alias("value"))
+    broken.write.mode("append").text(path)  # a header before each, as in files of one row
+    good, bad = IO.read_checked(spark, path, IO.RESULTS_CSV, required=("transaction_id",))
+    kept = good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
+    return to_output(kept.unionByName(bad.where(~F.col("record").startswith("strategy,")).groupBy("reason")
+                                      .agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("amount"))))
+
+
 def stage_latency_nulls(spark, sf_dir):
     """AG-15 where latencies are missing, for one stage all of them."""
     def some(tx, stage_no):
@@ -719,7 +759,7 @@ def stream_dedupe(spark, sf_dir):
                      .select("transaction_id", "agent_action"))
 
 
-QUERIES.update({f.__name__: f for f in (stream_two_runs, ordered_history, trail_positions, stream_state_resumed, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
+QUERIES.update({f.__name__: f for f in (stream_two_runs, stored_360, observed_run, csv_quarantine, ordered_history, trail_positions, stream_state_resumed, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
                                         filtered_head, outcome_join, stored_pairs, stage_latency_nulls)})
 QUERIES.update({
     "prompt_requests": prompt_requests,

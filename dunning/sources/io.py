@@ -6,11 +6,12 @@ whole folder or, for run tables, of the partitions a run produced).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..session import materialized
 
 RESULTS_CSV = T.StructType([
     T.StructField("strategy", T.StringType()),
@@ -117,3 +118,48 @@ def append_audit(audit: DataFrame, path: str, run_id: str) -> None:
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """SC-04: audit rows with the declared schema (strategy from the folder)."""
     return spark.read.schema(S.AUDIT).parquet(path)
+
+
+# ---------------------------------------------------------------- malformed input
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """SC-05 / SC-06 with a quarantine: (good rows with ``schema``, bad records).
+
+    A record that the schema cannot read, or without a ``required`` field, is kept as
+    ``file``, ``record`` (as it was written) and ``reason``: the first field whose value does
+    not fit, a missing required field, ``not JSON``, or ``wrong number of fields``.  The
+    files are read once, both results come from that copy."""
+    whole = T.StructType([*schema.fields, T.StructField("_record", T.StringType())])
+    reader = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record")
+    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+    rows = materialized(df.select("*", F.col("_metadata.file_path").alias("_file")), "checked")
+    absent = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]
+    lacking = F.coalesce(*absent) if absent else F.lit(None).cast("string")
+    good = rows.where(F.col("_record").isNull() & lacking.isNull()).select(*schema.names)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    as_text = (F.from_csv("_record", ", ".join(f"`{n}` string" for n in schema.names)) if fmt == "csv" else F.from_json("_record", texts))
+    misfits = [F.when(F.col(f"t.{f.name}").isNotNull() & F.col(f"t.{f.name}").try_cast(f.dataType).isNull(), F.lit(f"bad {f.name}"))
+               for f in schema.fields if not isinstance(f.dataType, (T.StringType, T.StructType))]
+    other = "wrong number of fields" if fmt == "csv" else "not JSON"
+    broken = (rows.where(F.col("_record").isNotNull()).select("_file", F.col("_record").alias("record"), as_text.alias("t"))
+              .select(F.col("_file").alias("file"), "record", F.coalesce(*misfits, F.lit(other)).alias("reason")))
+    partial = rows.where(F.col("_record").isNull() & lacking.isNotNull()).select(
+        F.col("_file").alias("file"), F.to_json(F.struct(*schema.names)).alias("record"), lacking.alias("reason"))
+    return good, broken.unionByName(partial)
+
+
+# ---------------------------------------------------------------- stored tables
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """A catalog table in ``path``, bucketed and sorted by ``key``: joins and aggregates on it
+    between such tables need no exchange.  Rows are dealt to the buckets first, so there
+    is one file a bucket."""
+    (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).format("parquet").saveAsTable(table))
+
+
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column]) -> DataFrame:
+    """Write ``df`` and compute ``metrics`` (aggregates over it) in the same pass; one row."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite").parquet(path)
+    values = seen.get
+    types = df.select(*[c.alias(n) for n, c in metrics.items()]).schema
+    return df.sparkSession.createDataFrame([tuple(values[n] for n in metrics)], types)

@@ -11,7 +11,7 @@ FAST = ["customers_scan", "transactions_scan", "invoices_scan", "enriched", "erv
         "kpis", "batch_resume", "history", "validation_report", "erv_ranked", "distributions", "policy_violations",
         "transaction_360", "edge_results", "edge_state", "edge_360", "stream_two_runs", "stream_attempt_state",
         "stage_latency_nulls", "run_overwrite", "audit_append", "prompt_requests", "response_valid", "outcome_join",
-        "diagnosed", "model_contribution", "stream_diagnosed", "ordered_history", "trail_positions", "audit_trail_timeline", "stored_pairs", "pending_batch", "filtered_head", "audit_timeline"]
+        "diagnosed", "model_contribution", "stream_diagnosed", "ordered_history", "stored_360", "observed_run", "csv_quarantine", "trail_positions", "audit_trail_timeline", "stored_pairs", "pending_batch", "filtered_head", "audit_timeline"]
 
 
 @pytest.fixture(scope="module")
