@@ -488,6 +488,10 @@ SELECT transaction_id, CAST(any_value(e.amount) AS DOUBLE) AS amount, any_value(
        string_agg(concat_ws('.', attempt_no, s.stage, coalesce(agent_action, '-')), ' ' ORDER BY attempt_no, stage_no) AS trail
 FROM stage_rows s JOIN e USING (transaction_id) LEFT JOIN customers c ON c.customer_id = e.customer_id GROUP BY transaction_id"""
     s = state_oracles()
+    o["incremental_kpis"] = s["kpis"].replace("FROM snap)", "FROM mixed)").replace(", g AS (", """
+, mixed AS (SELECT t.transaction_id, t.amount, CASE WHEN t.k % 16 < 12 THEN n.recovery_status ELSE t.recovery_status END AS recovery_status
+            FROM transactions t JOIN snap n USING (transaction_id)),
+g AS (""")
     o["observed_run"] = _with(OPT) + f"""
 SELECT CAST(count(*) AS BIGINT) AS total_processed, CAST(count(*) FILTER (status = 'SUCCESS') AS BIGINT) AS successful_recovery,
        CAST(coalesce(sum(amount_recovered) FILTER (status = 'SUCCESS'), 0) AS DOUBLE) AS amount_recovered,

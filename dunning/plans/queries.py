@@ -13,6 +13,7 @@ from ..functions.erv import candidates, code_class, prepare
 from ..functions.policy import (PolicyContext, done_flag, final_action, policy_verdict)
 from ..functions.risk import risk
 from ..operators import audit as AU
+from ..operators import incremental as INC
 from ..operators import metrics as M
 from ..operators.enrich import attempt_history, enrich
 from ..operators.positions import with_positions
@@ -699,6 +700,26 @@ def observed_run(spark, sf_dir):
     return to_output(IO.write_observed(w, _scratch(spark, "observed"), M.run_observations("optimizer")))
 
 
+def _three_batches(spark, sf_dir):
+    """The KPI state after three batches replaced 12 of 16 stored parts by the run's outcome."""
+    part = (F.substring("transaction_id", 3, 10).cast("long") % 16).cast("int")
+    columns = ["transaction_id", "amount", "failure_code", "recovery_status"]
+    before = _inputs(spark, sf_dir).transactions.select(*columns, part.alias("part"))
+    after = materialized(_snapshot(spark, sf_dir).select(*columns, part.alias("part")), "after")
+    path = _scratch(spark, "snapshot")
+    before.repartition("part").write.partitionBy("part").parquet(path)
+    state = INC.kpi_state(spark.read.parquet(path))
+    for j in range(3):
+        parts = list(range(4 * j, 4 * j + 4))
+        state = INC.replace_parts(path, "part", parts, after.where(F.col("part").isin(*parts)), state)
+    return state
+
+
+def incremental_kpis(spark, sf_dir):
+    """AG-01..AG-04 from the state that changes keep."""
+    return to_output(INC.kpis(_three_batches(spark, sf_dir)))
+
+
 def csv_quarantine(spark, sf_dir):
     """SC-05 with malformed lines: the good rows, and the bad lines by reason.  Every 50th
     result is followed by a line with a broken amount, too few fields or no id."""
@@ -759,7 +780,7 @@ def stream_dedupe(spark, sf_dir):
                      .select("transaction_id", "agent_action"))
 
 
-QUERIES.update({f.__name__: f for f in (stream_two_runs, stored_360, observed_run, csv_quarantine, ordered_history, trail_positions, stream_state_resumed, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
+QUERIES.update({f.__name__: f for f in (stream_two_runs, incremental_kpis, stored_360, observed_run, csv_quarantine, ordered_history, trail_positions, stream_state_resumed, edge_results, edge_state, edge_360, pending_batch, audit_timeline, audit_trail_timeline,
                                         filtered_head, outcome_join, stored_pairs, stage_latency_nulls)})
 QUERIES.update({
     "prompt_requests": prompt_requests,
