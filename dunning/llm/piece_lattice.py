@@ -7,6 +7,7 @@ follows up to the next); units that occur again share one lattice.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from dataclasses import dataclass
@@ -84,6 +85,16 @@ class Vocabulary:
             raise ValueError("a piece goes on after a space")
         self.other = -alpha * np.log(1.0 + len(every))  # of each byte of a character without a piece
         self.trie = Trie(pieces)
+        self._size = np.array([len(t) for t in self.surface], np.int64)
+        self._first = np.concatenate(([0], np.cumsum(self._size)))[:-1]
+        self._flat = np.frombuffer(b"".join(self.surface), np.uint8)
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, one after another, and where each id's end."""
+        size = self._size[ids]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._first[ids] - (ends - size), size)
+        return self._flat[place], ends
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids: the space in front that encoding added goes."""
@@ -223,8 +234,14 @@ class _Way:
     tail: bool  # whether the last open set stands for all later places
 
 
+def _streams(seeds, rank: int, purpose: int) -> np.ndarray:
+    """A seed of its own for each text, round and purpose."""
+    own = np.array([s & 0xFFFFFFFFFFFFFFFF for s in seeds], np.uint64)
+    return mix(own + np.uint64((1 + 4 * rank + purpose) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
+
+
 def _stream(seed: int, rank: int, purpose: int) -> np.uint64:
-    return mix(np.array([(seed + (1 + 4 * rank + purpose) * 0xD1342543DE82EF95) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+    return _streams([seed], rank, purpose)[0]
 
 
 def sample(texts: list[str], seeds: list[int], count: int, vocabulary: Vocabulary):
@@ -244,7 +261,7 @@ def sample(texts: list[str], seeds: list[int], count: int, vocabulary: Vocabular
     # (text, arcs before, the text's unit to go on from, node, score, log_p before, excluded)
     todo = [(i, np.zeros(0, np.int64), 0, None, None, 0.0, []) for i in range(len(texts))]
     for rank in range(count):
-        starts, ends, seeds_of, places, bounds = [], [], [], [], [0]
+        starts, ends, places, bounds = [], [], [], [0]
         for i, _, unit, node, *_ in todo:
             units = lattice.units[i][unit:]
             start, end = lattice.start[units], lattice.start[units] + lattice.size[units]
@@ -256,19 +273,19 @@ def sample(texts: list[str], seeds: list[int], count: int, vocabulary: Vocabular
             starts.append(start)
             ends.append(end)
             places.append(place)
-            seeds_of.append(np.full(len(units), _stream(seeds[i], rank, 0), np.uint64))
             bounds.append(bounds[-1] + len(units))
         if not todo:
             break
-        node, until, seed, place = (np.concatenate(x) for x in (starts, ends, seeds_of, places))
+        node, until, place = (np.concatenate(x) for x in (starts, ends, places))
+        seed = np.repeat(_streams([seeds[i] for i, *_ in todo], rank, 0), np.diff(bounds))
         going = node < until
         owner, arcs = lattice.walk(node[going], until[going], seed[going], place[going])
         owner = np.nonzero(going)[0][owner]
         cuts = np.searchsorted(owner, bounds)
-        for k, (i, before, _, _, score, _, out) in enumerate(todo):
-            full = np.concatenate((before, arcs[cuts[k]:cuts[k + 1]]))
-            ways[i].append(_way(lattice, full, seeds[i], rank, score, max(len(before) - 1, 0), out))
-        todo = []
+        full = [np.concatenate((before, arcs[cuts[k]:cuts[k + 1]])) for k, (_, before, *_) in enumerate(todo)]
+        for (i, *_), way in zip(todo, _ways(lattice, full, seeds, rank, todo)):
+            ways[i].append(way)
+        leaving = []
         for i, own in enumerate(ways):
             if len(own) <= rank:
                 continue
@@ -276,31 +293,53 @@ def sample(texts: list[str], seeds: list[int], count: int, vocabulary: Vocabular
             score, j = max(tops)
             following[i] = score
             if rank + 1 < count and score > -np.inf:
-                todo.append(_leave(lattice, own[-j], i, float(score), seeds[i], rank + 1, begins[i]))
+                leaving.append((i, own[-j], float(score)))
+        todo = _leave(lattice, leaving, seeds, rank + 1, begins)
     return lattice, [[(w.arcs, w.log_p, w.score) for w in own] for own in ways], following
 
 
-def _way(lattice: Lattices, arcs: np.ndarray, seed: int, rank: int, score: float | None, own: int, out: list[int]) -> _Way:
-    """The open sets stand one by one for the first ``_NEAR`` own places; those of all
-    later places are one set, of the probability that is left there."""
-    log_p = lattice.log_p[arcs]
-    total = float(log_p.sum())
-    if score is None:
-        score = float(-np.log(-np.log(uniform(np.array([_stream(seed, 0, 3)]), np.zeros(1, np.int64))))[0])
-    near = arcs[own:own + _NEAR]
-    rest = 1.0 - lattice.p[near]
-    excluded = np.zeros(len(near), np.int64)
-    if out and len(near):
-        rest[0] -= lattice.p[out].sum()
-        excluded[0] = len(out)
-    upto = float(log_p[:own].sum()) + np.concatenate(([0.0], np.cumsum(lattice.log_p[near])))
-    tail = len(arcs) > own + _NEAR
+def _ways(lattice: Lattices, full: list[np.ndarray], seeds: list[int], rank: int, todo: list) -> list[_Way]:
+    """The ways of a round, all texts at once.  The open sets stand one by one for the
+    first ``_NEAR`` own places; those of all later places are one set, of the
+    probability that is left there."""
+    size = np.array([len(a) for a in full])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    arcs = np.concatenate([*full, np.zeros(1, np.int64)])  # one more, so that no range starts behind the last
+    log_p = lattice.log_p[arcs] if len(lattice.log_p) else np.zeros(len(arcs))
+    own = np.array([max(len(t[1]) - 1, 0) for t in todo])
+    total, before = _range_sums(log_p, begin[:-1], begin[1:]), _range_sums(log_p, begin[:-1], begin[:-1] + own)
+    if rank:
+        score = np.array([t[4] for t in todo])
+    else:
+        score = -np.log(-np.log(uniform(_streams([seeds[t[0]] for t in todo], 0, 3), np.zeros(len(todo), np.int64))))
+    step = np.arange(_NEAR)
+    held = step < (size - own)[:, None]
+    at = np.where(held, (begin[:-1] + own)[:, None] + step, 0)
+    near = arcs[at]
+    rest = np.where(held, 1.0 - lattice.p[near], 1.0) if len(lattice.p) else np.ones(near.shape)
+    excluded = np.zeros(near.shape, np.int64)
+    for k, t in enumerate(todo):
+        if t[6] and held[k, 0]:
+            rest[k, 0] -= sum(lattice.p[t[6]].tolist())
+            excluded[k, 0] = len(t[6])
+    upto = before[:, None] + np.concatenate((np.zeros((len(todo), 1)), np.cumsum(np.where(held, log_p[at], 0.0), axis=1)), axis=1)
+    tail = size > own + _NEAR
     with np.errstate(divide="ignore"):
-        location = np.where(lattice.arcs[lattice.source[near]] <= 1 + excluded, -np.inf, upto[:-1] + np.log(np.maximum(rest, 1e-300)))
-        if tail:
-            location = np.append(location, upto[-1] + np.log(-np.expm1(min(total - upto[-1], 0.0))))
-    best = below(location, score, uniform(np.full(len(location), _stream(seed, rank, 1)), own + np.arange(len(location))))
-    return _Way(arcs, score, total, best, own, out, tail)
+        single = lattice.arcs[lattice.source[near]] <= 1 + excluded if len(lattice.source) else np.ones(near.shape, bool)
+        location = np.where(single | ~held, -np.inf, upto[:, :-1] + np.log(np.maximum(rest, 1e-300)))
+        last = np.where(tail, upto[:, -1] + np.log(-np.expm1(np.minimum(total - upto[:, -1], 0.0))), -np.inf)
+    location = np.concatenate((location, last[:, None]), axis=1)
+    stream = _streams([seeds[t[0]] for t in todo], rank, 1)
+    u = uniform(np.repeat(stream, _NEAR + 1), (own[:, None] + np.arange(_NEAR + 1)).ravel()).reshape(location.shape)
+    best = below(location, score[:, None], u)
+    many = np.minimum(size - own, _NEAR) + tail
+    return [_Way(full[k], float(score[k]), float(total[k]), best[k, :many[k]].copy(), int(own[k]), t[6], bool(tail[k])) for k, t in enumerate(todo)]
+
+
+def _range_sums(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of x[a:b] for ascending ranges, each added up from its first number on."""
+    both = np.stack((a, b), axis=1).ravel()
+    return np.where(b > a, np.add.reduceat(x, both)[::2], 0.0) if len(a) else np.zeros(0)
 
 
 def _split_tail(lattice: Lattices, way: _Way, score: float, seed: int, rank: int) -> int:
@@ -321,33 +360,43 @@ def _split_tail(lattice: Lattices, way: _Way, score: float, seed: int, rank: int
     return _NEAR + k
 
 
-def _leave(lattice: Lattices, way: _Way, text: int, score: float, seed: int, rank: int, begins: np.ndarray):
-    """Where the best member of the way's best open set goes on, after its first own arc."""
-    at = int(way.open.argmax())
-    if way.tail and at == _NEAR:
-        at = _split_tail(lattice, way, score, seed, rank)
-    way.open[at] = -np.inf
-    at += way.own
-    node = lattice.source[way.arcs[at]]
-    out = [*(way.out if at == way.own else []), int(way.arcs[at])]
-    arcs = np.arange(lattice.first_arc[node], lattice.first_arc[node] + lattice.arcs[node])
-    arcs = arcs[~np.isin(arcs, out)]
-    share = np.cumsum(lattice.p[arcs])
-    u = float(uniform(np.array([_stream(seed, rank, 2)]), np.array([at]))[0])
-    arc = int(arcs[min(int(np.searchsorted(share, u * share[-1], "right")), len(arcs) - 1)])
-    before = np.append(way.arcs[:at], arc)
-    done = int(lattice.length[before].sum())
-    unit = int(np.searchsorted(begins, done - lattice.length[arc], "right")) - 1
-    return text, before, unit, lattice.target[arc], score, 0.0, out
-
-
-def ids_of(lattice: Lattices, arcs: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Little-endian unsigned 32-bit ids of a way."""
-    piece = lattice.piece[arcs]
+def _leave(lattice: Lattices, leaving: list, seeds: list[int], rank: int, begins: list[np.ndarray]) -> list:
+    """Where the best member of each way's best open set goes on, after its first own arc."""
+    places = []
+    for i, way, score in leaving:
+        at = int(way.open.argmax())
+        if way.tail and at == _NEAR:
+            at = _split_tail(lattice, way, score, seeds[i], rank)
+        way.open[at] = -np.inf
+        places.append(at + way.own)
+    us = uniform(_streams([seeds[i] for i, *_ in leaving], rank, 2), np.array(places, np.int64)).tolist()
+    todo = []
+    for (i, way, score), at, u in zip(leaving, places, us):
+        left = int(way.arcs[at])
+        node = int(lattice.source[left])
+        out = [*(way.out if at == way.own else []), left]
+        first = int(lattice.first_arc[node])
+        weights = lattice.p[first:first + int(lattice.arcs[node])].tolist()
+        arcs = [a for a in range(first, first + len(weights)) if a not in out]
+        share = list(itertools.accumulate(weights[a - first] for a in arcs))
+        arc = arcs[min(bisect.bisect_right(share, u * share[-1]), len(arcs) - 1)]
+        before = way.arcs[:at + 1].copy()
+        before[at] = arc
+        done = int(lattice.length[before[:-1]].sum())
+        unit = int(np.searchsorted(begins[i], done, "right")) - 1
+        todo.append((i, before, unit, lattice.target[arc], score, 0.0, out))
+    return todo
+
+
+def ids_of(lattice: Lattices, arcs: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Little-endian unsigned 32-bit ids of arcs one after another, and how many each arc has."""
+    piece = lattice.piece[arcs] if len(arcs) else arcs
     strange = np.nonzero(piece < 0)[0]
-    if (piece[strange] >= -128).all():  # characters of one byte
-        out = piece.astype("<u4")
-        out[strange] = vocabulary.byte[-1 - piece[strange]]
-        return out
-    parts = [[i] if i >= 0 else vocabulary.byte[list(chr(-1 - i).encode("utf-8", "surrogatepass"))].tolist() for i in piece.tolist()]
-    return np.array([x for p in parts for x in p], "<u4")
+    many = np.ones(len(piece), np.int64)
+    if not len(strange):
+        return piece.astype("<u4"), many
+    text = [chr(-1 - c).encode("utf-8", "surrogatepass") for c in piece[strange].tolist()]
+    many[strange] = [len(t) for t in text]
+    out = np.repeat(piece, many)
+    out[np.repeat(piece < 0, many)] = vocabulary.byte[np.frombuffer(b"".join(text), np.uint8)]
+    return out.astype("<u4"), many

@@ -32,6 +32,8 @@ from .piece_lattice import ids_of, sample, vocabulary
 from .words import chunks, tidy
 
 SAMPLES, ALPHA = 4, 1.0
+#: Characters of texts whose samples are turned into ids and back at a time.
+DECODED = 128 << 10
 _LONG = T.LongType()
 
 
@@ -50,11 +52,17 @@ def _encode(path: str, count: int, alpha: float, with_ids: bool):
             for i, j in chunks(edges, 2 << 20):
                 lattice, found, following = sample(texts[i:j], seeds[i:j], count, words)
                 rows, ids = [], []
-                for k, ways in enumerate(found):
-                    for rank, (arcs, log_p, _) in enumerate(ways, 1):
-                        own = ids_of(lattice, arcs, words)
+                for a, b in chunks(edges[i:j + 1] - edges[i], DECODED):
+                    ways = [(k, rank, w) for k in range(a, b) for rank, w in enumerate(found[k], 1)]
+                    flat_ids, many = ids_of(lattice, np.concatenate([w[0] for *_, w in ways]), words)
+                    data, ends = words.bytes_of(flat_ids)
+                    raw, cut = data.tobytes(), np.concatenate(([0], np.cumsum(many)))[np.cumsum([0] + [len(w[0]) for *_, w in ways])].tolist()
+                    at = np.concatenate(([0], ends))[cut].tolist()
+                    spaced = {k: b" " * bool(texts[i + k]) + texts[i + k].encode("utf-8", "surrogatepass") for k in range(a, b)}
+                    for x, (k, rank, (_, log_p, _)) in enumerate(ways):
+                        own = flat_ids[cut[x]:cut[x + 1]]
                         score = 1.0 if following[k] == -np.inf else -np.expm1(-np.exp(min(log_p - following[k], 700.0)))
-                        rows.append((i + k, rank, len(own), zlib.crc32(own.tobytes()), log_p, score, words.decode(own) == texts[i + k]))
+                        rows.append((i + k, rank, len(own), zlib.crc32(own.tobytes()), log_p, score, raw[at[x]:at[x + 1]] == spaced[k]))
                         if with_ids:
                             ids.append(own.astype(np.int32))
                 row, rank, n, crc, log_p, score, same = zip(*rows)

@@ -184,7 +184,7 @@ def test_sampling_is_without_replacement():
     lattice, ways, following = sample(["the on\n"] * n, list(range(n)), 3, vocab)
     first, second, weight = collections.Counter(), collections.Counter(), collections.Counter()
     for own, after in zip(ways, following):
-        ids = [tuple(ids_of(lattice, a, vocab).tolist()) for a, _, _ in own]
+        ids = [tuple(ids_of(lattice, a, vocab)[0].tolist()) for a, _, _ in own]
         assert len(set(ids)) == 3 and own[0][2] > own[1][2] > own[2][2] > after
         for x, (_, log_p, _) in zip(ids, own):
             assert abs(every[x] - log_p) < 1e-9
