@@ -33,10 +33,6 @@ def code_class(code: Column) -> Column:
     return e.otherwise("OTHER")
 
 
-def band(rate: Column) -> Column:
-    return F.when(rate >= C.BAND_HI, "hi").when(rate < C.BAND_LO, "lo").otherwise("mid")
-
-
 def net_text(amount: str, prob: str, cost: str) -> str:
     """SQL text of the expected net, rounded half-up to 2 decimals from the exact product
     (``amount*p - cost``)."""

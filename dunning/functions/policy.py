@@ -33,10 +33,6 @@ def done_flag(status: Column, recovery_status: Column) -> Column:
     return (s == "SUCCESS") | r.isin("RECOVERED", "SUCCESS")
 
 
-def high_value_flag(amount: Column) -> Column:
-    return F.coalesce(amount, F.lit(0)) >= C.HIGH_VALUE_THRESHOLD
-
-
 def _conditions(action: Column, ctx: PolicyContext) -> list[tuple[str, Column]]:
     is_exit = F.coalesce(action.isin(*C.EXITS), F.lit(False))
     return [

@@ -38,12 +38,6 @@ def amount_factor(amount: Column) -> Column:
     return F.round(a * F.lit("0.0006").cast("decimal(4,4)"), 1).cast(_D1)
 
 
-def risk_rate(rate: Column, has_customer: Column) -> Column:
-    """Rate seen by the risk score: 1.0 with no customer, and 0/NULL read as 1.0."""
-    one = F.lit(1).cast("decimal(5,2)")
-    return F.when(has_customer, F.coalesce(F.nullif(rate, F.lit(0).cast("decimal(5,2)")), one)).otherwise(one)
-
-
 def history_factor(rate: Column, flag: Column) -> Column:
     return (F.when(flag, 25).when(rate < 0.5, 25).when(rate < 0.8, 15)
             .when(rate < 0.95, 5).otherwise(0))
@@ -137,8 +131,3 @@ def risk_base(amount: Column, code: Column, rate: Column, flag: Column, days: Co
     factor), as decimal(10,1)."""
     return (failure_severity(code).cast(_D1) + amount_factor(amount)
             + history_factor(rate, flag).cast(_D1) + overdue_factor(days).cast(_D1))
-
-
-def score_from_base(base: Column, retry_count: Column) -> Column:
-    """``min(round_half_even(base + retry factor), 100)``."""
-    return F.least(F.bround(base + retry_factor(retry_count).cast(_D1), 0).cast("int"), F.lit(100))

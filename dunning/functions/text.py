@@ -34,11 +34,6 @@ def template(tpl: str, **parts: Column) -> Column:
     return F.concat(*out) if len(out) > 1 else out[0]
 
 
-def title_words(x: Column) -> Column:
-    """``risk_evaluation`` -> ``Risk Evaluation``."""
-    return F.initcap(F.regexp_replace(x, "_", " "))
-
-
 def pct2(x: Column) -> Column:
     """Percent with 2 decimals, half-up on doubles in both engines."""
     return F.floor(x * 100 + 0.5) / 100

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import catalog as C
-from ..functions.risk import risk_rate
 from .joins import lookup_join
 
 
@@ -130,26 +129,26 @@ def with_context(transactions: DataFrame, ctx: DataFrame, outcomes: DataFrame |
               .withColumn("prior_success", F.lit(False))
               .withColumn("prior_last_action", F.lit(None).cast("string"))
               .withColumn("prior_actions", F.array().cast("array<string>")))
-    has = F.coalesce(F.col("has_customer"), F.lit(False))
-    return df.select(
+    has = "coalesce(has_customer, false)"
+    default_rate = f"CAST({C.DEFAULT_RATE} AS DECIMAL(5,2))"
+    no_actions = "CAST(array() AS ARRAY<STRING>)"
+    return df.selectExpr(
         "transaction_id", "customer_id", "amount", "payment_method", "status", "failure_code",
         "retry_count", "timestamp", "recovery_status", "recovered_amount", "u_bp",
-        has.alias("has_customer"),
+        f"{has} AS has_customer",
         "customer_type", "lifetime_value", "contact_preference", "stored_rate",
         "invoice_id", "invoice_amount_due", "invoice_promise_to_pay",
-        risk_rate(F.col("stored_rate"), has).alias("risk_rate"),
-        F.when(has, F.coalesce(F.col("stored_rate"), F.lit(str(C.DEFAULT_RATE)).cast("decimal(5,2)")))
-        .otherwise(F.lit(str(C.DEFAULT_RATE)).cast("decimal(5,2)")).alias("erv_rate"),
-        F.when(has, F.coalesce(F.col("lifetime_value"), F.lit(0).cast("decimal(18,2)")))
-        .otherwise(F.lit(0).cast("decimal(18,2)")).alias("ltv"),
-        (has & F.coalesce(F.col("stored_risk_flag"), F.lit(False))).alias("risk_flag"),
-        F.when(has, F.lower(F.coalesce(F.col("contact_preference"), F.lit("email"))))
-        .otherwise(F.lit("email")).alias("preference"),
-        F.col("invoice_days_overdue").alias("days_overdue"),
-        F.coalesce(F.col("prior_executions"), F.lit(0)).cast("long").alias("prior_executions"),
-        F.coalesce(F.col("prior_automated"), F.lit(0)).cast("long").alias("prior_automated"),
-        F.coalesce(F.col("prior_terminal"), F.lit(False)).alias("prior_terminal"),
-        F.coalesce(F.col("prior_success"), F.lit(False)).alias("prior_success"),
-        F.col("prior_last_action"),
-        F.coalesce(F.col("prior_actions"), F.array().cast("array<string>")).alias("prior_actions"),
+        # the risk score reads a missing customer, and a rate of 0 or NULL, as 1.0
+        f"CASE WHEN {has} THEN coalesce(nullif(stored_rate, CAST(0 AS DECIMAL(5,2))), CAST(1 AS DECIMAL(5,2))) ELSE CAST(1 AS DECIMAL(5,2)) END AS risk_rate",
+        f"CASE WHEN {has} THEN coalesce(stored_rate, {default_rate}) ELSE {default_rate} END AS erv_rate",
+        f"CASE WHEN {has} THEN coalesce(lifetime_value, CAST(0 AS DECIMAL(18,2))) ELSE CAST(0 AS DECIMAL(18,2)) END AS ltv",
+        f"{has} AND coalesce(stored_risk_flag, false) AS risk_flag",
+        f"CASE WHEN {has} THEN lower(coalesce(contact_preference, 'email')) ELSE 'email' END AS preference",
+        "invoice_days_overdue AS days_overdue",
+        "CAST(coalesce(prior_executions, 0) AS BIGINT) AS prior_executions",
+        "CAST(coalesce(prior_automated, 0) AS BIGINT) AS prior_automated",
+        "coalesce(prior_terminal, false) AS prior_terminal",
+        "coalesce(prior_success, false) AS prior_success",
+        "prior_last_action",
+        f"coalesce(prior_actions, {no_actions}) AS prior_actions",
     )

@@ -16,82 +16,68 @@ from pyspark.sql import functions as F
 
 from .. import catalog as C
 from ..functions import sqltext as S
-from ..schemas import MONEY, RATE
+from ..schemas import MONEY
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pad(k: Column, prefix: str) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(k.cast("string"), 10, "0"))
-
-
-def _money(x: Column) -> Column:
-    return x.cast(MONEY)
+def _pad(k: str, prefix: str) -> Column:
+    return F.expr(f"concat('{prefix}', lpad(CAST({k} AS STRING), 10, '0'))")
 
 
 def customers_view(customer: DataFrame, orders: DataFrame) -> DataFrame:
     stats = orders.groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"),
         F.count_if(F.col("o_orderstatus") != "P").alias("n_ok"),
-        F.sum(F.when(F.col("o_orderstatus") == "F", _money(F.col("o_totalprice")))
-              .otherwise(F.lit(0).cast(MONEY))).alias("f_total"),
+        F.expr("sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END)").alias("f_total"),
     )
     c = customer.select("c_custkey", "c_acctbal").join(
         stats, customer.c_custkey == stats.o_custkey, "left")
-    k = F.col("c_custkey")
-    is_new = ((k * 17 + 5) % 11) < 4
-    has_orders = F.col("n_orders").isNotNull()
-    pref_b = (k * 5 + 3) % 13
-    rate = (F.floor(F.col("n_ok") * 100 / F.col("n_orders")).cast("decimal(5,0)")
-            * F.lit(0.01).cast("decimal(2,2)")).cast(RATE)
+    is_new = "(c_custkey * 17 + 5) % 11 < 4"
+    rate = "CAST(CAST(floor(n_ok * 100 / n_orders) AS DECIMAL(5,0)) * 0.01 AS DECIMAL(5,2))"
     return c.select(
-        _pad(k, "C").alias("customer_id"),
-        F.when(is_new, "new").otherwise("returning").alias("customer_type"),
-        F.when(is_new | ~has_orders, F.lit(0).cast(MONEY))
-        .otherwise(F.round(F.col("f_total") * F.lit(0.05).cast("decimal(2,2)"), 2))
-        .cast(MONEY).alias("lifetime_value"),
-        F.when(is_new | ~has_orders, F.lit(1).cast(RATE)).otherwise(rate)
-        .alias("previous_payment_success_rate"),
-        F.when(pref_b < 8, "email").when(pref_b < 12, "sms").otherwise("none")
+        _pad("c_custkey", "C").alias("customer_id"),
+        F.expr(f"CASE WHEN {is_new} THEN 'new' ELSE 'returning' END").alias("customer_type"),
+        F.expr(f"CAST(CASE WHEN {is_new} OR n_orders IS NULL THEN CAST(0 AS DECIMAL(18,2)) ELSE round(f_total * 0.05, 2) END AS DECIMAL(18,2))")
+        .alias("lifetime_value"),
+        F.expr(f"CASE WHEN {is_new} OR n_orders IS NULL THEN CAST(1 AS DECIMAL(5,2)) ELSE {rate} END").alias("previous_payment_success_rate"),
+        F.expr("CASE WHEN (c_custkey * 5 + 3) % 13 < 8 THEN 'email' WHEN (c_custkey * 5 + 3) % 13 < 12 THEN 'sms' ELSE 'none' END")
         .alias("contact_preference"),
-        (F.col("c_acctbal") < -780).alias("risk_flag"),
+        F.expr("c_acctbal < -780").alias("risk_flag"),
     )
 
 
-def _failure_code(k: Column) -> Column:
-    b = (k * 37 + 17) % 100
-    return (F.when(b < 20, "BANK_TIMEOUT").when(b < 40, "TEMPORARY_BANK_ERROR")
-            .when(b < 70, "INSUFFICIENT_FUNDS").when(b < 85, "CARD_EXPIRED")
-            .when(b < 95, "LIMIT_EXCEEDED").when(b < 98, "CUSTOMER_DECLINED")
-            .when(b == 98, "UNKNOWN_ERROR"))
+def _failure_code(k: str) -> Column:
+    b = f"(({k} * 37 + 17) % 100)"
+    return F.expr(f"CASE WHEN {b} < 20 THEN 'BANK_TIMEOUT' WHEN {b} < 40 THEN 'TEMPORARY_BANK_ERROR' WHEN {b} < 70 THEN 'INSUFFICIENT_FUNDS' "
+                  f"WHEN {b} < 85 THEN 'CARD_EXPIRED' WHEN {b} < 95 THEN 'LIMIT_EXCEEDED' WHEN {b} < 98 THEN 'CUSTOMER_DECLINED' "
+                  f"WHEN {b} = 98 THEN 'UNKNOWN_ERROR' END")
 
 
-def _draw(k: Column) -> Column:
-    m = F.lit(2147483647)
-    return ((((k * 48271 + 11) % m) * 69621) % m % 10000).cast("int")
+def _draw(k: str) -> Column:
+    return F.expr(f"CAST(((({k} * 48271 + 11) % 2147483647) * 69621) % 2147483647 % 10000 AS INT)")
 
 
-def _amount(k: Column) -> Column:
-    factor = F.when((k * 31 + 7) % 23 == 0, F.lit("0.160")).otherwise(F.lit("0.049")).cast("decimal(4,3)")
-    return F.round(_money(F.col("o_totalprice")) * factor, 2).cast(MONEY)
+def _amount(k: str) -> Column:
+    factor = f"CAST(CASE WHEN ({k} * 31 + 7) % 23 = 0 THEN 0.160 ELSE 0.049 END AS DECIMAL(4,3))"
+    return F.expr(f"CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * {factor}, 2) AS DECIMAL(18,2))")
 
 
 def transactions_view(orders: DataFrame, with_draw: bool = False) -> DataFrame:
     """Transactions; ``with_draw`` also keeps the recorded draw ``u_bp`` of the
     same order row, so callers that need both avoid a self-join."""
-    k = F.col("o_orderkey")
-    code = _failure_code(k)
-    method = (F.when(code == "CARD_EXPIRED", "CARD")
-              .when(k % 3 == 0, "UPI").when(k % 3 == 1, "CARD").otherwise("NETBANKING"))
+    k = "o_orderkey"
+    method = (f"CASE WHEN ({k} * 37 + 17) % 100 BETWEEN 70 AND 84 THEN 'CARD' WHEN {k} % 3 = 0 THEN 'UPI' WHEN {k} % 3 = 1 THEN 'CARD' "
+              "ELSE 'NETBANKING' END")
     cols = [
         _pad(k, "TX").alias("transaction_id"),
-        _pad(F.col("o_custkey"), "C").alias("customer_id"),
+        _pad("o_custkey", "C").alias("customer_id"),
         _amount(k).alias("amount"),
-        method.alias("payment_method"),
+        F.expr(method).alias("payment_method"),
         F.lit("FAILED").alias("status"),
-        code.alias("failure_code"),
+        _failure_code(k).alias("failure_code"),
         F.lit(0).alias("retry_count"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"),
         F.lit("UNRECOVERED").alias("recovery_status"),
@@ -118,23 +104,20 @@ def edge_transactions_view(orders: DataFrame) -> DataFrame:
 
 
 def outcomes_view(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    return orders.select(_pad(k, "TX").alias("transaction_id"), _draw(k).alias("u_bp"))
+    return orders.select(_pad("o_orderkey", "TX").alias("transaction_id"), _draw("o_orderkey").alias("u_bp"))
 
 
 def invoices_view(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    code = _failure_code(k)
-    days = ((k * 29 + 3) % 46).cast("int")
-    amount = _amount(k)
+    k = "o_orderkey"
+    days = f"CAST(({k} * 29 + 3) % 46 AS INT)"
     return (orders
-            .filter(code.isin("INSUFFICIENT_FUNDS", "CUSTOMER_DECLINED") | ((k * 3 + 1) % 7 == 0))
+            .where(F.expr(f"(({k} * 37 + 17) % 100 BETWEEN 40 AND 69) OR (({k} * 37 + 17) % 100 BETWEEN 95 AND 97) OR ({k} * 3 + 1) % 7 = 0"))
             .select(
                 _pad(k, "INV").alias("invoice_id"),
-                _pad(F.col("o_custkey"), "C").alias("customer_id"),
-                amount.alias("amount_due"),
-                F.date_sub(F.to_date(F.col("o_orderdate")), days).alias("due_date"),
-                days.alias("days_overdue"),
+                _pad("o_custkey", "C").alias("customer_id"),
+                _amount(k).alias("amount_due"),
+                F.expr(f"date_sub(to_date(o_orderdate), {days})").alias("due_date"),
+                F.expr(days).alias("days_overdue"),
                 F.lit(False).alias("promise_to_pay"),
             ))
 
@@ -153,8 +136,8 @@ def prior_audit_view(orders: DataFrame) -> DataFrame:
                               F.struct(F.lit(2).alias("n"), F.lit("create_payment_link").alias("a"), F.lit("FAILURE").alias("r")))) \
         .when(g == 2, F.array(F.struct(F.lit(1).alias("n"), F.lit("escalate_to_human").alias("a"), F.lit("FAILURE").alias("r")))) \
         .when(g == 3, F.array(F.struct(F.lit(1).alias("n"), F.lit("retry_payment").alias("a"), F.lit("SUCCESS").alias("r"))))
-    base = orders.select(k, _pad(k, "TX").alias("transaction_id"),
-                         _amount(k).alias("amount"),
+    base = orders.select(k, _pad("o_orderkey", "TX").alias("transaction_id"),
+                         _amount("o_orderkey").alias("amount"),
                          F.col("o_orderdate").cast("timestamp_ntz").alias("timestamp"),
                          rows.alias("rows")).filter(F.col("rows").isNotNull())
     e = base.select("transaction_id", "amount", "timestamp", F.explode("rows").alias("x"))
@@ -183,7 +166,7 @@ def audit_runs_view(orders: DataFrame) -> DataFrame:
     twice = F.explode(F.expr("CASE WHEN (k + i) % 4 = 0 THEN array(0, 1) ELSE array(0) END")).alias("copy")
     return rows.select("*", twice).select(
         F.expr("concat('run', CAST(i % 3 AS STRING))").alias("strategy"),
-        F.when(F.col("k") % 3 == 0, "TXHOT").otherwise(_pad(F.col("k"), "TX")).alias("transaction_id"),
+        F.when(F.col("k") % 3 == 0, "TXHOT").otherwise(_pad("k", "TX")).alias("transaction_id"),
         F.expr("CAST(CASE WHEN k % 3 = 0 THEN k * 6 + i ELSE i END AS INT)").alias("attempt_no"), F.lit(4).alias("stage_no"),
         F.expr("CAST(o_orderdate AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, CAST((i * 37 + k) % 50 AS INT), 0)").alias("timestamp"),
         F.lit("execution").alias("stage"), F.expr(f"element_at(array({actions}), CAST((k * 7 + i * 5) % 7 AS INT) + 1)").alias("agent_action"),
@@ -207,7 +190,7 @@ def responses_view(orders: DataFrame) -> DataFrame:
     bad = ("to_json(named_struct('root_cause', 'network_glitch', 'confidence', 0.7D, 'recommended_action', 'retry_payment', "
            "'reason', 'Recorded model diagnosis.', 'why_not_alternatives', 'n/a'))")
     broken = S.quoted('{"root_cause": "insufficient_funds", "confidence": ')
-    rows = orders.select(F.col("o_orderkey").alias("k"), _failure_code(F.col("o_orderkey")).alias("code"))
+    rows = orders.select(F.col("o_orderkey").alias("k"), _failure_code("o_orderkey").alias("code"))
     rows = rows.withColumn("c", F.expr(code_class))
     rows = rows.withColumns({
         "cause": F.expr(f"element_at({array([S.quoted(C.CLASS_TO_CAUSE[c]) for c in classes])}, c + 1)"),
@@ -220,7 +203,7 @@ def responses_view(orders: DataFrame) -> DataFrame:
         "first": F.expr(f"CASE k % 5 WHEN 0 THEN good WHEN 1 THEN concat('```json\n', good, '\n```') WHEN 2 THEN {broken} WHEN 3 THEN {bad} END"),
         "second": F.expr(f"CASE WHEN k % 4 < 2 THEN other WHEN k % 4 = 2 THEN {broken} END")})
     both = F.expr("explode(array(named_struct('n', 1, 'text', first, 'delay', k % 20), named_struct('n', 2, 'text', second, 'delay', k * 7 % 20)))")
-    return (rows.select(_pad(F.col("k"), "TX").alias("transaction_id"), both.alias("x")).where("x.text IS NOT NULL")
+    return (rows.select(_pad("k", "TX").alias("transaction_id"), both.alias("x")).where("x.text IS NOT NULL")
             .select("transaction_id", F.col("x.n").alias("attempt_no"), F.col("x.text").alias("response_text"),
                     F.col("x.delay").cast("int").alias("delay_s")))
 
