@@ -1,6 +1,9 @@
 """Operator 1: embedding near-dedup by random-hyperplane sign hashing.
 
-Each of several tables hashes a vector to the signs of its products with random
+Equal vectors of a label are one class, found by an aggregate over 128 bits of hash
+and combined before the shuffle; one vector stands for a class, and its links count
+by the sizes of the classes at their other ends, so copies are never paired.  Each of
+several tables hashes a class's vector to the signs of its products with random
 hyperplanes; vectors of one label (and one length) that share a table's bucket
 are compared by cosine in double precision.  The number of signs grows with the
 logarithm of the rows, which keeps buckets at about ``BUCKET`` rows, and the
@@ -68,15 +71,15 @@ def _signs(signs: int, tables: int):
                 keys[at] = above.reshape(len(at), tables, signs) @ weights
             where = np.arange(batch.num_rows + 1, dtype=np.int32) * tables
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("rid", "label", "dim", "vec")]
+                [batch.column(c) for c in ("rid", "label", "dim", "copies", "vec")]
                 + [pa.ListArray.from_arrays(pa.array(where), pa.array(keys.reshape(-1)))],
-                names=["rid", "label", "dim", "vec", "keys"])
+                names=["rid", "label", "dim", "copies", "vec", "keys"])
     return run
 
 
-def local_links(rid, block, vec, keys, table: int, one: int, two: int, cosine: float):
-    """Of one group: link counts (rid, n) and edges (rid, least rid) of the vectors
-    linked in it, by pairs that share no earlier table."""
+def local_links(rid, block, vec, keys, copies, table: int, one: int, two: int, cosine: float):
+    """Of one group: link counts (rid, n: copies at the other ends) and edges (rid, least
+    rid) of the vectors linked in it, by pairs that share no earlier table."""
     x = vec / np.linalg.norm(vec, axis=1)[:, None]
     left, right = np.nonzero(block == one)[0], np.nonzero(block == two)[0]
     near = x[left] @ x[right].T >= cosine
@@ -90,7 +93,9 @@ def local_links(rid, block, vec, keys, table: int, one: int, two: int, cosine: f
         a, b = a[first], b[first]
     if not len(a):
         return None
-    n = np.bincount(a, minlength=len(rid)) + np.bincount(b, minlength=len(rid))
+    n = np.zeros(len(rid), np.int64)
+    np.add.at(n, a, copies[b])
+    np.add.at(n, b, copies[a])
     order = np.argsort(rid, kind="stable")
     rank = np.empty(len(rid), np.int64)
     rank[order] = np.arange(len(rid))
@@ -118,7 +123,7 @@ def _groups(cosine: float):
                 continue
             col = lambda c: t.column(c).to_numpy()  # noqa: E731, B023
             vec, keys = (_matrix(t.column(c).combine_chunks()) for c in ("vec", "keys"))
-            got = local_links(col("rid"), col("block"), vec, keys, int(col("table")[0]), int(col("one")[0]), int(col("two")[0]), cosine)
+            got = local_links(col("rid"), col("block"), vec, keys, col("copies"), int(col("table")[0]), int(col("one")[0]), int(col("two")[0]), cosine)
             if got is not None:
                 found.append(got)
                 size += len(got[0])
@@ -143,13 +148,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                                F.monotonically_increasing_id().alias("rid")), "op1-rows")
     proper = (F.col("name").isNotNull() & (F.size("vec") > 0)
               & ~F.exists("vec", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("vec", lambda c: c != 0))
-    good = rows.where(F.coalesce(proper, F.lit(False)))
-    signs, tables = plan_tables(good.count(), cosine)
-    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()),
-                           T.StructField("vec", kind), T.StructField("keys", T.ArrayType(T.IntegerType()))])
     label = F.col("name").cast("long") if isinstance(table.schema[label_col].dataType, T.IntegralType) else F.xxhash64("name")
-    hashed = staged(good.select("rid", label.alias("label"), F.size("vec").alias("dim"), "vec")
-                    .mapInArrow(_signs(signs, tables), schema), "op1-signs")
+    good = rows.where(F.coalesce(proper, F.lit(False))).select(
+        "rid", "vec_id", label.alias("label"), F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec")
+    same = ["label", "dim", "h1", "h2"]
+    classes = staged(good.groupBy(same).agg(F.min("rid").alias("cid"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "op1-classes")
+    signs, tables = plan_tables(classes.count(), cosine)
+    schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()),
+                           T.StructField("copies", T.LongType()), T.StructField("vec", kind), T.StructField("keys", T.ArrayType(T.IntegerType()))])
+    hashed = staged(classes.select(F.col("cid").alias("rid"), "label", "dim", "copies", "vec").mapInArrow(_signs(signs, tables), schema), "op1-signs")
     place = ["label", "dim", "table", "bits"]
     narrow = hashed.select("rid", "label", "dim", F.posexplode("keys").alias("table", "bits"))
     blocks = (narrow.groupBy(place).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -158,17 +165,19 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     dealt = (narrow.join(blocks, place).withColumn("block", own)
              .select("rid", F.struct(*[F.col(c) for c in ("table", "bits", "block", "blocks")]).alias("g"))
              .groupBy("rid").agg(F.collect_list("g").alias("groups")))  # at most one for each table
-    pairs = (hashed.join(dealt, "rid").select("rid", "label", "dim", "vec", "keys", F.explode("groups").alias("g"))
-             .select("rid", "label", "dim", "vec", "keys", "g.*")
+    pairs = (hashed.join(dealt, "rid").select("rid", "label", "dim", "copies", "vec", "keys", F.explode("groups").alias("g"))
+             .select("rid", "label", "dim", "copies", "vec", "keys", "g.*")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("rid", "label", "dim", "vec", "keys", "table", "bits", "block",
+             .select("rid", "label", "dim", "copies", "vec", "keys", "table", "bits", "block",
                      F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")))
     found = staged(pairs.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
                    .mapInArrow(_groups(cosine), "rid long, n long, least long"), "op1-links")
-    counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    roots = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b")))
-    linked = (rows.join(counts, "rid").select("rid", "vec_id", "n_links")
-              .join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    counts = found.groupBy("rid").agg(F.sum("n").alias("n")).select(F.col("rid").alias("cid"), "n")
+    roots = connected_components(found.select(F.col("rid").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("cid"), "root")
+    by_class = (classes.select(*same, "cid", "copies").join(counts, "cid", "left").join(roots, "cid", "left")
+                .select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+                .where("n_links > 0"))
+    linked = staged(good.select("rid", "vec_id", *same).join(by_class, same).select("rid", "vec_id", "n_links", "root"), "op1-linked")
     first = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     named = linked.join(first, "root").select("rid", "n_links", "component_id")
     return (rows.select("rid", "vec_id").join(named, "rid", "left")

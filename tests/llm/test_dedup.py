@@ -175,3 +175,23 @@ def test_embeddings(spark, block):
     assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=sort_key) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embedding_hot_class_and_recall(spark):
+    """One vector holds a third of all rows; pairs just above the threshold are found."""
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(24)
+    vectors = [hot] * 2500 + list(rng.standard_normal((4000, 24)))
+    for k in range(1000):  # cosine from 0.97 to 1, most just around the threshold
+        base, off = vectors[2500 + k], rng.standard_normal(24)
+        off -= base * (off @ base) / (base @ base)
+        angle = np.arccos(rng.uniform(0.975, 0.985) if k % 4 else rng.uniform(0.97, 1))
+        vectors.append(base / np.linalg.norm(base) * np.cos(angle) + off / np.linalg.norm(off) * np.sin(angle))
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    assert embedding_dedup.plan_tables(5001, 0.98)[0] > 5
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(vectors))] == (near.sum(axis=1) - 1).tolist()
+    assert got[0] >= 2499
