@@ -1,7 +1,5 @@
 """Response cleaning and validation (MI-02, MI-03)."""
-from pyspark.sql import functions as F
-
-from dunning.functions.diagnosis import parse_response
+from dunning.functions.diagnosis import with_parsed
 
 OK = '{"root_cause": "insufficient_funds", "confidence": 0.9, "recommended_action": "send_payment_reminder", "reason": "r", "why_not_alternatives": "w"}'
 
@@ -10,7 +8,7 @@ def test_parse_cases(spark):
     rows = [("valid", OK), ("fenced", "```json\n" + OK + "\n```"), ("malformed", '{"root_cause": '),
             ("bad_cause", OK.replace("insufficient_funds", "glitch")), ("text_conf", OK.replace("0.9", '"0.7"')),
             ("missing", None)]
-    df = spark.createDataFrame(rows, "case string, t string").select("case", parse_response(F.col("t")).alias("p"))
+    df = with_parsed(spark.createDataFrame(rows, "case string, t string"), "t", "p").select("case", "p")
     got = {r["case"]: r["p"] for r in df.collect()}
     assert got["valid"]["valid"] and got["valid"]["confidence"] == 0.9
     assert got["fenced"]["valid"]
