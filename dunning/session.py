@@ -48,6 +48,13 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "dunni
     return spark
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has fewer splits than there are cores (a file of
+    one row group is one split); a larger source stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: what follows sees
     the same rows however often it is computed.  Removed when the session ends."""

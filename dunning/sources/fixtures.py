@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import catalog as C
 from ..functions import sqltext as S
 from ..schemas import MONEY
+from ..session import spread_small
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -221,7 +222,7 @@ def load_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     customer = _read(spark, sf_dir, "customer")
     return Inputs(
         customers=customers_view(customer, orders),
-        transactions=transactions_view(orders, with_draw=True),
+        transactions=transactions_view(spread_small(orders), with_draw=True),
         invoices=invoices_view(orders),
         orders=orders,
     )
