@@ -27,5 +27,18 @@ def decided(spark):
     return materialized(evaluate(enriched(spark, rows), which=("rules", "optimizer")), "decided")
 
 
-def test_policy_matrix_is_compiled(spark):
+def test_audit_rows_and_policy_matrix_are_compiled(spark):
+    assert largest_method(audit_rows(decided(spark), "optimizer")) < 8000
     assert largest_method(Q.policy_matrix(spark, SF)) < 8000
+
+
+def test_texts_that_nobody_reads_are_not_rendered(spark):
+    a = audit_rows(decided(spark), "optimizer").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    assert "format_number" not in a._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_escalation_rows(spark):
+    a = audit_rows(decided(spark), "rules").where("transaction_id = 'T2' AND tool_result = 'FAILURE'")
+    assert {r.agent_action for r in a.collect()} >= {"retry_payment", "escalate_to_human"}
+    extra = audit_rows(decided(spark), "rules").where("attempt_no = 3").orderBy("stage_no").collect()
+    assert [(r.stage, r.tool_result) for r in extra if r.transaction_id == "T2"][:1] == [("policy_guardrail", None)]
