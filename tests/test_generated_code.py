@@ -42,3 +42,14 @@ def test_escalation_rows(spark):
     assert {r.agent_action for r in a.collect()} >= {"retry_payment", "escalate_to_human"}
     extra = audit_rows(decided(spark), "rules").where("attempt_no = 3").orderBy("stage_no").collect()
     assert [(r.stage, r.tool_result) for r in extra if r.transaction_id == "T2"][:1] == [("policy_guardrail", None)]
+
+
+def test_decisions_are_read_back(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan(Q.transaction_360(spark, SF))
+    seen = []
+    keep = lambda f, at: lambda *a, **k: (seen.append(plan(a[at])), f(*a, **k))[1]
+    monkeypatch.setattr(Q.AU, "audit_rows", keep(Q.AU.audit_rows, 0))
+    monkeypatch.setattr(Q.IO, "write_runs", keep(Q.IO.write_runs, 0))
+    assert Q.audit_append(spark, SF).count() == 8 and Q.run_overwrite(spark, SF).count() == 4500
+    assert len(seen) == 5 and not any("o_orderkey" in p for p in seen)
