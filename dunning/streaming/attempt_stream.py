@@ -1,53 +1,47 @@
-"""SM-02 as a keyed state processor: attempts of a transaction over all time.
+"""SM-02 as keyed state in a table: attempts of a transaction over all time.
 
 The state of a transaction (executions, automated ones, whether an exit was reached, the
-catalog actions tried in the order of their first use) starts from the batch history, is
-kept in RocksDB by ``transformWithState``, and grows neither with the number of rows nor
-of batches.  Every batch gives the new state of the transactions it touched; these replace
-the old ones in one of two folders that take turns, so the output holds each transaction
-once (twice on disk, at most), and a replayed batch writes the same rows again.
+catalog actions tried in the order of their first use) starts from the batch history, and
+grows neither with the number of rows nor of batches.  Every batch is added up per
+transaction and joined with the states before it, by Spark's own aggregates and joins, so no
+row or key passes through Python.  The new states are written to one of two folders that take turns,
+so the output holds each transaction once (twice on disk, at most); the states before a
+batch are kept until the next one, so a replayed batch writes the same rows again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import catalog as C
 from ..operators.enrich import history
-from .recovery_stream import large_state, read_stream, run_stream
+from .recovery_stream import read_stream, run_stream
 
 STATE = "executions long, automated long, terminal boolean, actions string"
 OUTPUT = "transaction_id string, " + STATE
 
 
-def attempt_processor() -> StatefulProcessor:
-    """Adds up the executions of one transaction; rows of a batch count in the order of
-    attempt number.  Made in a function so that it travels to the workers by value."""
-    automated_actions, exits, catalog, schema = list(C.AUTOMATED), list(C.EXITS), list(C.ACTION_NAMES), STATE
+def _added(batch: DataFrame) -> DataFrame:
+    """What the executions of a batch add to each transaction: counts, and the catalog actions
+    by their first use, in the order of attempt number."""
+    action, named = F.col("agent_action"), F.struct("attempt_no")
+    firsts = [F.min(F.when(action == a, named)).alias(f"at_{a}") for a in C.ACTION_NAMES]
+    used = ", ".join(f"CASE WHEN at_{a} IS NOT NULL THEN named_struct('at', at_{a}, 'no', {i}, 'action', '{a}') END" for i, a in enumerate(C.ACTION_NAMES))
+    rows = batch.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("more"), F.count_if(action.isin(*C.AUTOMATED)).alias("more_automated"),
+        F.coalesce(F.bool_or(action.isin(*C.EXITS)), F.lit(False)).alias("exited"), *firsts)
+    return rows.select(F.col("transaction_id").alias("id"), "more", "more_automated", "exited",
+                       F.expr(f"transform(array_sort(array_compact(array({used}))), x -> x.action)").alias("used"))
 
-    class AttemptProcessor(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self._state = handle.getValueState("attempts", schema)
 
-        def handleInitialState(self, key, initialState, timerValues) -> None:
-            self._state.update((initialState.executions, initialState.automated, initialState.terminal, initialState.actions))
-
-        def handleInputRows(self, key, rows, timerValues):
-            executions, automated, terminal, tried = self._state.get() if self._state.exists() else (0, 0, False, "")
-            seen = tried.split(",") if tried else []
-            for action in [r.agent_action for r in sorted(rows, key=lambda r: r.attempt_no)]:
-                executions += 1
-                automated += action in automated_actions
-                terminal = terminal or action in exits
-                if action in catalog and action not in seen:
-                    seen.append(action)
-            state = (executions, automated, terminal, ",".join(seen))
-            self._state.update(state)
-            yield Row(transaction_id=key[0], executions=executions, automated=automated, terminal=terminal, actions=state[3])
-
-    return AttemptProcessor()
+def next_states(states: DataFrame, batch: DataFrame) -> DataFrame:
+    """The states after the executions of a batch; one row per transaction (a NULL id is one)."""
+    new = "filter(coalesce(used, CAST(array() AS ARRAY<STRING>)), x -> NOT array_contains(split(coalesce(actions, ''), ','), x))"
+    return states.join(_added(batch), F.col("transaction_id").eqNullSafe(F.col("id")), "full").selectExpr(
+        "coalesce(transaction_id, id) AS transaction_id", "coalesce(executions, 0) + coalesce(more, 0) AS executions",
+        "coalesce(automated, 0) + coalesce(more_automated, 0) AS automated", "coalesce(terminal, false) OR coalesce(exited, false) AS terminal",
+        f"concat_ws(',', nullif(actions, ''), {new}) AS actions")
 
 
 def initial_states(audit: DataFrame) -> DataFrame:
@@ -68,16 +62,10 @@ def resume_attempt_state(spark: SparkSession, executions_dir: str, schema, prior
     start = initial_states(prior_audit)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        old = start if batch_id == 0 else session.read.schema(OUTPUT).parquet(_slot(out_dir, batch_id - 1))
-        new = batch.select("transaction_id", *[c.split()[0] for c in STATE.split(", ")])
-        kept = old.join(new.select("transaction_id"), "transaction_id", "left_anti")
-        kept.unionByName(new).withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(_slot(out_dir, batch_id))
-
-    with large_state(spark):
-        states = read_stream(spark, executions_dir, schema, files_per_batch).groupBy("transaction_id").transformWithState(
-            attempt_processor(), OUTPUT, "Update", "None", initialState=start.groupBy("transaction_id"))
-        run_stream(states, replace, checkpoint_dir, mode="update")
+        old = start if batch_id == 0 else batch.sparkSession.read.schema(OUTPUT).parquet(_slot(out_dir, batch_id - 1))
+        next_states(old, batch).withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(_slot(out_dir, batch_id))
+
+    run_stream(read_stream(spark, executions_dir, schema, files_per_batch), replace, checkpoint_dir)
 
 
 def current_state(spark: SparkSession, out_dir: str) -> DataFrame:
