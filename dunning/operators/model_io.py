@@ -17,6 +17,13 @@ from ..functions.erv import candidates
 from .strategies import plan_barrier
 
 
+def parsed_responses(responses: DataFrame) -> DataFrame:
+    """Responses with their parsed fields and their place among those of the same attempt,
+    as :func:`attach_responses` takes them; to be stored where they are attached more than once."""
+    order = F.struct(F.col("recorded_seq") if "recorded_seq" in responses.columns else F.lit(0), F.col("response_text")).alias("place")
+    return DX.with_parsed(responses.select("transaction_id", "attempt_no", order, F.col("response_text").alias("text")), "text", "parsed")
+
+
 def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int | None = None) -> DataFrame:
     """Adds ``answer1``, ``answer2`` (text, parsed) and ``in_quota`` (MI-05, JN-10).
 
@@ -24,11 +31,11 @@ def attach_responses(enriched: DataFrame, responses: DataFrame, llm_limit: int |
     one value per attempt, the latest by ``recorded_seq`` where several were
     recorded), then joined once.  The quota is the ids up to the
     ``llm_limit``-th, one value found by a top-k; ``None`` means every
-    transaction may use the model.
+    transaction may use the model.  ``responses`` may come parsed already
+    (:func:`parsed_responses`).
     """
-    order = F.struct(F.col("recorded_seq") if "recorded_seq" in responses.columns else F.lit(0), F.col("response_text")).alias("place")
     # parsed once per response, before the aggregate, so the decision pass sees plain columns
-    read = plan_barrier(DX.with_parsed(responses.select("transaction_id", "attempt_no", order, F.col("response_text").alias("text")), "text", "parsed"))
+    read = responses if "parsed" in responses.columns else plan_barrier(parsed_responses(responses))
     r = read.groupBy("transaction_id").agg(
         *[F.max_by(F.struct("text", "parsed"), F.when(F.col("attempt_no") == k, F.col("place"))).alias(f"answer{k}")
           for k in range(1, C.MAX_ATTEMPTS + 1)])
