@@ -116,6 +116,21 @@ def test_repeats(spark, split):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=sort_key) == _cut_plainly(rows, 30)
 
 
+def test_planted_passages(spark):
+    """At the default length a shared run of over 50 words goes from 400 bytes on; shorter ones and texts without one stay."""
+    rnd = random.Random(4)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    goes, stays = words(60), words(51)
+    assert len(goes) >= 400 > len(stays) + 2
+    rows = [(k, f"{words(20)} {(goes, stays, words(60))[k % 3]} {words(20)}") for k in range(30)]
+    got = suffix_dedup.remove_repeats(docs(spark, rows).repartition(4)).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=sort_key) == _cut_plainly(rows, 400)
+    assert {r.doc_id for r in got if r.n_removed >= len(goes)} == {r.doc_id for r in got if r.n_removed} == set(range(0, 30, 3))
+    assert all(r.n_kept == r.n_bytes - r.n_removed for r in got)
+
+
 def test_repeats_edges(spark):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
     cut = suffix_dedup.cut_texts(docs(spark), length=30)
